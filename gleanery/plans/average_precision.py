@@ -58,7 +58,7 @@ def average_precision(hits: DataFrame, labels: DataFrame, by: list[str] | None =
     # segments that end in a point, and the two after the last one
     x0, y0 = F.coalesce("r0", F.lit(0.0)), F.when(F.col("has").isNull(), F.greatest(F.lit(1.0), F.col("top"))).otherwise(F.col("y0"))
     seg = env.select(*keys, x0.alias("x0"), y0.alias("y0"), F.col("r").alias("x1"), F.col("y").alias("y1")).where("x1 > x0")
-    low, high = F.ceil(F.col("x0") / 0.01 - 1e-9).cast("int"), F.floor(F.col("x1") / 0.01 + 1e-9).cast("int")
+    low, high = F.ceil(F.col("x0") / 0.01 - 1e-9).cast("int"), F.least(F.floor(F.col("x1") / 0.01 + 1e-9), F.lit(100)).cast("int")
     grid = seg.where(low <= high).select(*keys, "x0", "y0", "x1", "y1", F.explode(F.sequence(low, high)).alias("k"))
     x = F.col("k") * F.lit(0.01)
     grid = grid.where((x >= F.col("x0")) & (x < F.col("x1")))
@@ -67,8 +67,8 @@ def average_precision(hits: DataFrame, labels: DataFrame, by: list[str] | None =
     area = grid.groupBy(*keys).agg((F.sum(y * F.when(F.col("k").isin(0, 100), 0.5).otherwise(1.0)) * 0.01).alias("ap"))
     # a curve's value at its last recall belongs to the segment after it, from (last, 0): nothing to add
     base = labels.where("n > 0").select(*[c for c in by if c in labels.columns], cls)
-    if any(c not in labels.columns for c in by):
-        base = base.join(hits.select(*by).distinct(), how="cross")  # class names x models
+    if more := [c for c in by if c not in labels.columns]:
+        base = base.join(hits.select(*more).distinct(), how="cross")  # class names x models
     full = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))).alias("j"))
     return full.join(area, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
@@ -137,9 +137,10 @@ class _Sorted:
                     if not len(at):
                         continue
                     tpc = np.cumsum(wl[at])
-                    first_t, first_a = tpc - wl[at] + 1, seen[at] - wl[at] + 1
-                    r = np.stack([first_t, tpc], 1).ravel() / (n + EPS)
-                    p = np.stack([first_t / first_a, tpc / seen[at]], 1).ravel()
+                    # before each hit (after the misses between), its first copy, its last copy
+                    t = np.stack([tpc - wl[at], tpc - wl[at] + 1, tpc], 1).ravel()
+                    a = np.stack([seen[at] - wl[at], seen[at] - wl[at] + 1, seen[at]], 1).ravel()
+                    r, p = t / (n + EPS), t / np.maximum(a, 1)
                     p = np.maximum.accumulate(p[::-1])[::-1]
                     y = np.interp(grid, np.concatenate([[0.0], r, [r[-1], 1.0]]), np.concatenate([[max(1.0, p[0])], p, [0.0, 0.0]]))
                     ap[j] = ((y[1:] + y[:-1]) / 2).sum() * 0.01

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,18 +49,22 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Let the cluster delete the shuffle files of finished steps, which it does once the driver has dropped their plans."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the listeners still hold is gone a moment later
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
-    The returned frame has the attribute ``staged_path``; ``unstage`` deletes it when it is no longer needed.
+    The returned frame has the attribute ``staged_path``; ``unstage`` deletes it when it is no longer needed. With ``free`` the
+    step's shuffle files are deleted at once, which takes half a second: loops over small tables go without.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    if free:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
