@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.pictures import ALIKE, FAR, HASH, NEAR, PIECES, SIDE, SYMBOLS, equality_keys, pieces, prefixes, rows_and_classes, symbols, usable
+from gleanery.llm.pictures import ALIKE, FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
 from gleanery.session import stage
 
 SHARD_ROWS = 100_000
@@ -36,55 +36,12 @@ LINKS = 8
 _PART = 8_000
 
 
-def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Column:
-    """A class as bytes: hash, symbol string, and thumbnail (one byte a value where that is exact); no string without one."""
-
-    @F.pandas_udf("binary")
-    def pack(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, t: pd.Series) -> pd.Series:
-        h = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], axis=1)
-        ok = usable(t)
-        out = [row.tobytes() for row in h]
-        if ok.any():
-            thumbs = np.stack(t[ok].to_list()).astype(np.float64)
-            strings = symbols(thumbs).astype(np.uint8)
-            tiny = ((thumbs >= 0) & (thumbs <= 255) & (thumbs == np.floor(thumbs))).all(1)
-            for k, i in enumerate(np.flatnonzero(ok)):
-                out[i] += strings[k].tobytes() + (thumbs[k].astype(np.uint8) if tiny[k] else thumbs[k]).tobytes()
-        return pd.Series(out)
-
-    return pack(h0, h1, h2, h3, thumb)
-
-
 def _distinct(x: np.ndarray) -> np.ndarray:
     """Sorted without repetitions (by sorting, which is faster here than the library's hashing)."""
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-class Coded:
-    """Arrays of many packed classes."""
-
-    def __init__(self, codes: list[bytes]) -> None:
-        n = len(codes)
-        self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
-        self.has = np.array([len(c) > 32 for c in codes], bool)
-        self.strings = np.zeros((n, SYMBOLS), np.int64)
-        self.unit = np.zeros((n, SIDE * SIDE), np.float32)
-        held = [c for c in codes if len(c) > 32]
-        if held:
-            self.strings[self.has] = np.frombuffer(b"".join(c[32 : 32 + SYMBOLS] for c in held), np.uint8).reshape(-1, SYMBOLS)
-            rest = [c[32 + SYMBOLS :] for c in held]
-            thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
-            thumbs -= thumbs.mean(1, keepdims=True)
-            self.unit[self.has] = thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
-
-    def rings(self) -> np.ndarray:
-        """(PIECES + SYMBOLS, n) keys; classes without a string keep to a place of their own on the string rings."""
-        p = prefixes(self.strings)
-        p[~self.has] = -1
-        return np.concatenate([pieces(self.hash), p], axis=1).T.copy()
-
-
 class Graph:
     """The shard: rings and links over its classes."""
 
@@ -182,8 +139,7 @@ class BatchDedup:
         rows, classes = rows_and_classes(split, prints, F.col(batch).alias("batch"))
         self.rows = stage(rows.where("batch is not null"), "batch-rows")
         held = self.rows.where("class_k is not null").groupBy("class_k").agg(F.sort_array(F.collect_set("batch")).alias("batches"))
-        coded = classes.select("class_k", code(*[F.col(h) for h in HASH], F.col("thumb")).alias("code"))
-        self.classes = stage(coded.join(held, "class_k"), "batch-classes")
+        self.classes = stage(classes.join(held, "class_k"), "batch-classes")
 
     def near(self) -> DataFrame:
         """``(a, b)``: pairs of different classes that show the same picture, a in history when b came in."""

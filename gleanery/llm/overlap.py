@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import source_key, split_key
-from gleanery.llm.pictures import equality_keys, rows_and_classes, suffix_keys, verified
+from gleanery.llm.pictures import SKETCH, SKETCH_MOST, equality_keys, rows_and_classes, suffix_keys, verified
 from gleanery.session import stage
 
 
@@ -34,17 +34,21 @@ class Overlap:
         train = F.when(side == "train", True).when(side.isin("valid", "test"), False)
         rows, classes = rows_and_classes(split, prints, train.alias("train"), side.alias("side"), source_key(F.col("source")).alias("source_k"))
         self.rows = stage(rows.where("train is not null"), "overlap-rows")
-        self.classes = stage(classes, "overlap-classes")
+        held = self.rows.where("class_k is not null")
+        sides = held.groupBy("class_k").agg(F.expr("bit_or(if(train, 1, 2))").alias("s"))
+        self.classes = stage(classes.join(sides, "class_k"), "overlap-classes")
 
     def near(self) -> DataFrame:
         """``(a, b, bits)``: pairs of different classes, a with rows in an evaluation split and b in train, that look the same."""
-        held = self.rows.where("class_k is not null")
-        sides = held.groupBy("class_k").agg(F.expr("bit_or(if(train, 1, 2))").cast("tinyint").alias("s"))
-        keys = suffix_keys(F.col("h0"), F.col("h1"), F.col("h2"), F.col("h3"), F.col("thumb"))
-        suffixes = self.classes.join(sides, "class_k").select("class_k", "s", F.explode(keys).alias("k")).repartition("k")
+        mask = F.lit((1 << SKETCH) - 1)
+        exploded = self.classes.select("class_k", "s", F.explode(suffix_keys(F.col("code"))).alias("v"))
+        # position and prefix; the sketch of the hash with the two side bits
+        suffixes = exploded.select(
+            "class_k", F.shiftright("v", 32).cast("int").alias("k"), F.shiftleft(F.col("v").bitwiseAND(mask), 2).bitwiseOR(F.col("s")).cast("int").alias("x")
+        ).repartition("k")
         a, b = suffixes.alias("a"), suffixes.alias("b")
-        # the sides are tested on the pair, so that both inputs of the join are one and the same exchange
-        crossing = F.expr("a.k = b.k and (a.s & 2) * (b.s & 1) = 2 and a.class_k <> b.class_k")
+        # sides and sketches are tested on the pair, so that both inputs of the join are one and the same exchange
+        crossing = F.expr(f"a.k = b.k and (a.x & 2) * (b.x & 1) = 2 and a.class_k <> b.class_k and bit_count((a.x ^ b.x) & -4) <= {SKETCH_MOST}")
         blocks = a.join(b, crossing).select(F.col("a.class_k").alias("a"), F.col("b.class_k").alias("b"))
         return verified(stage(blocks.distinct(), "overlap-candidates"), self.classes)
 

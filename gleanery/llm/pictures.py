@@ -24,6 +24,9 @@ SYMBOLS = 31
 STEPS = (0, 1, 3)
 #: NEAR differing bits leave one of NEAR + 1 pieces untouched.
 PIECES = NEAR + 1
+#: Bits of the hash that travel with every suffix, and how many of them may differ in a candidate: pairs within NEAR bits never
+#: exceed that, of pairs at FAR bits fewer than one in a thousand do.
+SKETCH, SKETCH_MOST = 29, 11
 SIDE = 8
 
 
@@ -83,57 +86,92 @@ def usable(thumbs: pd.Series) -> np.ndarray:
     return np.array([t is not None and len(t) == n and bool(np.isfinite(t).all()) and float(np.ptp(t)) > 0 for t in thumbs], bool)
 
 
-def suffix_keys(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Column:
-    """All keys of a class: its pieces of the hash and the prefixes of its string, each with its position in the high bits."""
+def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Column:
+    """A class as bytes: hash, symbol string, and thumbnail (one byte a value where that is exact); no string without one."""
 
-    @F.pandas_udf("array<long>")
-    def keys(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, t: pd.Series) -> pd.Series:
-        h = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], axis=1).view(np.uint64)
-        bits = pieces(h) | (np.arange(PIECES, dtype=np.int64) << 56)
+    @F.pandas_udf("binary")
+    def pack(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, t: pd.Series) -> pd.Series:
+        h = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], axis=1)
         ok = usable(t)
-        out: list[np.ndarray] = list(bits)
+        out = [row.tobytes() for row in h]
         if ok.any():
-            mine = prefixes(symbols(np.stack(t[ok].to_list()))) | ((np.arange(SYMBOLS, dtype=np.int64) + 32) << 56)
-            for i, row in zip(np.flatnonzero(ok), mine, strict=True):
-                out[i] = np.concatenate([bits[i], row])
+            thumbs = np.stack(t[ok].to_list()).astype(np.float64)
+            strings = symbols(thumbs).astype(np.uint8)
+            tiny = ((thumbs >= 0) & (thumbs <= 255) & (thumbs == np.floor(thumbs))).all(1)
+            for k, i in enumerate(np.flatnonzero(ok)):
+                out[i] += strings[k].tobytes() + (thumbs[k].astype(np.uint8) if tiny[k] else thumbs[k]).tobytes()
         return pd.Series(out)
 
-    return keys(h0, h1, h2, h3, thumb)
+    return pack(h0, h1, h2, h3, thumb)
 
 
-def distance(a: dict[str, Column] | None = None, left: str = "a_", right: str = "b_") -> Column:
-    """Differing bits of the hashes in columns left+h0.. and right+h0.."""
-    out = F.lit(0)
-    for h in HASH:
-        out = out + F.bit_count(F.col(left + h).bitwiseXOR(F.col(right + h)))
-    return out
+class Coded:
+    """Arrays of many packed classes."""
+
+    def __init__(self, codes: list[bytes]) -> None:
+        n = len(codes)
+        self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
+        self.has = np.array([len(c) > 32 for c in codes], bool)
+        self.strings = np.zeros((n, SYMBOLS), np.int64)
+        self.unit = np.zeros((n, SIDE * SIDE))
+        held = [c for c in codes if len(c) > 32]
+        if held:
+            self.strings[self.has] = np.frombuffer(b"".join(c[32 : 32 + SYMBOLS] for c in held), np.uint8).reshape(-1, SYMBOLS)
+            rest = [c[32 + SYMBOLS :] for c in held]
+            thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
+            thumbs -= thumbs.mean(1, keepdims=True)
+            self.unit[self.has] = thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
+
+    def rings(self) -> np.ndarray:
+        """(PIECES + SYMBOLS, n) keys; classes without a string keep to a place of their own on the string rings."""
+        p = prefixes(self.strings)
+        p[~self.has] = -1
+        return np.concatenate([pieces(self.hash), p], axis=1).T.copy()
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays, null where it is not defined."""
-    n = F.size(a).cast("double")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
-    cov = dot(a, b) - total(a) * total(b) / n
-    var = lambda x: dot(x, x) - total(x) * total(x) / n
-    return F.when(F.size(a) == F.size(b), F.try_divide(cov, F.sqrt(F.nullif(var(a) * var(b), F.lit(0.0)))))
+def suffix_keys(code: Column) -> Column:
+    """All suffixes of a class as numbers: position (6 bits) and prefix (24 bits) above 32, a sketch of the hash below."""
+
+    @F.pandas_udf("array<long>")
+    def keys(codes: pd.Series) -> pd.Series:
+        c = Coded(codes.tolist())
+        sketch = (c.hash[:, 3] >> np.uint64(64 - SKETCH)).astype(np.int64)[:, None]
+        bits = ((np.arange(PIECES, dtype=np.int64) << 24) | pieces(c.hash)) << 32 | sketch
+        text = (((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings)) << 32 | sketch
+        return pd.Series([np.concatenate([x, y]) if has else x for x, y, has in zip(bits, text, c.has, strict=True)])
+
+    return keys(code)
+
+
+def same_picture(a: Column, b: Column) -> Column:
+    """The exact test on two packed classes: the differing bits where they show the same picture, else null."""
+
+    @F.pandas_udf("int")
+    def test(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = Coded(x.tolist()), Coded(y.tolist())
+        d = np.bitwise_count(p.hash ^ q.hash).sum(1).astype(int)
+        c = np.where(p.has & q.has, np.einsum("ij,ij->i", p.unit.astype(np.float64), q.unit.astype(np.float64)), 0.0)
+        return pd.Series(np.where((d <= NEAR) | ((d <= FAR) & (c >= ALIKE)), d, -1)).replace(-1, None).astype("Int32")
+
+    return test(a, b)
 
 
 def rows_and_classes(split: DataFrame, prints: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(row_id, keep..., file_k, stem_k, md5_k, class_k)`` and classes ``(class_k, h0..h3, thumb)``.
+    """Rows ``(row_id, keep..., file_k, stem_k, md5_k, class_k)`` and classes ``(class_k, code)``.
 
     A file may have several different fingerprints: then its rows come once for each. Keys are 64-bit hashes (two different
     ones among a billion agree with a probability of a few per cent); null names, hashes and md5 have none.
     """
-    hashed = F.greatest(*[F.col(h).isNull() for h in HASH])
+    blank = F.greatest(*[F.col(h).isNull() for h in HASH])
     prints = prints.where("file is not null").select(
         F.xxhash64(F.lit("f"), file_key(F.col("file"))).alias("file_k"),
         F.when(F.col("md5").isNotNull(), F.xxhash64(F.lit("m"), F.col("md5"))).alias("md5_k"),
-        F.when(~hashed, F.xxhash64(F.lit("c"), *HASH, "thumb")).alias("class_k"),
+        F.when(~blank, F.xxhash64(F.lit("c"), *HASH, "thumb")).alias("class_k"),
         *HASH,
         "thumb",
     )
-    classes = prints.where("class_k is not null").dropDuplicates(["class_k"]).select("class_k", *HASH, "thumb")
+    packed = prints.where("class_k is not null").select("class_k", code(*[F.col(h) for h in HASH], F.col("thumb")).alias("code"))
+    classes = packed.groupBy("class_k").agg(F.min("code").alias("code"))
     rows = split.where("row_id is not null").select(
         "row_id",
         *keep,
@@ -151,15 +189,9 @@ def equality_keys(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def verified(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs of classes ``(a, b)`` that show the same picture, with ``bits`` that differ.
-
-    Hashes are attached first; thumbnails only to pairs within FAR bits.
-    """
-    small = classes.select("class_k", *HASH)
-    a = small.select(F.col("class_k").alias("a"), *[F.col(h).alias(f"a_{h}") for h in HASH])
-    b = small.select(F.col("class_k").alias("b"), *[F.col(h).alias(f"b_{h}") for h in HASH])
-    near = candidates.join(a, "a").join(b, "b").select("a", "b", distance().alias("bits")).where(F.col("bits") <= FAR)
-    ta = classes.select(F.col("class_k").alias("a"), F.col("thumb").alias("_ta"))
-    tb = classes.select(F.col("class_k").alias("b"), F.col("thumb").alias("_tb"))
-    seen = near.join(ta, "a").join(tb, "b")
-    return seen.where((F.col("bits") <= NEAR) | (correlation(F.col("_ta"), F.col("_tb")) >= ALIKE)).select("a", "b", "bits")
+    """Those pairs of classes ``(a, b)`` that show the same picture, with ``bits`` that differ."""
+    one = classes.select("class_k", "code").repartition("class_k")  # the same exchange for both sides
+    a = one.select(F.col("class_k").alias("a"), F.col("code").alias("_ca"))
+    b = one.select(F.col("class_k").alias("b"), F.col("code").alias("_cb"))
+    tested = candidates.join(a, "a").join(b, "b").select("a", "b", same_picture(F.col("_ca"), F.col("_cb")).alias("bits"))
+    return tested.where("bits is not null")
