@@ -6,7 +6,7 @@ several centroids, found by clustering its training sentences; the nearest centr
 from all of them than nearly all training text is rejected (``und``). The model is fitted on a bounded sample of labelled rows
 (``PER_LANGUAGE`` documents of each language, lowest hash first); all else covers every row and whole texts.
 
-Labels are noisy, so training sentences are classified once by the first centroids, and only those that agree with their
+Labels are noisy, so a label is learned only if its held-out documents are recognised by it, and training sentences are classified once by the first centroids, and only those that agree with their
 document's label and with most of the document stay.
 
 Defined results: a sentence is a stretch of a paragraph that ends with ``.``, ``!``, ``?`` or an ellipsis and has at least
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 256
+DIMS = 512
 GRAMS = (2, 3, 4, 5)
 #: n-grams that fewer training sentences hold have no weight (invented words would outweigh all else).
 LEAST_DF = 40
@@ -36,7 +36,11 @@ PER_LANGUAGE = 300
 CENTROIDS = 32
 LEAST_WORDS = 5
 #: Training quantile of the cosine below which text is rejected, and the slack under it.
-REJECT_QUANTILE, REJECT_SLACK = 0.001, 0.75
+REJECT_QUANTILE, REJECT_SLACK = 0.001, 0.5
+#: Share of a label's held-out sentences that must be recognised for it to be a language of its own.
+LEARNABLE = 0.6
+#: Cosine of two centroids that stand for the same sentences, and the difference at which a sentence is not of its label.
+SAME, CLEARLY = 0.8, 0.2
 #: A sentence counts as another language than its document's main one only if it is closer by this much.
 MARGIN = 0.13
 _LONGEST = 24
@@ -189,23 +193,58 @@ class Model:
         x = self.features.vectors(spans)
         lab, own = np.array(labels), np.array(owner)
         self.languages = sorted(set(labels))
-        keep = np.ones(len(x), bool)
+        good = self._own_language(x, lab)
+        keep = good & self._learnable(np.where(good[:, None], x, 0), np.where(good, lab, ""), own)
+        usable = keep
         for _ in range(3):
             self._fit(x[keep], lab[keep])
             got = self._scores(x).argmax(1)
-            agree = np.array(self.languages)[got] == lab
+            agree = (np.array(self.languages)[got] == lab) & usable
             share = np.bincount(own, agree, len(docs)) / np.maximum(1, np.bincount(own, minlength=len(docs)))
             keep = agree & (share[own] > 0.5)
-            if not all((lab[keep] == l).any() for l in self.languages):
-                self.languages = [l for l in self.languages if (lab[keep] == l).any()]
+            self.languages = [l for l in self.languages if (lab[keep] == l).any()]
         self._fit(x[keep], lab[keep])
         top = self._scores(x[keep]).max(1)
         self.least = float(np.quantile(top, REJECT_QUANTILE) * REJECT_SLACK)
 
+    def _learnable(self, x: np.ndarray, lab: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which sentences belong to a label that stands for a language: one that is recognised in documents that its centroids
+        were not made from. Labels given to texts of other languages only are not."""
+        half = own % 2 == 0
+        self.languages = [l for l in self.languages if l and (lab[half] == l).any() and (lab[~half] == l).any()]
+        known = np.isin(lab, self.languages)
+        if not self.languages:
+            raise ValueError("too few labelled documents to learn from")
+        self._fit(x[half & known], lab[half & known])
+        test = ~half & np.isin(lab, self.languages)
+        right = np.array(self.languages)[self._scores(x[test]).argmax(1)] == lab[test]
+        self.languages = [l for l in self.languages if right[lab[test] == l].mean() > LEARNABLE] or self.languages
+        return np.isin(lab, self.languages)
+
     def _fit(self, x: np.ndarray, lab: np.ndarray) -> None:
+        """Centroids of every language. One that all but equals a centroid with more support in another language is dropped: it
+        stands for passages of that language inside documents of this one."""
         parts = [_clusters(x[lab == l], CENTROIDS) for l in self.languages]
-        self.starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-        self.centroids = np.concatenate(parts).astype(np.float32)
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        every = np.concatenate(parts).astype(np.float32)
+        support = np.zeros(len(every))
+        for i, l in enumerate(self.languages):
+            own = np.flatnonzero(of == i)
+            mine = x[lab == l]
+            support[own] = np.bincount((mine @ every[own].T).argmax(1), minlength=len(own))
+        twin = (every @ every.T >= SAME) & (of[:, None] != of[None, :]) & (support[None, :] > support[:, None])
+        good = ~twin.any(1) & (support > 0)
+        self.languages = [l for i, l in enumerate(self.languages) if good[of == i].any()]
+        of, self.centroids = of[good], every[good]
+        self.starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+
+    def _own_language(self, x: np.ndarray, lab: np.ndarray) -> np.ndarray:
+        """Sentences that are not clearly nearer to the mean of another label than to that of their own."""
+        mean = np.stack([x[lab == l].sum(0) for l in self.languages])
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+        s = x @ mean.T
+        at = np.searchsorted(self.languages, lab)
+        return s.max(1) - s[np.arange(len(x)), at] <= CLEARLY
 
     def _scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(x @ self.centroids.T, self.starts, axis=1)
@@ -236,7 +275,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
         for r in coded.where(span < rate).collect():  # about 2 * per_language + 50 documents a language
             per.setdefault(r["l"], []).append((r["h"], r["t"]))
         rows = [(l, t) for l in sorted(per) for _, t in sorted(per[l])[:per_language]]
-    return Model(rows) if any(sentences(p) for _, t in rows for p in paragraphs(t)) else None
+    try:
+        return Model(rows)
+    except ValueError:  # nothing to learn from
+        return None
 
 
 SEGMENTS = "par_no int, lang string, confidence double, n_sentences int, doc_lang string, doc_confidence double, mixed boolean"

@@ -37,9 +37,9 @@ def entity(uploader: Column) -> Column:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, label)`` for the nodes of column ``a`` of a bipartite edge list: label is the smallest node it is linked with."""
-    edges = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null").distinct(), "edges")
+    edges = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null").distinct(), "edges", False)
     links = edges.where("b is not null")
-    labels = stage(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
+    labels = stage(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels", False)
     while True:
         at_b = links.join(labels, links["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("low"))
         low = links.join(at_b, "b").groupBy("a").agg(F.min("low").alias("low"))
@@ -49,7 +49,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = found.select(F.col("node").alias("low"), F.col("low").alias("root"))
         new = found.join(jump, "low", "left").select("node", F.least("low", "root").alias("label"))
         was = labels.select("node", F.col("label").alias("was"))
-        nxt = stage(new.join(was, "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")), "labels")
+        nxt = stage(new.join(was, "node").select("node", "label", (F.col("label") < F.col("was")).alias("moved")), "labels", False)
         unstage(labels)
         labels = nxt.select("node", "label")
         labels.staged_path = nxt.staged_path
