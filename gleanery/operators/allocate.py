@@ -5,6 +5,7 @@ All random orders are hash orders, md5(seed:key), which depend on nothing but th
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,29 +22,31 @@ def seeded(seed: int | str, key: Column) -> Column:
 def greedy_split(groups: DataFrame, stratum: str, group: str, size: str, seed: int = 0, start: DataFrame | None = None) -> DataFrame:
     """``(stratum, group, size, split)``: within a stratum, groups in hash order each go to the split that lacks most.
 
-    The fold depends on its own past, so a stratum is one ordered fold: sizes are first summed per group, and what is folded
-    is one small struct per group. ``start`` gives counts that are already placed (pins): (stratum, train, valid, test).
+    Every step depends on those before, so a stratum is one ordered fold over small rows (hash, group, size), linear in the
+    number of groups. ``start`` gives counts that are already placed (pins): (stratum, train, valid, test).
     """
-    order = F.struct(seeded(seed, F.col(group)).alias("h"), F.col(group).alias("g"), F.col(size).cast("long").alias("n"))
-    per = groups.groupBy(stratum).agg(F.sort_array(F.collect_list(order)).alias("gs"), F.sum(size).alias("free"))
     names = [s for s, _ in SPLITS]
+    rows = groups.select(F.col(stratum), F.col(group), F.col(size).cast("long").alias(size), seeded(seed, F.col(group)).alias("_h"))
     if start is None:
-        per = per.select("*", *[F.lit(0).cast("long").alias(f"s_{s}") for s in names])
+        rows = rows.select("*", *[F.lit(0).cast("long").alias(f"s_{s}") for s in names])
     else:
-        per = per.join(start.select(F.col(stratum), *[F.col(s).alias(f"s_{s}") for s in names]), stratum, "left").na.fill(0, [f"s_{s}" for s in names])
-    per = per.withColumn("total", F.col("free") + sum((F.col(f"s_{s}") for s in names), F.lit(0)))
-    state = F.struct(*[F.col(f"s_{s}").cast("long").alias(s) for s in names], F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, g: Column) -> Column:
-        lack = [f * F.col("total") - acc[s] for s, f in SPLITS]
-        best = F.when((lack[0] >= lack[1]) & (lack[0] >= lack[2]), names[0]).when(lack[1] >= lack[2], names[1]).otherwise(names[2])
-        return F.struct(
-            *[(acc[s] + F.when(best == s, g["n"]).otherwise(F.lit(0).cast("long"))).alias(s) for s in names], F.concat(acc["out"], F.array(best)).alias("out")
-        )
-
-    folded = per.select(stratum, "gs", F.aggregate("gs", state, step)["out"].alias("out"))
-    rows = folded.select(stratum, F.explode(F.arrays_zip("gs", "out")).alias("z"))
-    return rows.select(stratum, F.col("z.gs.g").alias(group), F.col("z.gs.n").alias(size), F.col("z.out").alias("split"))
+        rows = rows.join(start.select(F.col(stratum), *[F.col(s).cast("long").alias(f"s_{s}") for s in names]), stratum, "left").na.fill(0, [f"s_{s}" for s in names])
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_h", group], kind="stable")
+        have = [int(part[f"s_{s}"].iloc[0]) for s in names]
+        total = int(part[size].sum()) + sum(have)
+        want = [f * total for _, f in SPLITS]
+        out = []
+        for n in part[size].tolist():
+            lack = [w - h for w, h in zip(want, have, strict=True)]
+            k = max(range(len(names)), key=lambda i: (lack[i], -i))
+            have[k] += n
+            out.append(names[k])
+        return part[[stratum, group, size]].assign(split=out)
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(stratum).applyInPandas(fold, f"{stratum} {kinds[stratum]}, {group} {kinds[group]}, {size} long, split string")
 
 
 def pinned_split(rows: DataFrame, group: str, pin: str) -> DataFrame:

@@ -49,7 +49,8 @@ def average_precision(hits: DataFrame, labels: DataFrame, by: list[str] | None =
     keys = [*by, cls, "j"]
     pts = curve_points(hits, labels, by, cls, conf, node, weight)
     order = [F.desc(conf), node, "c"]
-    back = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the other end, as a frame that ends at the last row is evaluated anew for every row
+    back = Window.partitionBy(*keys).orderBy(F.asc(conf), F.desc(node), F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(*keys).orderBy(*order)
     env = pts.select(*keys, "r", F.max("p").over(back).alias("y"), F.lag("r").over(ahead).alias("r0"), F.lag(F.lit(1)).over(ahead).alias("has"), F.lead("r").over(ahead).alias("r2"), conf, node, "c")
     env = env.select("*", F.lag("y").over(ahead).alias("y0"))

@@ -49,7 +49,7 @@ def win1_cumulative(spark, d):
 def win2_envelope(spark, d):
     h, l = _hits(spark, d)
     p = AP.curve_points(h.where("j = 0"), l, [])
-    back = Window.partitionBy("cls").orderBy(F.desc("conf"), "id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = Window.partitionBy("cls").orderBy(F.asc("conf"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return p.select("cls", "id", F.round("r", 9).alias("recall"), F.round(F.max("p").over(back), 9).alias("envelope"))
 
 
