@@ -163,9 +163,9 @@ def join15_paired(spark, d):
 
 def join22_either_way(spark, d):
     """Differences of pairs of nations looked up in either orientation, with the sign turned."""
-    c = load(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
+    c = load(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("v"))
     a, b = c.select(F.col("c_nationkey").alias("a"), F.col("v").alias("va")), c.select(F.col("c_nationkey").alias("b"), F.col("v").alias("vb"))
-    stored = a.withColumn("b", (F.col("a") + 1) % 25).where("a % 2 = 0").join(b, "b").select("a", "b", F.round(F.col("vb") - F.col("va"), 2).alias("diff"))
+    stored = a.withColumn("b", (F.col("a") + 1) % 25).where("a % 2 = 0").join(b, "b").select("a", "b", F.round(F.col("vb") - F.col("va"), 6).alias("diff"))
     both = stored.unionByName(stored.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("diff")).alias("diff")))
     return both.select("a", "b", "diff")
 
@@ -295,7 +295,7 @@ select l_returnflag, l_linestatus, count(*) as n, round(corr(a, b), 6) as rho fr
     "fil10_settings": "with a as (select p_type as name, avg(p_retailprice) v from part group by 1), b as (select name, case when name < 'M' then v else round(v, 0) end v from a where name <> 'ECONOMY') select a.name, round(a.v, 6) as va, round(b.v, 6) as vb from a full join b on a.name = b.name where not coalesce(abs(a.v - b.v) <= 1e-6 * greatest(abs(a.v), abs(b.v)), false)",
     "join14_tolerance": f"with {_L} select a.i, a.score as a, b.score as b, abs(a.score - b.score) <= 0.1 * greatest(a.score, b.score) as near from r a join r b on a.i = b.i where a.user_id = 1 and b.user_id = 2",
     "join15_paired": f"with {_L} select a.user_id, a.f as first, b.f as second from (select user_id, max(score) f from r where round = 0 group by 1) a join (select user_id, max(score) f from r where round = 1 group by 1) b using (user_id)",
-    "join22_either_way": "with c as (select c_nationkey k, round(avg(c_acctbal), 2) v from customer group by 1), s as (select x.k a, y.k b, round(y.v - x.v, 2) diff from c x join c y on y.k = (x.k + 1) % 25 where x.k % 2 = 0) select * from s union all select b, a, -diff from s",
+    "join22_either_way": "with c as (select c_nationkey k, avg(c_acctbal) v from customer group by 1), s as (select x.k a, y.k b, round(y.v - x.v, 6) diff from c x join c y on y.k = (x.k + 1) % 25 where x.k % 2 = 0) select * from s union all select b, a, -diff from s",
     "inc1_replay": f"with {_L} select user_id, i from r where i % 9 = 8",
     "inc2_run_cache": "select distinct o_custkey || '|' || o_orderpriority as run from orders where o_orderstatus <> 'F' and (o_custkey || '|' || o_orderpriority) not in (select o_custkey || '|' || o_orderpriority from orders where o_orderstatus = 'F')",
     "rpt1_generation_pivot": "select o_orderpriority, " + ", ".join(f"coalesce(printf('%.2f', round(avg(o_totalprice) filter (where o_orderstatus = '{s}'), 2)), 'n/a') as s_{s.lower()}" for s in "FOP") + " from orders group by o_orderpriority",

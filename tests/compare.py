@@ -2,7 +2,7 @@
 
 
 def one(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return "null"
     if type(v).__name__ in ("bool", "bool_"):
         return str(bool(v))
