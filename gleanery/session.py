@@ -54,6 +54,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gleanery/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; results that still read them must be written before."""
+    remove(spark, _run_dir(spark))
+
+
 def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
@@ -61,7 +70,7 @@ def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     step's shuffle files are deleted at once, which takes half a second: loops over small tables go without.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if free:
         release(spark)
