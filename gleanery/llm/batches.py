@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.pictures import ALIKE, FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
+from gleanery.llm.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
 from gleanery.session import stage
 
 SHARD_ROWS = 100_000
-QUERY_ROWS = 200_000
+QUERY_ROWS = 100_000
 BEAM = 56
 BEST = 2
 LINKS = 8
@@ -121,8 +121,7 @@ class Graph:
         d = self._bits(query.hash[q], v)
         same = d <= NEAR
         rest = np.flatnonzero(~same)
-        c = np.einsum("ij,ij->i", query.unit[q[rest]].astype(np.float64), self.data.unit[v[rest]].astype(np.float64))
-        same[rest] = c >= ALIKE
+        same[rest] = query.alike(q[rest], self.data, v[rest])
         return q[same], v[same]
 
 

@@ -89,19 +89,19 @@ class LinkedSplit:
         splits = sorted({s for x in shares.values() for s in x}, key=lambda s: (["train", "valid", "test"] + [s]).index(s))
         mean = {s: sum(x.get(s, 0.0) for x in shares.values()) / len(shares) for s in splits}
         node, _ = self._node()
-        rows = self.df.withColumn("_node", node)
-        lab = self.groups.select(F.col("node").alias("_node"), F.col("label").alias("_group"))
+        rows = self.df.withColumn("__gl_node", node)
+        lab = self.groups.select(F.col("node").alias("__gl_node"), F.col("label").alias("__gl_group"))
         counts = (
-            rows.groupBy("_node", source_key(F.col(domain)).alias("_d"), class_key(F.col(label)).alias("_c")).agg(F.count("*").alias("_n"))
-        ).where("_node is not null")
-        sizes = stage(counts.join(lab, "_node").groupBy("_group", "_d", "_c").agg(F.sum("_n").alias("_n")), "group-sizes")
+            rows.groupBy("__gl_node", source_key(F.col(domain)).alias("_d"), class_key(F.col(label)).alias("_c")).agg(F.count("*").alias("_n"))
+        ).where("__gl_node is not null")
+        sizes = stage(counts.join(lab, "__gl_node").groupBy("__gl_group", "_d", "_c").agg(F.sum("_n").alias("_n")), "group-sizes")
         total = sizes.agg(F.sum("_n")).first()[0] or 0
-        per_group = sizes.groupBy("_group").agg(F.sum("_n").alias("_n"))
-        heavy = {r["_group"] for r in per_group.where(F.col("_n") >= max(1.0, HEAVY * total)).select("_group").collect()}  # at most 1/HEAVY
+        per_group = sizes.groupBy("__gl_group").agg(F.sum("_n").alias("_n"))
+        heavy = {r["__gl_group"] for r in per_group.where(F.col("_n") >= max(1.0, HEAVY * total)).select("__gl_group").collect()}  # at most 1/HEAVY
         cells: dict[str, list] = {}
         if heavy:
-            for r in sizes.where(F.col("_group").isin(*heavy)).collect():
-                cells.setdefault(r["_group"], []).append((r["_d"], r["_c"], r["_n"]))
+            for r in sizes.where(F.col("__gl_group").isin(*heavy)).collect():
+                cells.setdefault(r["__gl_group"], []).append((r["_d"], r["_c"], r["_n"]))
         whole: dict[tuple, int] = {}
         for r in sizes.groupBy("_d", "_c").agg(F.sum("_n").alias("_n")).collect():  # domains x classes
             for k in (("d", r["_d"]), ("c", r["_c"])):
@@ -121,10 +121,10 @@ class LinkedSplit:
             placed[g] = best
             for k, n in own.items():
                 want[k, best] -= n
-        rest = sizes.where(~F.col("_group").isin(*heavy)) if heavy else sizes
+        rest = sizes.where(~F.col("__gl_group").isin(*heavy)) if heavy else sizes
         most = F.struct(F.col("_n"), F.col("_d"), F.col("_c"))
-        light = rest.groupBy("_group").agg(F.max(most).alias("_m"), F.sum("_n").alias("_n"))
-        light = light.select("_group", F.col("_m._d").alias("_d"), F.col("_m._c").alias("_c"), "_n", F.xxhash64(F.lit(salt), "_group").alias("_h"))
+        light = rest.groupBy("__gl_group").agg(F.max(most).alias("_m"), F.sum("_n").alias("_n"))
+        light = light.select("__gl_group", F.col("_m._d").alias("_d"), F.col("_m._c").alias("_c"), "_n", F.xxhash64(F.lit(salt), "__gl_group").alias("_h"))
         light = light.withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
         stratum = ["_d", "_c"]
         buckets = light.groupBy(*stratum, "_b").agg(F.sum("_n").alias("_bn"))
@@ -134,7 +134,7 @@ class LinkedSplit:
         )
         b = buckets.select(F.col("_d").alias("_d2"), F.col("_c").alias("_c2"), F.col("_b").alias("_b2"), "_before", "_all")
         joined = light.join(b, light["_d"].eqNullSafe(b["_d2"]) & light["_c"].eqNullSafe(b["_c2"]) & (light["_b"] == b["_b2"]))
-        inside = Window.partitionBy("_d", "_c", "_b").orderBy("_h", "_group").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("_d", "_c", "_b").orderBy("_h", "__gl_group").rowsBetween(Window.unboundedPreceding, -1)
         middle = (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_n") / 2) / F.col("_all")
         # what each domain still has to give to each split, once the heavy groups are placed
         left = [(d, *[max(0.0, want[("d", d), s]) for s in splits]) for k, d in whole if k == "d"]
@@ -149,16 +149,16 @@ class LinkedSplit:
                 pick = F.when(middle < v, s).otherwise(pick)
             cond = F.col("_d").eqNullSafe(F.lit(d))
             upper = F.when(cond, pick) if upper is None else upper.when(cond, pick)
-        light_out = joined.select("_group", (upper if upper is not None else F.lit(splits[0])).alias("_split"))
-        heavy_out = self.spark.createDataFrame(sorted(placed.items()), "_group string, _split string")
-        chosen = lab.join(light_out.unionByName(heavy_out), "_group")
+        light_out = joined.select("__gl_group", (upper if upper is not None else F.lit(splits[0])).alias("__gl_split"))
+        heavy_out = self.spark.createDataFrame(sorted(placed.items()), "__gl_group string, __gl_split string")
+        chosen = lab.join(light_out.unionByName(heavy_out), "__gl_group")
         # rows that name neither source nor uploader are groups of their own: by hash of the whole row
         lone = F.pmod(F.xxhash64(F.lit(salt), *[F.col(c) for c in self.df.columns]), F.lit(1 << 20)) / F.lit(float(1 << 20))
         pick, acc = F.lit(splits[-1]), 1.0
         for s in reversed(splits[1:]):
             acc -= mean[s]
             pick = F.when(lone < acc, splits[splits.index(s) - 1]).otherwise(pick)
-        out = rows.join(chosen, "_node", "left")
+        out = rows.join(chosen, "__gl_node", "left")
         return out.select(
-            *[rows[c] for c in self.df.columns], F.col("_group").alias("group_label"), F.coalesce("_split", pick).alias("assigned_split")
+            *[rows[c] for c in self.df.columns], F.col("__gl_group").alias("group_label"), F.coalesce("__gl_split", pick).alias("assigned_split")
         )

@@ -110,17 +110,38 @@ class Coded:
 
     def __init__(self, codes: list[bytes]) -> None:
         n = len(codes)
+        self.codes = codes
         self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
         self.has = np.array([len(c) > 32 for c in codes], bool)
         self.strings = np.zeros((n, SYMBOLS), np.int64)
-        self.unit = np.zeros((n, SIDE * SIDE))
+        self.unit = np.zeros((n, SIDE * SIDE), np.float32)
         held = [c for c in codes if len(c) > 32]
         if held:
             self.strings[self.has] = np.frombuffer(b"".join(c[32 : 32 + SYMBOLS] for c in held), np.uint8).reshape(-1, SYMBOLS)
-            rest = [c[32 + SYMBOLS :] for c in held]
-            thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
-            thumbs -= thumbs.mean(1, keepdims=True)
-            self.unit[self.has] = thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
+            at = np.flatnonzero(self.has)
+            for a in range(0, len(at), 4096):
+                self.unit[at[a : a + 4096]] = self._units(held[a : a + 4096])
+
+    @staticmethod
+    def _units(codes: list[bytes]) -> np.ndarray:
+        """Thumbnails with mean 0 and length 1."""
+        rest = [c[32 + SYMBOLS :] for c in codes]
+        thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
+        thumbs -= thumbs.mean(1, keepdims=True)
+        return thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
+
+    def alike(self, mine: np.ndarray, other: "Coded", theirs: np.ndarray) -> np.ndarray:
+        """Whether thumbnails correlate by at least ALIKE; what is close to it is computed again in double precision."""
+        out = np.zeros(len(mine), bool)
+        for a in range(0, len(mine), 65_536):
+            i, j = mine[a : a + 65_536], theirs[a : a + 65_536]
+            c = np.einsum("ij,ij->i", self.unit[i], other.unit[j]).astype(np.float64)
+            both = self.has[i] & other.has[j]
+            close = np.flatnonzero(both & (np.abs(c - ALIKE) < 1e-3))
+            if len(close):
+                c[close] = (self._units([self.codes[k] for k in i[close]]) * self._units([other.codes[k] for k in j[close]])).sum(1)
+            out[a : a + len(i)] = both & (c >= ALIKE)
+        return out
 
     def rings(self) -> np.ndarray:
         """(PIECES + SYMBOLS, n) keys; classes without a string keep to a place of their own on the string rings."""
@@ -150,8 +171,10 @@ def same_picture(a: Column, b: Column) -> Column:
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
         p, q = Coded(x.tolist()), Coded(y.tolist())
         d = np.bitwise_count(p.hash ^ q.hash).sum(1).astype(int)
-        c = np.where(p.has & q.has, np.einsum("ij,ij->i", p.unit.astype(np.float64), q.unit.astype(np.float64)), 0.0)
-        return pd.Series(np.where((d <= NEAR) | ((d <= FAR) & (c >= ALIKE)), d, -1)).replace(-1, None).astype("Int32")
+        near = np.flatnonzero((d > NEAR) & (d <= FAR))
+        same = d <= NEAR
+        same[near] = p.alike(near, q, near)
+        return pd.Series(np.where(same, d, -1)).replace(-1, None).astype("Int32")
 
     return test(a, b)
 

@@ -45,7 +45,7 @@ def test_assignment_keeps_groups_and_shares(spark):
 def test_empty_nulls_and_extra_columns(spark):
     t = spark.createDataFrame(SHARES, TARGETS)
     assert LinkedSplit(spark.createDataFrame([], ROWS)).assign(t).count() == 0
-    df = spark.createDataFrame([(1, None, None, None, None, 4), (2, "a", None, "studio", "x", 5), (2, "a", None, "studio", "x", 5)], ROWS + ", label int")
+    df = spark.createDataFrame([(1, None, None, None, None, 4), (2, "a", None, "studio", "x", 5), (2, "a", None, "studio", "x", 5)], ROWS + ", label int").withColumn("_node", __import__("pyspark").sql.functions.lit("keep"))
     out = LinkedSplit(df).assign(t).collect()
     assert len(out) == 3 and all(r.assigned_split in ("train", "valid", "test") for r in out)
-    assert len({r.assigned_split for r in out if r.row_id == 2}) == 1 and {r.label for r in out} == {4, 5}
+    assert len({r.assigned_split for r in out if r.row_id == 2}) == 1 and {r.label for r in out} == {4, 5} and {r["_node"] for r in out} == {"keep"}
