@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
 from gleanery.session import stage
 
-SHARD_ROWS = 100_000
-QUERY_ROWS = 100_000
+SHARD_ROWS = 200_000
+QUERY_ROWS = 300_000
 BEAM = 56
 BEST = 2
 LINKS = 8
@@ -80,9 +80,8 @@ class Graph:
         """(query number, node) of all pairs found that show the same picture."""
         n, out = len(self.data.hash), []
         if n and len(query.hash):
-            keys = query.rings()
             for a in range(0, len(query.hash), _PART):
-                out.append(self._part(query, keys[:, a : a + _PART], a, beam, best))
+                out.append(self._part(query, query.rings(a, a + _PART), a, beam, best))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([q for q, _ in out]), np.concatenate([v for _, v in out])

@@ -113,7 +113,7 @@ class Coded:
         self.codes = codes
         self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
         self.has = np.array([len(c) > 32 for c in codes], bool)
-        self.strings = np.zeros((n, SYMBOLS), np.int64)
+        self.strings = np.zeros((n, SYMBOLS), np.uint8)
         self.unit = np.zeros((n, SIDE * SIDE), np.float32)
         held = [c for c in codes if len(c) > 32]
         if held:
@@ -143,11 +143,16 @@ class Coded:
             out[a : a + len(i)] = both & (c >= ALIKE)
         return out
 
-    def rings(self) -> np.ndarray:
-        """(PIECES + SYMBOLS, n) keys; classes without a string keep to a place of their own on the string rings."""
-        p = prefixes(self.strings)
-        p[~self.has] = -1
-        return np.concatenate([pieces(self.hash), p], axis=1).T.copy()
+    def rings(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """(PIECES + SYMBOLS, n) keys of a slice; classes without a string keep to a place of their own on the string rings."""
+        out = np.empty((PIECES + SYMBOLS, len(self.hash[start:stop])), np.int32)
+        for a in range(0, out.shape[1], 16_384):
+            i = slice(start + a, start + min(a + 16_384, out.shape[1]))
+            p = prefixes(self.strings[i].astype(np.int64))
+            p[~self.has[i]] = -1
+            out[:PIECES, a : a + 16_384] = pieces(self.hash[i]).T
+            out[PIECES:, a : a + 16_384] = p.T
+        return out
 
 
 def suffix_keys(code: Column) -> Column:
@@ -158,7 +163,7 @@ def suffix_keys(code: Column) -> Column:
         c = Coded(codes.tolist())
         sketch = (c.hash[:, 3] >> np.uint64(64 - SKETCH)).astype(np.int64)[:, None]
         bits = ((np.arange(PIECES, dtype=np.int64) << 24) | pieces(c.hash)) << 32 | sketch
-        text = (((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings)) << 32 | sketch
+        text = (((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings.astype(np.int64))) << 32 | sketch
         return pd.Series([np.concatenate([x, y]) if has else x for x, y, has in zip(bits, text, c.has, strict=True)])
 
     return keys(code)
