@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
+from gleanery.operators.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
 from gleanery.session import stage
 
 SHARD_ROWS = 200_000

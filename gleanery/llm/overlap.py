@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import source_key, split_key
-from gleanery.llm.pictures import SKETCH, SKETCH_MOST, equality_keys, rows_and_classes, suffix_keys, verified
+from gleanery.operators.pictures import SKETCH, SKETCH_MOST, equality_keys, rows_and_classes, suffix_keys, verified
 from gleanery.session import stage
 
 

@@ -1,225 +1,3 @@
-"""What the operators on pictures share: rows and their equality keys, picture classes, their symbol strings, the exact test.
+"""The picture operators of the core, under the name by which the operators for training data know them."""
 
-Two rows show the same picture when their files are equal (ignoring case), or have the same export stem (what stands before
-``.rf.``), or their fingerprints have equal md5, or the 256-bit difference hashes differ in at most ``NEAR`` bits, or in at most
-``FAR`` bits with a Pearson correlation of the thumbnails of at least ``ALIKE``.
-
-Rows that share a hash and a thumbnail are one *class*; near pairs are sought between classes, so that copies cost nothing.
-"""
-
-from __future__ import annotations
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from gleanery.functions.names import file_key, stem_key
-
-NEAR, FAR, ALIKE = 10, 40, 0.90
-HASH = ("h0", "h1", "h2", "h3")
-#: Symbols of a thumbnail's string; suffixes start at each of them, in a ring.
-SYMBOLS = 31
-#: A suffix's prefix: three symbols at these steps, so that two suffixes of one string share one symbol at most.
-STEPS = (0, 1, 3)
-#: NEAR differing bits leave one of NEAR + 1 pieces untouched.
-PIECES = NEAR + 1
-#: Bits of the hash that travel with every suffix, and how many of them may differ in a candidate: pairs within NEAR bits never
-#: exceed that, of pairs at FAR bits fewer than one in a thousand do.
-SKETCH, SKETCH_MOST = 29, 11
-SIDE = 8
-
-
-def _directions() -> np.ndarray:
-    """Orthonormal directions per symbol, at right angles to the plane of brightness and its slopes."""
-    rng = np.random.default_rng(20260101)
-    n = SIDE * SIDE
-    y, x = np.divmod(np.arange(n), SIDE)
-    plane = np.linalg.qr(np.c_[np.ones(n), x - x.mean(), y - y.mean()])[0]
-    free = np.eye(n) - plane @ plane.T
-    return np.concatenate([free @ np.linalg.qr(rng.normal(size=(n, n)))[0] for _ in range(SYMBOLS)], axis=1).astype(np.float32)
-
-
-def symbols(thumbs: np.ndarray) -> np.ndarray:
-    """(n, SYMBOLS) strings: for each symbol the direction, with its sign, that the thumbnail points to most.
-
-    Brightness and contrast do not matter, and neither does a slope of light over the picture.
-    """
-    n = SIDE * SIDE
-    out = np.empty((len(thumbs), SYMBOLS), np.int64)
-    d = _directions()
-    for a in range(0, len(thumbs), 2048):
-        t = thumbs[a : a + 2048].astype(np.float32)
-        t -= t.mean(1, keepdims=True)
-        y = t @ d
-        for s in range(SYMBOLS):
-            part = y[:, s * n : (s + 1) * n]
-            hi, lo = part.argmax(1), part.argmin(1)
-            rows = np.arange(len(part))
-            up = part[rows, hi] >= -part[rows, lo]
-            out[a : a + len(t), s] = np.where(up, hi * 2, lo * 2 + 1)
-    return out
-
-
-def prefixes(strings: np.ndarray) -> np.ndarray:
-    """(n, SYMBOLS) keys: the prefix of the suffix from each position, as one number without the position."""
-    key = np.zeros_like(strings)
-    for step in STEPS:
-        key = key * (2 * SIDE * SIDE) + np.roll(strings, -step, axis=1)
-    return key
-
-
-def pieces(hashes: np.ndarray) -> np.ndarray:
-    """(n, PIECES) pieces of the 256 bits of (n, 4) unsigned words."""
-    bits = np.unpackbits(np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8), axis=1)
-    cuts = np.linspace(0, 256, PIECES + 1).astype(int)
-    out = np.zeros((len(hashes), PIECES), np.int64)
-    for i in range(PIECES):
-        part = bits[:, cuts[i] : cuts[i + 1]].astype(np.int64)
-        out[:, i] = part @ (1 << np.arange(part.shape[1]))
-    return out
-
-
-def usable(thumbs: pd.Series) -> np.ndarray:
-    """Whether a thumbnail has SIDE x SIDE finite values that are not all equal (else no correlation is defined)."""
-    n = SIDE * SIDE
-    return np.array([t is not None and len(t) == n and bool(np.isfinite(t).all()) and float(np.ptp(t)) > 0 for t in thumbs], bool)
-
-
-def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Column:
-    """A class as bytes: hash, symbol string, and thumbnail (one byte a value where that is exact); no string without one."""
-
-    @F.pandas_udf("binary")
-    def pack(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, t: pd.Series) -> pd.Series:
-        h = np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], axis=1)
-        ok = usable(t)
-        out = [row.tobytes() for row in h]
-        if ok.any():
-            thumbs = np.stack(t[ok].to_list()).astype(np.float64)
-            strings = symbols(thumbs).astype(np.uint8)
-            tiny = ((thumbs >= 0) & (thumbs <= 255) & (thumbs == np.floor(thumbs))).all(1)
-            for k, i in enumerate(np.flatnonzero(ok)):
-                out[i] += strings[k].tobytes() + (thumbs[k].astype(np.uint8) if tiny[k] else thumbs[k]).tobytes()
-        return pd.Series(out)
-
-    return pack(h0, h1, h2, h3, thumb)
-
-
-class Coded:
-    """Arrays of many packed classes."""
-
-    def __init__(self, codes: list[bytes]) -> None:
-        n = len(codes)
-        self.codes = codes
-        self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
-        self.has = np.array([len(c) > 32 for c in codes], bool)
-        self.strings = np.zeros((n, SYMBOLS), np.uint8)
-        self.unit = np.zeros((n, SIDE * SIDE), np.float32)
-        held = [c for c in codes if len(c) > 32]
-        if held:
-            self.strings[self.has] = np.frombuffer(b"".join(c[32 : 32 + SYMBOLS] for c in held), np.uint8).reshape(-1, SYMBOLS)
-            at = np.flatnonzero(self.has)
-            for a in range(0, len(at), 4096):
-                self.unit[at[a : a + 4096]] = self._units(held[a : a + 4096])
-
-    @staticmethod
-    def _units(codes: list[bytes]) -> np.ndarray:
-        """Thumbnails with mean 0 and length 1."""
-        rest = [c[32 + SYMBOLS :] for c in codes]
-        thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
-        thumbs -= thumbs.mean(1, keepdims=True)
-        return thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
-
-    def alike(self, mine: np.ndarray, other: "Coded", theirs: np.ndarray) -> np.ndarray:
-        """Whether thumbnails correlate by at least ALIKE; what is close to it is computed again in double precision."""
-        out = np.zeros(len(mine), bool)
-        for a in range(0, len(mine), 65_536):
-            i, j = mine[a : a + 65_536], theirs[a : a + 65_536]
-            c = np.einsum("ij,ij->i", self.unit[i], other.unit[j]).astype(np.float64)
-            both = self.has[i] & other.has[j]
-            close = np.flatnonzero(both & (np.abs(c - ALIKE) < 1e-3))
-            if len(close):
-                c[close] = (self._units([self.codes[k] for k in i[close]]) * self._units([other.codes[k] for k in j[close]])).sum(1)
-            out[a : a + len(i)] = both & (c >= ALIKE)
-        return out
-
-    def rings(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """(PIECES + SYMBOLS, n) keys of a slice; classes without a string keep to a place of their own on the string rings."""
-        out = np.empty((PIECES + SYMBOLS, len(self.hash[start:stop])), np.int32)
-        for a in range(0, out.shape[1], 16_384):
-            i = slice(start + a, start + min(a + 16_384, out.shape[1]))
-            p = prefixes(self.strings[i].astype(np.int64))
-            p[~self.has[i]] = -1
-            out[:PIECES, a : a + 16_384] = pieces(self.hash[i]).T
-            out[PIECES:, a : a + 16_384] = p.T
-        return out
-
-
-def suffix_keys(code: Column) -> Column:
-    """All suffixes of a class as numbers: position (6 bits) and prefix (24 bits) above 32, a sketch of the hash below."""
-
-    @F.pandas_udf("array<long>")
-    def keys(codes: pd.Series) -> pd.Series:
-        c = Coded(codes.tolist())
-        sketch = (c.hash[:, 3] >> np.uint64(64 - SKETCH)).astype(np.int64)[:, None]
-        bits = ((np.arange(PIECES, dtype=np.int64) << 24) | pieces(c.hash)) << 32 | sketch
-        text = (((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings.astype(np.int64))) << 32 | sketch
-        return pd.Series([np.concatenate([x, y]) if has else x for x, y, has in zip(bits, text, c.has, strict=True)])
-
-    return keys(code)
-
-
-def same_picture(a: Column, b: Column) -> Column:
-    """The exact test on two packed classes: the differing bits where they show the same picture, else null."""
-
-    @F.pandas_udf("int")
-    def test(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = Coded(x.tolist()), Coded(y.tolist())
-        d = np.bitwise_count(p.hash ^ q.hash).sum(1).astype(int)
-        near = np.flatnonzero((d > NEAR) & (d <= FAR))
-        same = d <= NEAR
-        same[near] = p.alike(near, q, near)
-        return pd.Series(np.where(same, d, -1)).replace(-1, None).astype("Int32")
-
-    return test(a, b)
-
-
-def rows_and_classes(split: DataFrame, prints: DataFrame, *keep: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(row_id, keep..., file_k, stem_k, md5_k, class_k)`` and classes ``(class_k, code)``.
-
-    A file may have several different fingerprints: then its rows come once for each. Keys are 64-bit hashes (two different
-    ones among a billion agree with a probability of a few per cent); null names, hashes and md5 have none.
-    """
-    blank = F.greatest(*[F.col(h).isNull() for h in HASH])
-    prints = prints.where("file is not null").select(
-        F.xxhash64(F.lit("f"), file_key(F.col("file"))).alias("file_k"),
-        F.when(F.col("md5").isNotNull(), F.xxhash64(F.lit("m"), F.col("md5"))).alias("md5_k"),
-        F.when(~blank, F.xxhash64(F.lit("c"), *HASH, "thumb")).alias("class_k"),
-        *HASH,
-        "thumb",
-    )
-    packed = prints.where("class_k is not null").select("class_k", code(*[F.col(h) for h in HASH], F.col("thumb")).alias("code"))
-    classes = packed.groupBy("class_k").agg(F.min("code").alias("code"))
-    rows = split.where("row_id is not null").select(
-        "row_id",
-        *keep,
-        F.when(F.col("file").isNotNull(), F.xxhash64(F.lit("f"), file_key(F.col("file")))).alias("file_k"),
-        F.when(stem_key(F.col("file")).isNotNull(), F.xxhash64(F.lit("s"), stem_key(F.col("file")))).alias("stem_k"),
-    )
-    of_file = prints.select("file_k", "md5_k", "class_k").distinct()
-    return rows.join(of_file, "file_k", "left"), classes
-
-
-def equality_keys(rows: DataFrame, *keep: str) -> DataFrame:
-    """``(k, row_id, keep...)``, one row for each thing by which a row may equal another."""
-    keys = F.array_distinct(F.array_compact(F.array("file_k", "stem_k", "md5_k", "class_k")))
-    return rows.select(F.explode(keys).alias("k"), "row_id", *keep).distinct()
-
-
-def verified(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs of classes ``(a, b)`` that show the same picture, with ``bits`` that differ."""
-    one = classes.select("class_k", "code").repartition("class_k")  # the same exchange for both sides
-    a = one.select(F.col("class_k").alias("a"), F.col("code").alias("_ca"))
-    b = one.select(F.col("class_k").alias("b"), F.col("code").alias("_cb"))
-    tested = candidates.join(a, "a").join(b, "b").select("a", "b", same_picture(F.col("_ca"), F.col("_cb")).alias("bits"))
-    return tested.where("bits is not null")
+from gleanery.operators.pictures import *  # noqa: F403

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import class_key, file_key, source_key, split_key, stem_key
-from gleanery.operators import allocate, duplicates
+from gleanery.operators import allocate, duplicates, pictures
 from gleanery.tables import broadcast_small, load
 
 SEED = 7
@@ -31,6 +31,11 @@ def dup2_near_pairs(spark, d):
     return duplicates.bit_pairs(p, "f", ["h0", "h1", "h2", "h3"], 10)
 
 
+def dup2_near_pairs_full(spark, d):
+    """Pairs of fingerprinted files by both rules, with the rule: within 10 bits, or within 40 with thumbnails that correlate by 0.9."""
+    return pictures.near_files(load(spark, d, "fingerprints"))
+
+
 def join8_vector_pairs(spark, d):
     """Every fiftieth vector against all others: signs that differ in at most 22 of 64 bits, and a correlation of at least 0.2."""
     e = load(spark, d, "embeddings").select("vec_id", "embedding", duplicates.sign_bits(F.col("embedding")).alias("w"))
