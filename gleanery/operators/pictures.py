@@ -269,3 +269,13 @@ def near_files(prints: DataFrame) -> DataFrame:
     near = near_classes(classes).join(x, "a").join(y, "b").where("fa <> fb").select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb"), "bits")
     pairs = copies.unionByName(near).groupBy(F.col("fa").alias("a"), F.col("fb").alias("b")).agg(F.min("bits").alias("bits"))
     return pairs.select("a", "b", "bits", F.when(F.col("bits") <= NEAR, "dhash").otherwise("thumb_corr").alias("rule"))
+
+
+def near_groups(prints: DataFrame) -> DataFrame:
+    """``(f, near_dup)`` of all files with a hash: the smallest file of its component of near pairs, its own name if it has none."""
+    files, classes = files_and_classes(prints)
+    first = files.groupBy("f").agg(F.min("class_k").alias("a"))  # classes of one file belong together
+    own = files.join(first, "f").select("a", F.col("class_k").alias("b")).where("a <> b")
+    labels = connected_components(near_classes(classes).select("a", "b").unionByName(own))
+    member = files.join(labels, files["class_k"] == labels["node"], "left").select("f", F.coalesce("label", "class_k").alias("g"))
+    return member.join(member.groupBy("g").agg(F.min("f").alias("near_dup")), "g").select("f", "near_dup").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.names import class_key, file_key, source_key, split_key, stem_key
 from gleanery.operators import allocate, duplicates, pictures
+from gleanery.session import stage
 from gleanery.tables import broadcast_small, load
 
 SEED = 7
@@ -25,6 +26,15 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("stem", stem_key(F.col("f")))
 
 
+def _near_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with md5, export stem and the near-duplicate group of their file."""
+    return stage(_keyed(spark, d).join(pictures.near_groups(load(spark, d, "fingerprints")), "f", "left"), "near-keyed")
+
+
+def _full_groups(k: DataFrame) -> DataFrame:
+    return duplicates.groups(k, "row_id", [F.col("f"), F.col("md5"), F.col("stem"), F.col("near_dup")])
+
+
 def dup2_near_pairs(spark, d):
     """Pairs of fingerprints within 10 bits, by bands one of which every such pair shares."""
     p = load(spark, d, "fingerprints").where("file is not null").groupBy(file_key(F.col("file")).alias("f")).agg(*[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
@@ -62,6 +72,16 @@ def dup4_groups(spark, d):
     return duplicates.groups(k, "row_id", [F.col("f"), F.col("md5"), F.col("stem")])
 
 
+def dup3_near_groups(spark, d):
+    """The near-duplicate group of every hashed file, named by its smallest file."""
+    return pictures.near_groups(load(spark, d, "fingerprints"))
+
+
+def dup4_groups_full(spark, d):
+    """Groups of rows linked by file, md5, export stem or near-duplicate group."""
+    return _full_groups(_near_keyed(spark, d))
+
+
 def agg7_shared_key_pairs(spark, d):
     return duplicates.shared_key_pairs(_keyed(spark, d), F.col("md5"))
 
@@ -73,12 +93,31 @@ def agg8_duplicate_summary(spark, d):
     return per.agg(F.count("*").alias("groups"), F.sum("n").alias("rows_in_groups"), F.sum((F.col("sources") > 1).cast("int")).alias("cross_source"))
 
 
+def agg8_duplicate_summary_full(spark, d):
+    k = _near_keyed(spark, d)
+    g = _full_groups(k).join(k.select(F.col("row_id").alias("node"), "source").distinct(), "node")
+    per = g.groupBy("label").agg(F.countDistinct("node").alias("n"), F.countDistinct("source").alias("sources")).where("n > 1")
+    return per.agg(F.count("*").alias("groups"), F.sum("n").alias("rows_in_groups"), F.sum((F.col("sources") > 1).cast("int")).alias("cross_source"))
+
+
 def win11_group_numbers(spark, d):
     g = dup4_groups(spark, d)
     per = g.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
     return g.join(per, "label").select("node", F.col("label").alias("group_id"), "n")
 
 
+def win11_group_numbers_full(spark, d):
+    g = dup4_groups_full(spark, d)
+    per = g.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    return g.join(per, "label").select("node", F.col("label").alias("group_id"), "n")
+
+
+def spl3_leaks_full(spark, d):
+    """Leaks by near-duplicate groups too."""
+    k = _near_keyed(spark, d)
+    return duplicates.leaks(k, "row_id", "split", [F.col("f"), F.col("md5"), F.col("stem"), F.col("near_dup")]).select(F.col("node").alias("row_id"))
+
+
 def spl3_leaks(spark, d):
     k = _keyed(spark, d)
     return duplicates.leaks(k, "row_id", "split", [F.col("f"), F.col("md5"), F.col("stem")]).select(F.col("node").alias("row_id"))
@@ -89,6 +128,11 @@ def agg9_leak_matrix(spark, d):
     return duplicates.leak_matrix(k, "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem")})
 
 
+def agg9_leak_matrix_full(spark, d):
+    k = _near_keyed(spark, d).where("split in ('train', 'valid', 'test')")
+    return duplicates.leak_matrix(k, "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem"), "near_dup": F.col("near_dup")})
+
+
 def spl1_greedy_split(spark, d):
     """Files to splits per class, one group per file."""
     g = _rows(spark, d).where("f is not null and cls is not null").groupBy("f").agg(F.min("cls").alias("cls"), F.count("*").alias("n"))

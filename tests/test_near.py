@@ -1,8 +1,11 @@
 """Both rules of near-duplicates against exhaustive search."""
 
+from collections import Counter
+
 import numpy as np
 
 from gleanery.operators import pictures
+from gleanery.plans import record_queries
 from gleanery.plans.registry import QUERIES
 
 HASHED = """select lower(file) f, any_value(h0) h0, any_value(h1) h1, any_value(h2) h2, any_value(h3) h3, any_value(thumb) thumb
@@ -44,3 +47,57 @@ def test_near_pairs_met_through_a_third(spark, monkeypatch):
     df = spark.createDataFrame([(f, *h, [float(v) for v in t]) for f, h, t in rows], "file string, h0 long, h1 long, h2 long, h3 long, thumb array<double>")
     got = {(r.a, r.b): (r.bits, r.rule) for r in pictures.near_files(df).collect()}
     assert got == {("a", "b"): (10, "dhash"), ("b", "c"): (10, "dhash"), ("a", "c"): (20, "thumb_corr")}
+
+
+def components(nodes, links):
+    """{node: smallest node of its component}, by union-find."""
+    up = {n: n for n in nodes}
+
+    def find(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {n: find(n) for n in up}
+
+
+def expected_rows(spark, folder, duck):
+    """({file: near group}, [(row, split, source, {key: value})], {row: whole group})"""
+    near = components([r[0] for r in duck.execute(HASHED).fetchall()], exhaustive(duck))
+    rows = [(r.row_id, r.split, r.source, {"file": r.f, "md5": r.md5, "stem": r.stem, "near_dup": near.get(r.f)}) for r in record_queries._keyed(spark, folder).collect()]
+    first, links = {}, []
+    for row, _, _, keys in rows:
+        links += [(row, first.setdefault(k, row)) for k in keys.items() if k[1] is not None]
+    return near, rows, components([r[0] for r in rows], links)
+
+
+def test_groups_and_leaks_by_all_keys(spark, folder, duck):
+    near, rows, whole = expected_rows(spark, folder, duck)
+    run = lambda name: QUERIES[name](spark, folder).collect()
+    assert {r.f: r.near_dup for r in run("dup3_near_groups")} == near
+    assert {r.node: r.label for r in run("dup4_groups_full")} == whole
+    assert len(set(whole.values())) < len({r.label for r in run("dup4_groups")})  # look-alikes link more
+    size = Counter(whole.values())
+    assert {(r.node, r.group_id, r.n) for r in run("win11_group_numbers_full")} == {(n, g, size[g]) for n, g in whole.items() if size[g] > 1}
+    sources = {g: {s for r, _, s, _ in rows if whole[r] == g} - {None} for g in size if size[g] > 1}
+    assert [tuple(r) for r in run("agg8_duplicate_summary_full")] == [(len(sources), sum(size[g] for g in sources), sum(len(s) > 1 for s in sources.values()))]
+    rank = {"train": 1, "valid": 2, "test": 3}
+    top, held = {}, Counter()
+    for _, split, _, keys in rows:
+        for k in keys.items():
+            if k[1] is not None and split in rank:
+                top[k] = max(top.get(k, 0), rank[split])
+                held[k, split] += 1
+    leaked = {r for r, split, _, keys in rows if split in rank and any(rank[split] < top[k] for k in keys.items() if k[1] is not None)}
+    assert {r.row_id for r in run("spl3_leaks_full")} == leaked
+    assert len(leaked) > len(run("spl3_leaks"))
+    matrix = Counter()
+    for (k, a), n in held.items():
+        for b in rank:
+            if b != a and (k, b) in held:
+                matrix[k[0], a, b] += n
+    assert {(r.key_name, r.split_a, r.split_b): r.rows for r in run("agg9_leak_matrix_full")} == dict(matrix)
