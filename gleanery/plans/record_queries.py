@@ -146,6 +146,26 @@ def spl2_pinned_split(spark, d):
     return allocate.split_with_pins(r, "row_id", "f", "cls", "pin", SEED)
 
 
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a file, the label of their whole duplicate group, and their class (``background`` where it has none)."""
+    k = _near_keyed(spark, d)
+    g = _full_groups(k).select(F.col("node").alias("row_id"), "label")
+    return stage(k.where("f is not null").join(g, "row_id").withColumn("cls", F.coalesce("cls", F.lit("background"))), "grouped")
+
+
+def spl1_greedy_split_full(spark, d):
+    """Whole duplicate groups to splits, in the class of their first row."""
+    r = _grouped(spark, d)
+    g = r.groupBy("label").agg(F.min_by("cls", "row_id").alias("cls"), F.count("*").alias("n"))
+    return r.select("row_id", "label").join(allocate.greedy_split(g, "cls", "label", "n", SEED).select("label", "cls", "split"), "label")
+
+
+def spl2_pinned_split_full(spark, d):
+    """Rows of batch 1 pin their whole duplicate group to the split they were delivered in."""
+    r = _grouped(spark, d).withColumn("pin", F.when((F.col("batch_no") == 1) & F.col("split").isin("train", "valid", "test"), F.col("split")))
+    return allocate.split_with_pins(r.drop("split"), "row_id", "label", "cls", "pin", SEED)
+
+
 def win12_largest_remainder(spark, d):
     c = _rows(spark, d).where("cls is not null").groupBy("cls").agg(F.count("*").alias("n"))
     return allocate.largest_remainder(c, "cls", "n", TOTAL)

@@ -101,3 +101,23 @@ def test_groups_and_leaks_by_all_keys(spark, folder, duck):
             if b != a and (k, b) in held:
                 matrix[k[0], a, b] += n
     assert {(r.key_name, r.split_a, r.split_b): r.rows for r in run("agg9_leak_matrix_full")} == dict(matrix)
+
+
+def test_splits_keep_groups_whole(spark, folder, duck):
+    _, rows, whole = expected_rows(spark, folder, duck)
+    files = {r for r, _, _, keys in rows if keys["file"] is not None}
+    got = {r.row_id: (r.label, r.split) for r in QUERIES["spl1_greedy_split_full"](spark, folder).collect()}
+    assert {r: g for r, (g, _) in got.items()} == {r: whole[r] for r in files}
+    assert len(set(got.values())) == len({g for g, _ in got.values()})
+    batch = dict(duck.execute("select row_id, batch_no from split").fetchall())
+    rank = {"train": 1, "valid": 2, "test": 3}
+    pins = {}
+    for r, split, _, _ in rows:
+        if r in files and batch[r] == 1 and split in rank:
+            pins[whole[r]] = max(pins.get(whole[r], split), split, key=rank.get)
+    own = {r: split for r, split, _, _ in rows}
+    pinned = QUERIES["spl2_pinned_split_full"](spark, folder).collect()
+    assert {r.row_id for r in pinned} == files
+    assert len({(whole[r.row_id], r.split) for r in pinned}) == len({whole[r.row_id] for r in pinned})
+    assert all(r.split == pins.get(whole[r.row_id], r.split) for r in pinned)
+    assert {r.row_id for r in pinned if r.excluded} == {r for r in files if batch[r] == 1 and own[r] in rank and own[r] != pins[whole[r]]}
