@@ -155,6 +155,15 @@ def join14_tolerance(spark, d):
     return a.join(b, "i").select("i", "a", "b", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.greatest("a", "b")).alias("near"))
 
 
+def join14_tolerance_all(spark, d):
+    """Evaluations of every search and the next one (by user) with the same index, and whether their scores are equal within 1e-9."""
+    l = _log(spark, d).select("user_id", "i", "score")
+    # one row a user for the window, so that the evaluations themselves are joined by key
+    nxt = l.select("user_id").distinct().select("user_id", F.lead("user_id").over(Window.partitionBy(F.lit(0)).orderBy("user_id")).alias("next_id"))
+    a, b = l.join(nxt, "user_id").withColumnRenamed("score", "a"), l.select(F.col("user_id").alias("next_id"), "i", F.col("score").alias("b"))
+    return a.join(b, ["next_id", "i"]).select("user_id", "next_id", "i", "a", "b", (F.abs(F.col("a") - F.col("b")) <= 1e-9 * F.greatest(F.abs("a"), F.abs("b"))).alias("near"))
+
+
 def join15_paired(spark, d):
     l = _log(spark, d)
     a, b = l.where("round = 0").groupBy("user_id").agg(F.max("score").alias("first")), l.where("round = 1").groupBy("user_id").agg(F.max("score").alias("second"))
