@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from gleanery.llm import batches
 from gleanery.operators import pictures
 from gleanery.plans import record_queries
 from gleanery.plans.registry import QUERIES
@@ -121,3 +122,8 @@ def test_splits_keep_groups_whole(spark, folder, duck):
     assert len({(whole[r.row_id], r.split) for r in pinned}) == len({whole[r.row_id] for r in pinned})
     assert all(r.split == pins.get(whole[r.row_id], r.split) for r in pinned)
     assert {r.row_id for r in pinned if r.excluded} == {r for r in files if batch[r] == 1 and own[r] in rank and own[r] != pins[whole[r]]}
+
+
+def test_history_shards_are_no_larger_than_measured():
+    """Shards of 200,000 lost pairs that shards of 100,000 find."""
+    assert batches.SHARD_ROWS <= 100_000
