@@ -8,8 +8,9 @@ are reranked exactly (bits, correlation).
 
 Every batch becomes a new segment once it has been searched; segments of equal size are compacted in pairs (after batch 2, 4,
 6, 8, ...), so that a batch meets about log2(n) segments, and old ones are not touched again. Segments above ``SHARD_ROWS`` are
-split in shards. ``replay`` runs all batches of a table as they would have come in: since a segment does not depend on the
-batches that search it, all searches of one table are one job.
+split in shards. This is computed over a whole table at once: since a segment does not depend on the batches that search it, all
+searches of one table are one job. Not built: no shard is stored, every run builds all segments again, and there is no call
+that appends one new batch to a kept history.
 
 The beam was tuned against exhaustive search (README); pairs within NEAR bits share a piece of the hash and cannot be missed.
 
