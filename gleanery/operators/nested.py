@@ -5,11 +5,16 @@ joins the levels, and one ``inline`` per target table emits the rows. No join an
 row carries the key of its parent.
 
 Defined results: a null body, a body that is not one complete JSON value, or one without a ``shapes`` array gives no row. A
-byte order mark and blanks around the body are ignored. The record may be the body itself, the value of one of its fields
-or elements, up to ``WRAPS`` levels down, and either may be JSON text inside a JSON string. Shapes that are not objects keep
+byte order mark and blanks around the body are ignored. A record may be the body itself or stand in any field or element, at
+any depth, and what holds it may be JSON text inside a JSON string. A body may hold several records: they are numbered by level,
+then by position (fields in the order of their names). Inside a record no further one is sought. Shapes that are not objects keep
 their number and give no row; so do points without two finite numbers (numbers may be written as text; booleans are no
 numbers). Points may be pairs, objects with ``x`` and ``y``, or one flat list of coordinates. Repeated bodies are separate
-records. Columns of the input other than the key and the body are ignored, whatever their names.
+records, and so are bodies with a repeated key, as far as they are readable (a field given twice makes a body unreadable).
+Columns of the input other than the key and the body are ignored, whatever their names.
+
+Levels: one projection unrolls ``WRAPS`` levels of what holds a record and ``LEVELS`` levels of children. Deeper ones go through
+further rounds, over those bodies alone whose text allows for more (``_may_be_deeper``), so that no other body is parsed twice.
 """
 
 from __future__ import annotations
@@ -17,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of ``children`` unrolled in one projection; deeper records go through further rounds of the same projection.
+#: Levels of ``children`` unrolled in one projection.
 LEVELS = 6
-#: How many levels of wrapping objects or arrays are searched for the record.
+#: Levels of objects or arrays around a record that are searched in one projection.
 WRAPS = 2
 
-
 _ITEMS = "array<variant>"
 
 
@@ -61,71 +65,110 @@ def _is_record(v: Column) -> Column:
     return _variant(v, "$.shapes", _ITEMS).isNotNull()
 
 
-def held(df: DataFrame, key: str, body: str) -> DataFrame:
-    """``(_k, _r)``: the first record of each body, which is the value itself, else the nearest level that holds one.
+def _is_held(v: Column) -> Column:
+    return _variant(v, "$.shapes", _ITEMS).isNull()
+
+
+def _may_be_deeper(body: Column) -> Column:
+    """Whether the text allows for a record below ``WRAPS`` levels, or for children below ``LEVELS``.
+
+    A record at level n has more than n brackets before its ``shapes``; children at level n need the word n times. Letters that
+    are written as escapes, and a second ``shapes``, allow for anything.
+    """
+    opened = F.length(F.regexp_replace(F.substring_index(body, "shapes", 1), r"[^\[{]", ""))
+    times = lambda word: (F.length(body) - F.length(F.replace(body, F.lit(word), F.lit("")))) / len(word)
+    held_deep = body.contains("shapes") & ((times("shapes") > 1) | (opened > WRAPS + 1))
+    return body.contains("\\u006") | body.contains("\\u007") | held_deep | (times("children") > LEVELS)
+
+
+def held(df: DataFrame, key: str, body: str, levels: int = WRAPS) -> DataFrame:
+    """``(_k, _records, _rest)``: all records of each body down to that level, and what is still to be searched.
 
     Every step is a projection of its own, and no filter stands on a computed column (it would be pushed down and
-    evaluate the chain again): bodies without a record come back with a null ``_r``.
+    evaluate the chain again): bodies without a record come back with an empty array.
     """
     out = df.select(F.col(key).alias("_k"), parsed(F.col(body)).alias("_v"))
-    out = out.select("_k", F.array(_unquoted(F.col("_v"))).alias("_l0"))
-    none = F.array().cast(_ITEMS)
-    for k in range(WRAPS):
-        searched = F.when(~F.exists(f"_l{k}", _is_record), F.flatten(F.transform(f"_l{k}", _inner)))
-        out = out.select("*", F.coalesce(searched, none).alias(f"_l{k + 1}"))
-    levels = F.concat(*[F.col(f"_l{k}") for k in range(WRAPS + 1)])
-    return out.select("_k", F.get(F.filter(levels, _is_record), F.lit(0)).alias("_r"))
-
-
-def _children(prefix: Column, holder: Column, field: str) -> Column:
-    """The shapes in ``holder.field`` as structs of path, parent's path and value."""
-    none = F.array().cast("array<struct<path:string,parent:string,v:variant>>")
+    out = out.select("_k", F.array().cast(_ITEMS).alias("_records"), F.array(_unquoted(F.col("_v"))).alias("_rest"))
+    for _ in range(levels + 1):
+        inside = F.flatten(F.transform(F.filter("_rest", _is_held), _inner))
+        out = out.select("_k", F.concat("_records", F.filter("_rest", _is_record)).alias("_records"), inside.alias("_rest"))
+    return out
+
+
+def _unrolled(df: DataFrame, key: str, body: str, wraps: int, levels: int) -> DataFrame:
+    """``(_k, _records, _rest, _l0, ..)``: the records of each body, and its shapes by level."""
+    top = held(df, key, body, wraps)
+    top = top.select("*", F.flatten(F.transform("_records", lambda r, i: _children(i, F.lit(None).cast("string"), r, "shapes"))).alias("_l0"))
+    for k in range(levels):
+        below = F.flatten(F.transform(f"_l{k}", lambda s: _children(s["rec"], s["path"], s["v"], "children")))
+        top = top.select("*", below.alias(f"_l{k + 1}"))
+    return top
+
+
+def _parts(df: DataFrame, key: str, body: str) -> list[tuple[DataFrame, int, int]]:
+    """Bodies with the levels to unroll for them: all at once, unless some are deeper than that."""
+    deeper = F.coalesce(_may_be_deeper(F.col(body)), F.lit(False))
+    rest, wraps, levels = df.where(deeper), WRAPS, LEVELS
+    while True:
+        most = _unrolled(rest, key, body, wraps, levels).agg(F.max(F.size("_rest")), F.max(F.size(f"_l{levels}"))).first()
+        if not any(most):
+            break
+        wraps, levels = wraps * 2 if most[0] else wraps, levels * 2 if most[1] else levels
+    if (wraps, levels) == (WRAPS, LEVELS):
+        return [(df, wraps, levels)]
+    return [(df.where(~deeper), WRAPS, LEVELS), (rest, wraps, levels)]
+
+
+def _children(number: Column, prefix: Column, holder: Column, field: str) -> Column:
+    """The shapes in ``holder.field`` as structs of the record's number, path, parent's path and value."""
+    none = F.array().cast("array<struct<rec:int,path:string,parent:string,v:variant>>")
     items = F.transform(
         _variant(holder, f"$.{field}", _ITEMS),
         lambda s, i: F.struct(
-            F.concat_ws(".", prefix, i.cast("string")).alias("path"), prefix.alias("parent"), s.alias("v")
+            number.alias("rec"), F.concat_ws(".", prefix, i.cast("string")).alias("path"), prefix.alias("parent"), s.alias("v")
         ),
     )
     return F.coalesce(items, none)
 
 
 def records(df: DataFrame, key: str = "json_id", body: str = "body") -> DataFrame:
-    """One row per input row that holds a record: ``(key, image_path, version, image_width, image_height, n_shapes)``."""
+    """One row per record: ``(key, record_no, image_path, version, image_width, image_height, n_shapes)``."""
     r = F.col("_r")
-    one = held(df, key, body).select("_k", F.inline_outer(F.when(F.col("_r").isNotNull(), F.array(F.struct("_r")))))
-    return one.where("_r is not null").select(
-        F.col("_k").alias(key),
-        _variant(r, "$.imagePath", "string").alias("image_path"),
-        _variant(r, "$.version", "string").alias("version"),
-        _variant(r, "$.imageWidth", "int").alias("image_width"),
-        _variant(r, "$.imageHeight", "int").alias("image_height"),
-        F.size(_variant(r, "$.shapes", _ITEMS)).alias("n_shapes"),
-    )
+    out = None
+    for part, wraps, _ in _parts(df, key, body):
+        one = held(part, key, body, wraps).select("_k", F.inline_outer(F.transform("_records", lambda v, i: F.struct(i.alias("record_no"), v.alias("_r")))))
+        rows = one.where("record_no is not null").select(
+            F.col("_k").alias(key),
+            "record_no",
+            _variant(r, "$.imagePath", "string").alias("image_path"),
+            _variant(r, "$.version", "string").alias("version"),
+            _variant(r, "$.imageWidth", "int").alias("image_width"),
+            _variant(r, "$.imageHeight", "int").alias("image_height"),
+            F.size(_variant(r, "$.shapes", _ITEMS)).alias("n_shapes"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _shape_values(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(_k, path, parent, v) of every shape, at any depth."""
-    top = held(df, key, body).select("_k", _children(F.lit(None).cast("string"), F.col("_r"), "shapes").alias("_l0"))
+    """(_k, rec, path, parent, v) of every shape, at any depth."""
     out = None
-    while True:
-        for k in range(LEVELS):
-            below = F.flatten(F.transform(f"_l{k}", lambda s: _children(s["path"], s["v"], "children")))
-            top = top.select("*", below.alias(f"_l{k + 1}"))
-        rows = top.select("_k", F.inline_outer(F.concat(*[F.col(f"_l{k}") for k in range(LEVELS)]))).where("path is not null")
+    for part, wraps, levels in _parts(df, key, body):
+        top = _unrolled(part, key, body, wraps, levels)
+        rows = top.select("_k", F.inline_outer(F.concat(*[F.col(f"_l{k}") for k in range(levels)]))).where("path is not null")
         out = rows if out is None else out.unionByName(rows)
-        if not (top.agg(F.max(F.size(f"_l{LEVELS}"))).first()[0] or 0) > 0:
-            return out
-        top = top.select("_k", F.col(f"_l{LEVELS}").alias("_l0"))
+    return out
 
 
 def shapes(df: DataFrame, key: str = "json_id", body: str = "body") -> DataFrame:
-    """One row per shape object, with its path and its parent's path (null for shapes of the record itself)."""
+    """One row per shape object, with its record, its path and its parent's path (null for shapes of the record itself)."""
     v = F.col("v")
     return (
         _shape_values(df, key, body)
         .where(_is_object(v))
         .select(
             F.col("_k").alias(key),
+            F.col("rec").alias("record_no"),
             F.col("path").alias("shape_path"),
             F.col("parent").alias("parent_path"),
             _variant(v, "$.label", "string").alias("label"),
@@ -142,8 +185,8 @@ def _number(text: Column) -> Column:
 
 
 def points(df: DataFrame, key: str = "json_id", body: str = "body") -> DataFrame:
-    """One row per point with two finite coordinates: ``(key, shape_path, point_no, x, y)``."""
-    rows = _shape_values(df, key, body).select("_k", "path", _variant(F.col("v"), "$.points", _ITEMS).alias("_p"))
+    """One row per point with two finite coordinates: ``(key, record_no, shape_path, point_no, x, y)``."""
+    rows = _shape_values(df, key, body).select("_k", "rec", "path", _variant(F.col("v"), "$.points", _ITEMS).alias("_p"))
     rows = rows.select("*", F.exists("_p", lambda p: _is_array(p) | _is_object(p)).alias("_nested"))
     pair = F.transform(
         F.col("_p"),
@@ -161,8 +204,8 @@ def points(df: DataFrame, key: str = "json_id", body: str = "body") -> DataFrame
             _variant(F.get("_p", s["i"] + 1), "$", "string").alias("y"),
         ),
     )
-    made = rows.select("_k", "path", F.inline_outer(F.when(F.col("_nested"), pair).otherwise(flat)))
+    made = rows.select("_k", "rec", "path", F.inline_outer(F.when(F.col("_nested"), pair).otherwise(flat)))
     out = made.select(
-        F.col("_k").alias(key), F.col("path").alias("shape_path"), "point_no", _number(F.col("x")).alias("x"), _number(F.col("y")).alias("y")
+        F.col("_k").alias(key), F.col("rec").alias("record_no"), F.col("path").alias("shape_path"), "point_no", _number(F.col("x")).alias("x"), _number(F.col("y")).alias("y")
     )
     return out.where("point_no is not null").where(F.abs("x").between(0, 1.7976931348623157e308) & F.abs("y").between(0, 1.7976931348623157e308))

@@ -24,8 +24,8 @@ def test_point_forms_and_numbers(spark):
         {"points": None}, {"label": "none"}, None, 7, {"points": []}, {"points": ["nan", "inf", 1, 2]},
     ])])
     assert got == {
-        (0, "0", 0, 1.0, 2.5), (0, "0", 1, 3.0, 40.0), (0, "0", 6, 5.0, 6.0), (0, "0", 8, 7.0, 8.0),
-        (0, "1", 0, 1.0, 2.0), (0, "1", 2, 5.0, 6.0), (0, "7", 1, 1.0, 2.0),
+        (0, 0, "0", 0, 1.0, 2.5), (0, 0, "0", 1, 3.0, 40.0), (0, 0, "0", 6, 5.0, 6.0), (0, 0, "0", 8, 7.0, 8.0),
+        (0, 0, "1", 0, 1.0, 2.0), (0, 0, "1", 2, 5.0, 6.0), (0, 0, "7", 1, 1.0, 2.0),
     }
 
 
@@ -47,9 +47,42 @@ def test_where_the_record_stands(spark):
         "", None, "null", "[]", "3", json.dumps({"shapes": {"a": 1}}), json.dumps({"shapes": []}),
     ]
     assert {p[0] for p in points(spark, bodies)} == set(range(8))
+    assert {p[1] for p in points(spark, bodies)} == {0}
     assert {r.json_id for r in nested.records(frame(spark, bodies)).collect()} == {*range(8), 19}
 
 
+def wrapped(r, depth):
+    for i in range(depth):
+        r = {f"w{i}": r, "note": "}]"} if i % 3 else [None, r] if i % 2 else {"z": json.dumps(r)}
+    return json.dumps(r)
+
+
+def test_records_at_any_depth(spark):
+    r = {"flags": {}, "shapes": [{"points": [[1, 2]]}]}
+    bodies = [wrapped(r, d) for d in range(12)]
+    assert {p[0] for p in points(spark, bodies)} == set(range(12))
+    assert nested.records(frame(spark, bodies)).count() == 12
+
+
+def test_all_records_of_a_body(spark):
+    r = lambda x: {"shapes": [{"points": [[x, 2], [x, 3]], "children": [{"points": [[x, 4]]}]}]}
+    bodies = [json.dumps([r(1), r(2)]), json.dumps({"b": r(3), "a": [{"deep": {"er": {"still": {"more": r(5)}}}}, r(4)]}), json.dumps({"shapes": [{"label": "shapes", "extra": r(9)}]})]
+    got = points(spark, bodies)
+    assert {(k, n, x) for k, n, _, _, x, _ in got} == {(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0), (1, 2, 5.0)}
+    assert len(got) == 15
+    assert {(x.json_id, x.record_no) for x in nested.shapes(frame(spark, bodies)).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0)}
+
+
+def test_escaped_keys_and_words_in_text(spark):
+    deep = {"points": [[0, 0]]}
+    for _ in range(9):
+        deep = {"points": [[1, 1]], "children": [deep]}
+    body = json.dumps({"shapes": [deep]}).replace("children", "\\u0063hildren").replace("shapes", "\\u0073hapes")
+    plain = json.dumps({"imagePath": "children children children children children children children shapes shapes", "shapes": [{"points": [[1, 2]]}]})
+    got = points(spark, [body, plain])
+    assert len([p for p in got if p[0] == 0]) == 10 and len([p for p in got if p[0] == 1]) == 1
+
+
 def test_empty_table_repeats_and_clashing_columns(spark):
     assert points(spark, []) == set()
     df = spark.createDataFrame([(1, rec([{"points": [[1, 2]]}]), 9, 8), (1, rec([{"points": [[1, 2]]}]), 9, 8)], "json_id long, body string, _k int, path int")
