@@ -26,9 +26,13 @@ SYMBOLS = 31
 STEPS = (0, 1, 3)
 #: NEAR differing bits leave one of NEAR + 1 pieces untouched.
 PIECES = NEAR + 1
-#: Bits of the hash that travel with every suffix, and how many of them may differ in a candidate: pairs within NEAR bits never
-#: exceed that, of pairs at FAR bits fewer than one in a thousand do.
-SKETCH, SKETCH_MOST = 29, 11
+#: Bits of the hash, spread over all of it, that travel with every suffix, and how many of them may differ in a candidate: a pair
+#: at FAR bits exceeds that with a probability of 1e-8, a pair within 24 bits never does.
+SKETCH, SKETCH_MOST = 61, 24
+#: The same for suffixes that stand next to each other with one symbol less in common.
+NEXT_MOST = 18
+#: Rows of a block of equal prefixes that one task compares; larger blocks are cut in a grid of cells of that size.
+BLOCK = 8_192
 SIDE = 8
 
 
@@ -157,20 +161,175 @@ class Coded:
         return out
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH of the 256 bits of (n, 4) words, with two free bits below."""
+    chosen = np.sort(np.random.default_rng(20260102).choice(256, SKETCH, replace=False))
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1)[:, chosen].astype(np.int64)
+    return (bits << np.arange(2, SKETCH + 2)).sum(1)
+
+
 def suffix_keys(code: Column) -> Column:
-    """All suffixes of a class as numbers: position (6 bits) and prefix (24 bits) above 32, a sketch of the hash below."""
+    """All suffixes of a class as numbers, position (6 bits) and prefix (24 bits), after the sketch of its hash."""
 
     @F.pandas_udf("array<long>")
     def keys(codes: pd.Series) -> pd.Series:
         c = Coded(codes.tolist())
-        sketch = (c.hash[:, 3] >> np.uint64(64 - SKETCH)).astype(np.int64)[:, None]
-        bits = ((np.arange(PIECES, dtype=np.int64) << 24) | pieces(c.hash)) << 32 | sketch
-        text = (((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings.astype(np.int64))) << 32 | sketch
-        return pd.Series([np.concatenate([x, y]) if has else x for x, y, has in zip(bits, text, c.has, strict=True)])
+        sketch = _sketch(c.hash)[:, None]
+        bits = (np.arange(PIECES, dtype=np.int64) << 24) | pieces(c.hash)
+        text = ((np.arange(SYMBOLS, dtype=np.int64) + PIECES) << 24) | prefixes(c.strings.astype(np.int64))
+        return pd.Series([np.concatenate([s, x, y]) if has else np.concatenate([s, x]) for s, x, y, has in zip(sketch, bits, text, c.has, strict=True)])
 
     return keys(code)
 
 
+def _span(k: np.ndarray, symbols_met: int) -> np.ndarray:
+    """The symbols of the text (pieces, then the string's) that a common prefix covers, as bits."""
+    at = k >> 24
+    out = np.int64(1) << np.minimum(at, PIECES - 1)
+    for step in STEPS[:symbols_met]:
+        out = np.where(at >= PIECES, np.where(step, out, 0) | np.int64(1) << (PIECES + (at - PIECES + step) % SYMBOLS), out)
+    return out
+
+
+def _meeting(k: np.ndarray, x: np.ndarray, first: np.ndarray, crossing: bool, salt: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows i, j of the same block (``first``: number of the block's first row) whose sketches allow for a pair.
+
+    With ``crossing`` the lowest bits of x say on which sides a row stands (1 and 2), and i must stand on side 2, j on side 1.
+    With ``salt`` only rows of different salts meet, unless all of the block have the same.
+    """
+    n = len(k)
+    size = np.bincount(first, minlength=n)[first] if n else first
+    place = np.arange(n) - first
+    out = []
+    live, d = np.arange(n), 1
+    while True:
+        live = live[place[live] + d < size[live]]
+        if not len(live):
+            return out
+        other = live + d
+        ok = np.bitwise_count((x[live] ^ x[other]) >> 2) <= SKETCH_MOST
+        i, j = live[ok], other[ok]
+        if salt is not None:
+            apart = (salt[i] != salt[j]) | (salt[first[i]] == salt[np.minimum(first[i] + size[i] - 1, n - 1)])
+            i, j = i[apart], j[apart]
+        out += _oriented(i, j, x, crossing)
+        d += 1
+
+
+def _oriented(i: np.ndarray, j: np.ndarray, x: np.ndarray, crossing: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not crossing:
+        return [(i, j)]
+    there, back = (x[i] & 2 > 0) & (x[j] & 1 > 0), (x[j] & 2 > 0) & (x[i] & 1 > 0)
+    return [(i[there], j[there]), (j[back], i[back])]
+
+
+_MET = "a long, b long, spans long, hot boolean"
+
+
+def _neighbours(crossing: bool, block: int):
+    """The pass over one sorted partition: pairs of suffixes with a common prefix, and the rows of blocks above that size."""
+    import pyarrow as pa
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("spans", pa.int64()), ("hot", pa.bool_())])
+
+    def table(a: np.ndarray, b: np.ndarray, spans: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spans), pa.array(np.full(len(a), hot))], schema=schema)
+
+    def work(k: np.ndarray, c: np.ndarray, x: np.ndarray, upto: int):
+        """Blocks that end before ``upto``, and the two next rows of each row before it."""
+        cut = np.concatenate([[True], k[1:upto] != k[: upto - 1]])
+        first = np.maximum.accumulate(np.where(cut, np.arange(upto), 0))
+        big = np.bincount(first, minlength=upto)[first] > block
+        if big.any():
+            yield table(c[:upto][big], x[:upto][big], k[:upto][big].astype(np.int64), True)
+        rows = np.flatnonzero(~big)
+        start = np.searchsorted(rows, first[rows])
+        met = [(rows[i], rows[j], 3) for i, j in _meeting(k[rows], x[rows], start, crossing)]
+        for d in (1, 2):
+            i = np.arange(min(upto, len(k) - d))
+            i = i[(k[i] >> 7 == k[i + d] >> 7) & (k[i] != k[i + d]) & (k[i] >> 24 >= PIECES)]
+            i = i[np.bitwise_count((x[i] ^ x[i + d]) >> 2) <= NEXT_MOST]
+            met += [(i, j, 2) for i, j in _oriented(i, i + d, x, crossing)]
+        for i, j, n in met:
+            if len(i):
+                a, b = (c[i], c[j]) if crossing else (np.minimum(c[i], c[j]), np.maximum(c[i], c[j]))
+                other = a != b
+                yield table(a[other], b[other], _span(k[i].astype(np.int64), n)[other], False)
+
+    def run(parts):
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, hot = 0, -1
+        for part in parts:
+            k, c, x = (part.column(n).to_numpy() for n in ("k", "class_k", "x"))
+            if hot >= 0:
+                same = int(np.searchsorted(k, hot, "right"))
+                if same:
+                    yield table(c[:same], x[:same], k[:same].astype(np.int64), True)
+                    k, c, x = k[same:], c[same:], x[same:]
+                if not len(k):
+                    continue
+                hot = -1
+            held.append((k, c, x))
+            rows += len(k)
+            if rows < 16 * block:
+                continue
+            k, c, x = (np.concatenate(p) for p in zip(*held, strict=True))
+            last = int(np.searchsorted(k, k[-1], "left"))
+            if last:
+                yield from work(k, c, x, last)
+            k, c, x = k[last:], c[last:], x[last:]
+            if len(k) > block:
+                hot = int(k[0])
+                yield table(c, x, k.astype(np.int64), True)
+                k, c, x = k[:0], c[:0], x[:0]
+            held, rows = [(k, c, x)], len(k)
+        if rows:
+            k, c, x = (np.concatenate(p) for p in zip(*held, strict=True))
+            yield from work(k, c, x, len(k))
+
+    return run
+
+
+def _cells(crossing: bool):
+    """The cells of the grids of large blocks: rows of two salts of one block each."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        k, c, x, salt = (part[n].to_numpy() for n in ("k", "class_k", "x", "salt"))
+        by = np.argsort(salt, kind="stable")
+        k, c, x, salt = k[by], c[by], x[by], salt[by]
+        out = []
+        for i, j in _meeting(k, x, np.zeros(len(k), np.int64), crossing, salt):
+            a, b = (c[i], c[j]) if crossing else (np.minimum(c[i], c[j]), np.maximum(c[i], c[j]))
+            out.append(pd.DataFrame({"a": a, "b": b, "spans": _span(k[i], 3)})[a != b])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "spans": []}).astype("int64")
+
+    return run
+
+
+def meeting(classes: DataFrame, sides: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """``(a, b, spans)``: pairs of classes whose strings share a prefix somewhere, with the symbols that the shared spans cover.
+
+    A suffix array in partitions: the suffixes of all texts, hashed by position and the start of their prefix, and sorted within
+    the partition. One pass over each finds the runs of suffixes with a common prefix, and those next to each other that share
+    one symbol less. Runs longer than ``block`` are set aside and compared in a grid: each of its g salts meets each, so that
+    no pair is lost and no task gets more than two salts. With ``sides`` (bits 1 and 2) only pairs of a on 2 and b on 1.
+    """
+    crossing = sides is not None
+    keyed = classes.select("class_k", (sides if crossing else F.lit(0)).cast("long").alias("s"), suffix_keys(F.col("code")).alias("v"))
+    rows = keyed.select("class_k", F.get("v", F.lit(0)).bitwiseOR(F.col("s")).alias("x"), F.explode(F.slice("v", 2, PIECES + SYMBOLS)).alias("k"))
+    rows = rows.select(F.col("k").cast("int").alias("k"), "class_k", "x").repartition(F.shiftright("k", 7)).sortWithinPartitions("k", "class_k")
+    met = stage(rows.mapInArrow(_neighbours(crossing, block), _MET), "suffix-spans")
+    pairs = met.where("not hot").select("a", "b", "spans")
+    hot = met.where("hot").select(F.col("a").alias("class_k"), F.col("b").alias("x"), F.col("spans").alias("k"))
+    if not hot.isEmpty():
+        grid = hot.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))  # at most one row for ``block`` rows
+        salted = hot.join(grid, "k").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "class_k"), F.col("g")).cast("int"))
+        cells = salted.select("*", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("_o"))
+        cells = cells.select("k", "class_k", "x", "salt", F.least("salt", "_o").alias("i"), F.greatest("salt", "_o").alias("j"))
+        pairs = pairs.unionByName(cells.groupBy("k", "i", "j").applyInPandas(_cells(crossing), "a long, b long, spans long"))
+    return pairs.groupBy("a", "b").agg(F.bit_or("spans").alias("spans"))
+
+
 def same_picture(a: Column, b: Column) -> Column:
     """The exact test on two packed classes: the differing bits where they show the same picture, else null."""
 
@@ -223,7 +382,8 @@ def verified(candidates: DataFrame, classes: DataFrame) -> DataFrame:
     one = classes.select("class_k", "code").repartition("class_k")  # the same exchange for both sides
     a = one.select(F.col("class_k").alias("a"), F.col("code").alias("_ca"))
     b = one.select(F.col("class_k").alias("b"), F.col("code").alias("_cb"))
-    tested = candidates.join(a, "a").join(b, "b").select("a", "b", same_picture(F.col("_ca"), F.col("_cb")).alias("bits"))
+    more = [c for c in candidates.columns if c not in ("a", "b")]
+    tested = candidates.join(a, "a").join(b, "b").select("a", "b", *more, same_picture(F.col("_ca"), F.col("_cb")).alias("bits"))
     return tested.where("bits is not null")
 
 
@@ -239,16 +399,10 @@ def files_and_classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_classes(classes: DataFrame) -> DataFrame:
     """``(a, b, bits)``, a < b: all pairs of different classes that show the same picture.
 
-    Candidates share a piece of the hash or a suffix of the string. Pairs within NEAR bits always do; others that do not are
+    Candidates share a piece of the hash or a part of the string (``meeting``). Pairs within NEAR bits always do; others that do not are
     met through a picture near to both: two neighbours of one class are tested until nothing new is found.
     """
-    mask = F.lit((1 << SKETCH) - 1)
-    exploded = classes.select("class_k", F.explode(suffix_keys(F.col("code"))).alias("v"))
-    suffixes = exploded.select("class_k", F.shiftright("v", 32).cast("int").alias("k"), F.col("v").bitwiseAND(mask).cast("int").alias("x")).repartition("k")
-    a, b = suffixes.alias("a"), suffixes.alias("b")
-    meet = F.expr(f"a.k = b.k and a.class_k < b.class_k and bit_count(a.x ^ b.x) <= {SKETCH_MOST}")
-    blocks = a.join(b, meet).select(F.col("a.class_k").alias("a"), F.col("b.class_k").alias("b"))
-    found = stage(verified(stage(blocks.distinct(), "near-candidates"), classes), "near-pairs")
+    found = stage(verified(stage(meeting(classes).select("a", "b"), "near-candidates"), classes), "near-pairs")
     linked = found.select(F.col("a").alias("class_k")).union(found.select("b")).distinct()
     linked = stage(classes.join(linked, "class_k", "left_semi"), "near-linked")
     while True:
