@@ -92,14 +92,16 @@ def _side(r):
     return {"train": 1, "valid": 2, "val": 2, "test": 2}.get(s, 0)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_overlap_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,block", [(1, X.BLOCK), (2, X.BLOCK), (2, 1)])
+def test_overlap_against_brute_force(spark, seed, block):
+    """Blocks of one row send every block through the grid."""
     rows, prints = _world(seed)
-    o = Overlap(spark.createDataFrame(rows, SPLIT), spark.createDataFrame(prints, PRINTS))
+    o = Overlap(spark.createDataFrame(rows, SPLIT), spark.createDataFrame(prints, PRINTS), block)
     got = [tuple(r) for r in o.found().collect()]
     assert len(got) == len(set(got))
     assert set(got) == _brute(rows, prints, lambda a, b: {_side(a), _side(b)} == {1, 2})
     rep = o.report().collect()
+    assert all((r.coverage is None) == (r.overlapping == 0) and 0 < (r.coverage or 1) <= 1 for r in rep)
     assert sum(r.overlapping for r in rep) == len({x for p in got for x in p} & {r[0] for r in rows if _side(r) == 2})
 
 
