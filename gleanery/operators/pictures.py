@@ -112,41 +112,53 @@ def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Colum
 
 
 class Coded:
-    """Arrays of many packed classes."""
-
-    def __init__(self, codes: list[bytes]) -> None:
-        n = len(codes)
-        self.codes = codes
-        self.hash = np.frombuffer(b"".join(c[:32] for c in codes), np.uint64).reshape(n, 4)
-        self.has = np.array([len(c) > 32 for c in codes], bool)
-        self.strings = np.zeros((n, SYMBOLS), np.uint8)
-        self.unit = np.zeros((n, SIDE * SIDE), np.float32)
-        held = [c for c in codes if len(c) > 32]
-        if held:
-            self.strings[self.has] = np.frombuffer(b"".join(c[32 : 32 + SYMBOLS] for c in held), np.uint8).reshape(-1, SYMBOLS)
-            at = np.flatnonzero(self.has)
-            for a in range(0, len(at), 4096):
-                self.unit[at[a : a + 4096]] = self._units(held[a : a + 4096])
-
-    @staticmethod
-    def _units(codes: list[bytes]) -> np.ndarray:
+    """Arrays of many packed classes; made from their codes, or from the joined codes and their lengths."""
+
+    def __init__(self, codes: list[bytes] | bytes, lengths: np.ndarray | None = None) -> None:
+        if lengths is None:
+            lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+            codes = b"".join(codes)
+        n, side = len(lengths), SIDE * SIDE
+        self.joined, self.lengths = codes, lengths
+        self.hash, self.strings = np.zeros((n, 4), np.uint64), np.zeros((n, SYMBOLS), np.uint8)
+        self.has = lengths > 32
+        self.tiny, self.wide = np.zeros((n, side), np.uint8), {}
+        flat = np.frombuffer(codes, np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        for size in np.unique(lengths):  # with no thumbnail, one of bytes, or one of doubles
+            at = np.flatnonzero(lengths == size)
+            for a in range(0, len(at), 65_536):
+                i = at[a : a + 65_536]
+                if len(at) == n:
+                    part = flat.reshape(n, size)[a : a + len(i)]
+                else:
+                    part = flat[starts[i][:, None] + np.arange(size)]
+                self.hash[i] = np.ascontiguousarray(part[:, :32]).view(np.uint64)
+                if size > 32:
+                    self.strings[i] = part[:, 32 : 32 + SYMBOLS]
+                    rest = part[:, 32 + SYMBOLS :]
+                    if rest.shape[1] == side:
+                        self.tiny[i] = rest
+                    else:
+                        self.wide.update(zip(i.tolist(), np.ascontiguousarray(rest).view(np.float64), strict=True))
+
+    def _units(self, rows: np.ndarray) -> np.ndarray:
         """Thumbnails with mean 0 and length 1."""
-        rest = [c[32 + SYMBOLS :] for c in codes]
-        thumbs = np.stack([np.frombuffer(c, np.uint8 if len(c) == SIDE * SIDE else np.float64).astype(np.float64) for c in rest])
+        thumbs = self.tiny[rows].astype(np.float64)
+        if self.wide:
+            for k, r in enumerate(rows.tolist()):
+                if r in self.wide:
+                    thumbs[k] = self.wide[r]
         thumbs -= thumbs.mean(1, keepdims=True)
-        return thumbs / np.linalg.norm(thumbs, axis=1, keepdims=True)
+        return thumbs / np.maximum(np.linalg.norm(thumbs, axis=1, keepdims=True), 1e-300)
 
     def alike(self, mine: np.ndarray, other: "Coded", theirs: np.ndarray) -> np.ndarray:
-        """Whether thumbnails correlate by at least ALIKE; what is close to it is computed again in double precision."""
+        """Whether thumbnails correlate by at least ALIKE."""
         out = np.zeros(len(mine), bool)
-        for a in range(0, len(mine), 65_536):
-            i, j = mine[a : a + 65_536], theirs[a : a + 65_536]
-            c = np.einsum("ij,ij->i", self.unit[i], other.unit[j]).astype(np.float64)
-            both = self.has[i] & other.has[j]
-            close = np.flatnonzero(both & (np.abs(c - ALIKE) < 1e-3))
-            if len(close):
-                c[close] = (self._units([self.codes[k] for k in i[close]]) * self._units([other.codes[k] for k in j[close]])).sum(1)
-            out[a : a + len(i)] = both & (c >= ALIKE)
+        for a in range(0, len(mine), 16_384):
+            i, j = mine[a : a + 16_384], theirs[a : a + 16_384]
+            c = np.einsum("ij,ij->i", self._units(i), other._units(j))
+            out[a : a + len(i)] = self.has[i] & other.has[j] & (c >= ALIKE)
         return out
 
     def rings(self, start: int = 0, stop: int | None = None) -> np.ndarray:

@@ -63,6 +63,11 @@ def clean(spark: SparkSession) -> None:
     remove(spark, _run_dir(spark))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what one run keeps."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
@@ -70,7 +75,7 @@ def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     step's shuffle files are deleted at once, which takes half a second: loops over small tables go without.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     if free:
         release(spark)
