@@ -1,16 +1,19 @@
 """New batches against all history (problem 6).
 
-Method: graph index shards. History is kept in segments whose graphs are navigable small worlds: every picture is linked with
-its nearest neighbours and stands on rings (the pieces of its hash and the suffixes of its thumbnail's string, sorted), which are
-the long-range contacts. A search enters every ring at its own place, walks the run of equal keys and the neighbours on both
-sides, and follows the links of all pictures within ``BEAM`` bits and of the ``BEST`` closest ones until nothing new is met. Hits
-are reranked exactly (bits, correlation).
-
-Every batch becomes a new segment once it has been searched; segments of equal size are compacted in pairs (after batch 2, 4,
-6, 8, ...), so that a batch meets about log2(n) segments, and old ones are not touched again. Segments above ``SHARD_ROWS`` are
-split in shards. This is computed over a whole table at once: since a segment does not depend on the batches that search it, all
-searches of one table are one job. Not built: no shard is stored, every run builds all segments again, and there is no call
-that appends one new batch to a kept history.
+Method: graph index shards. History is kept in a folder as segments, whose shards are navigable small worlds: every picture is
+linked with its nearest neighbours and stands on rings (the pieces of its hash and the parts of its thumbnail's string, sorted),
+which are the long-range contacts. A search enters every ring at its own place, walks the run of equal keys and the neighbours on
+both sides, and follows the links of all pictures within ``BEAM`` bits and of the ``BEST`` closest ones until nothing new is met.
+Hits are reranked exactly (bits, correlation).
+
+Every batch becomes a new segment once it has been searched (``Shards.append``). Compaction is scheduled like a binary counter:
+a new segment is made together with those of its own size before it, so that a batch meets about log2(n) segments and a picture
+is indexed about log2(n) times in all. Segments above ``SHARD_ROWS`` have several shards. A manifest names the live segments; it is
+written after the segment, so that a run that breaks off leaves the last whole state. ``Shards.compact`` makes one segment of all.
+
+``History.add`` takes one new batch: it reads the kept shards and rows, and writes the batch's own; ``BatchDedup`` replays all
+batches of one table, one after another, through the same calls. A shard is read in place, never shuffled; the queries of a batch
+are read by every shard's task from the shared folder (a batch of n pictures is read once for each shard).
 
 The beam was tuned against exhaustive search (README); pairs within NEAR bits share a piece of the hash and cannot be missed.
 
@@ -21,13 +24,17 @@ result. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
-from gleanery.session import stage
+from gleanery.llm.pictures import FAR, NEAR, PIECES, Coded, equality_keys, rows_and_classes
+from gleanery.session import new_folder, remove, stage
 
 SHARD_ROWS = 100_000
 QUERY_ROWS = 100_000
@@ -46,12 +53,15 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 class Graph:
     """The shard: rings and links over its classes."""
 
-    def __init__(self, data: Coded) -> None:
+    def __init__(self, data: Coded, links: np.ndarray | None = None) -> None:
+        """With ``links`` as a kept shard has them, else they are made."""
         self.data, n = data, len(data.hash)
         keys = data.rings()
         self.order = [np.argsort(k, kind="stable").astype(np.int32) for k in keys]
         self.keys = [k[o] for k, o in zip(keys, self.order, strict=True)]
-        self.links = np.zeros((n, min(LINKS, max(n - 1, 0))), np.int32)
+        self.links = np.zeros((n, min(LINKS, max(n - 1, 0))), np.int32) if links is None else links
+        if links is not None:
+            return
         places = np.empty((len(keys), n), np.int32)
         for r, o in enumerate(self.order):
             places[r, o] = np.arange(n, dtype=np.int32)
@@ -125,69 +135,229 @@ class Graph:
         return q[same], v[same]
 
 
-def segments_searched(j: int) -> list[tuple[int, int]]:
-    """(size, first batch) of the segments that history consists of when batch number j arrives."""
-    return [(s, j & ~(2 * s - 1)) for s in (1 << k for k in reversed(range(j.bit_length()))) if j & s]
+SHARD = "shard int, class_k binary, codes binary, lengths binary, links binary"
+
+
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    """One shard: its graph, with everything a search needs, in one row."""
+    keys, first = np.unique(rows["class_k"].to_numpy(np.int64), return_index=True)
+    codes = rows["code"].to_numpy()[first].tolist()
+    data = Coded(codes)
+    links = Graph(data).links
+    return pd.DataFrame([(int(rows["shard"].iloc[0]), keys.tobytes(), data.joined, data.lengths.astype(np.int16).tobytes(), links.tobytes())], columns=[c.split()[0] for c in SHARD.split(", ")])
+
+
+def _loaded(row: pd.Series) -> tuple[np.ndarray, Coded, np.ndarray]:
+    keys = np.frombuffer(row["class_k"], np.int64)
+    data = Coded(bytes(row["codes"]), np.frombuffer(row["lengths"], np.int16).astype(np.int64))
+    return keys, data, np.frombuffer(row["links"], np.int32).reshape(len(keys), -1) if len(keys) else np.zeros((0, 0), np.int32)
+
+
+def _unpacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The classes of shards, as rows."""
+    for part in parts:
+        for _, row in part.iterrows():
+            keys = np.frombuffer(row["class_k"], np.int64)
+            ends = np.cumsum(np.frombuffer(row["lengths"], np.int16).astype(np.int64))
+            codes = bytes(row["codes"])
+            starts = np.concatenate([[0], ends[:-1]]).tolist()
+            for a in range(0, len(keys), 20_000):
+                cuts = zip(starts[a : a + 20_000], ends[a : a + 20_000].tolist(), strict=True)
+                yield pd.DataFrame({"class_k": keys[a : a + 20_000], "code": [codes[i:j] for i, j in cuts]})
+
+
+def _asked(files: list[str]) -> Iterator[tuple[np.ndarray, Coded]]:
+    """The queries of a batch, from the shared folder, part by part."""
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    for uri in files:
+        system, path = pyarrow.fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as held:
+            for part in pyarrow.parquet.ParquetFile(held).iter_batches(_PART, columns=["class_k", "code"]):
+                yield part.column("class_k").to_numpy(), Coded(part.column("code").to_pylist())
+
+
+def _searcher(files: list[str]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, row in part.iterrows():
+                keys, data, links = _loaded(row)
+                graph = Graph(data, links)
+                for asked, codes in _asked(files):
+                    q, v = graph.search(codes)
+                    other = keys[v] != asked[q]
+                    yield pd.DataFrame({"a": keys[v[other]], "b": asked[q[other]]})
+
+    return run
+
+
+class Shards:
+    """The index of picture classes in one folder: live segments, search, append, compaction."""
+
+    def __init__(self, spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> None:
+        self.spark, self.path, self.shard_rows, self.query_rows = spark, path, shard_rows, query_rows
+
+    def _fs(self):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def segments(self) -> list[dict]:
+        """Live segments, oldest first: ``name``, ``batches``, ``rows``."""
+        fs, at = self._fs()
+        if not fs.exists(at):
+            return []
+        last = max(f.getPath().getName() for f in fs.listStatus(at))
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{last}", wholetext=True).first()[0])
+
+    def _state(self, segments: list[dict]) -> None:
+        fs, at = self._fs()
+        n = len(fs.listStatus(at)) if fs.exists(at) else 0
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, f"{n:08d}.json")
+        part = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/writing-{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(json.dumps(segments).encode()))
+        out.close()
+        fs.mkdirs(at)
+        if not fs.rename(part, target):  # another writer took this number
+            raise RuntimeError(f"{self.path} was changed by another writer")
+
+    def _read(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema(SHARD).parquet(f"{self.path}/{segment['name']}")
+
+    def search(self, batch: DataFrame, rows: int) -> DataFrame | None:
+        """``(a, b)``: a kept class and one of the ``rows`` classes of a staged batch that show the same picture; None without history."""
+        files, out = sorted(batch.inputFiles()), None
+        if not files or not rows:
+            return None
+        chunks = min(len(files), -(-rows // self.query_rows))
+        for segment in self.segments():
+            for c in range(chunks):  # each its own scan, so that chunks of one shard run side by side
+                hits = self._read(segment).mapInPandas(_searcher(files[c::chunks]), "a long, b long")
+                out = hits if out is None else out.unionByName(hits)
+        return out
+
+    def _write(self, classes: DataFrame, batches: int, rows: int) -> dict:
+        shards = max(1, -(-rows // self.shard_rows))
+        segment = {"name": f"segment-{uuid.uuid4().hex}", "batches": batches, "rows": rows}
+        placed = classes.select(F.pmod(F.xxhash64(F.lit("shard"), "class_k"), F.lit(shards)).cast("int").alias("shard"), "class_k", "code")
+        placed.groupBy("shard").applyInPandas(_build, SHARD).write.parquet(f"{self.path}/{segment['name']}")
+        return segment
+
+    def append(self, classes: DataFrame, rows: int) -> None:
+        """A segment for a new batch of ``rows`` classes, made together with the kept segments that it is due to be compacted with."""
+        live, batches = self.segments(), 1
+        gone = []
+        while live and live[-1]["batches"] == batches:
+            old = live.pop()
+            gone.append(old)
+            batches, rows = batches * 2, rows + old["rows"]
+        self._state([*live, self._write(self._with(classes, gone), batches, rows)])
+        self._drop(gone)
+
+    def compact(self) -> None:
+        """One segment of all."""
+        live = self.segments()
+        if len(live) > 1:
+            whole = self._with(None, live)
+            self._state([self._write(whole, sum(s["batches"] for s in live), sum(s["rows"] for s in live))])
+            self._drop(live)
+
+    def _with(self, classes: DataFrame | None, segments: list[dict]) -> DataFrame:
+        for s in segments:
+            kept = self._read(s).mapInPandas(_unpacked, "class_k long, code binary")
+            classes = kept if classes is None else classes.select("class_k", "code").unionByName(kept)
+        return classes
+
+    def _drop(self, segments: list[dict]) -> None:
+        for s in segments:
+            remove(self.spark, f"{self.path}/{s['name']}")
+
+
+def _pairs_of_rows(near: DataFrame | None, keys: tuple[DataFrame, DataFrame], held: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Pairs of rows in different batches: equal by a key, or of classes that are near; ``keys`` and ``held`` for both sides."""
+    a, b = keys[0].alias("a"), keys[1].alias("b")
+    pairs = a.join(b, F.expr("a.k = b.k and a.batch < b.batch")).select(F.col("a.row_id").alias("x"), F.col("b.row_id").alias("y"))
+    if near is not None:
+        x = held[0].select(F.col("class_k").alias("a"), F.col("row_id").alias("x"), F.col("batch").alias("bx"))
+        y = held[1].select(F.col("class_k").alias("b"), F.col("row_id").alias("y"), F.col("batch").alias("by"))
+        pairs = pairs.unionByName(near.join(x, "a").join(y, "b").where("bx <> by").select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
+
+
+class History:
+    """All accepted batches in one folder of the shared store; ``add`` checks and keeps a new one."""
+
+    def __init__(self, spark: SparkSession, path: str, **sizes: int) -> None:
+        self.spark, self.path = spark, path
+        self.shards = Shards(spark, f"{path}/index", **sizes)
+        self.numbers = sorted(json.loads(r["value"]) for r in self._log().collect()) if self._exists("log") else []
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.text(f"{self.path}/log")  # one line a batch
+
+    def _exists(self, name: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def add(self, split: DataFrame, prints: DataFrame, batch: int) -> DataFrame:
+        """``(row_id_a, row_id_b)`` of the pairs of a row of this batch and one of an earlier batch; the batch is then kept.
+
+        ``split`` holds the batch's rows, ``prints`` at least the fingerprints of their files. Batches come in rising order.
+        """
+        if self.numbers and batch <= self.numbers[-1]:
+            raise ValueError(f"batch {batch} comes after batch {self.numbers[-1]}")
+        rows, classes = rows_and_classes(split, prints, F.lit(batch).cast("long").alias("batch"))
+        new = stage(rows, "batch-rows")
+        asked = stage(classes.join(new.select("class_k").distinct(), "class_k", "left_semi"), "batch-classes")
+        n = asked.count()
+        old = self.spark.read.schema(new.schema).parquet(*[f"{self.path}/rows/{b}" for b in self.numbers]) if self.numbers else new.limit(0)
+        keys = equality_keys(old, "batch"), equality_keys(new, "batch")
+        held = tuple(r.where("class_k is not null").select("class_k", "row_id", "batch").distinct() for r in (old, new))
+        found = stage(_pairs_of_rows(self.shards.search(asked, n), keys, held), "batch-pairs")
+        if n:
+            self.shards.append(asked, n)
+        new.write.mode("overwrite").parquet(f"{self.path}/rows/{batch}")
+        self.spark.createDataFrame([(json.dumps(batch),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/log")
+        self.numbers.append(batch)
+        return found
 
 
 class BatchDedup:
-    """All batches of one table, as they come in."""
+    """All batches of one table, replayed as they come in."""
 
     def __init__(self, split: DataFrame, prints: DataFrame, batch: str = "batch_no", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> None:
-        self.shard_rows, self.query_rows = shard_rows, query_rows
+        self.sizes = {"shard_rows": shard_rows, "query_rows": query_rows}
         rows, classes = rows_and_classes(split, prints, F.col(batch).alias("batch"))
         self.rows = stage(rows.where("batch is not null"), "batch-rows")
-        held = self.rows.where("class_k is not null").groupBy("class_k").agg(F.sort_array(F.collect_set("batch")).alias("batches"))
-        self.classes = stage(classes.join(held, "class_k"), "batch-classes")
+        held = self.rows.where("class_k is not null").select("class_k", "batch").distinct()
+        self.classes = new_folder(split.sparkSession, "batch-classes")
+        classes.join(held, "class_k").write.option("compression", "zstd").partitionBy("batch").parquet(self.classes)
 
-    def near(self) -> DataFrame:
+    def near(self) -> DataFrame | None:
         """``(a, b)``: pairs of different classes that show the same picture, a in history when b came in."""
-        spark = self.classes.sparkSession
-        order = sorted(r["batch"] for r in self.rows.select("batch").distinct().collect())  # batches
-        if len(order) > 100_000:
-            raise ValueError("too many batches")
-        number = F.create_map(*[F.lit(x) for i, b in enumerate(order) for x in (b, i)]) if order else F.create_map()
-        n = len(order)
-        if n < 2:
-            return spark.createDataFrame([], "a long, b long")
-        sizes = [1 << k for k in range(n.bit_length()) if (1 << k) < n]
-        base = self.classes.select("class_k", "code", F.transform("batches", lambda b: F.try_element_at(number, b)).alias("at"))
-        first = F.get("at", F.lit(0))
-        kept = F.array(*[F.when((first.bitwiseAND(F.lit(s)) == 0) & (first - first % s + s < n), F.struct(F.lit(s).alias("s"), (first - first % s).alias("lo"))) for s in sizes])
-        built = base.select("class_k", "code", F.explode(F.array_compact(kept)).alias("g"), F.lit(True).alias("build"))
-        asked = base.select("class_k", "code", F.explode("at").alias("j"))
-        hits = F.array(*[F.when(F.col("j").bitwiseAND(F.lit(s)) != 0, F.struct(F.lit(s).alias("s"), F.col("j").bitwiseAND(F.lit(~(2 * s - 1))).alias("lo"))) for s in sizes])
-        asked = asked.select("class_k", "code", F.explode(F.array_compact(hits)).alias("g"), F.lit(False).alias("build"))
-        counts: dict[tuple[int, int], list[int]] = {}
-        per = base.select(first.alias("f"), F.lit(True).alias("b")).unionByName(base.select(F.explode("at").alias("f"), F.lit(False).alias("b")))
-        for r in per.groupBy("f", "b").agg(F.count("*").alias("n")).collect():  # two rows a batch
-            for s in sizes:
-                f = r["f"]
-                if r["b"] and not f & s and f - f % s + s < n:
-                    counts.setdefault((s, f - f % s), [0, 0])[0] += r["n"]
-                if not r["b"] and f & s:
-                    counts.setdefault((s, f & ~(2 * s - 1)), [0, 0])[1] += r["n"]
-        plan = [(s, lo, max(1, -(-b // self.shard_rows)), max(1, -(-q // self.query_rows))) for (s, lo), (b, q) in sorted(counts.items()) if b and q]
-        shards = F.broadcast(spark.createDataFrame(plan, "s int, lo int, shards int, chunks int"))  # two rows a batch at most
-        rows = built.unionByName(asked).select("class_k", "code", "build", F.col("g.s").alias("s"), F.col("g.lo").alias("lo")).join(shards, ["s", "lo"])
-        mine = lambda salt, of: F.array(F.pmod(F.xxhash64(F.lit(salt), "class_k"), F.col(of)).cast("int"))
-        every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-        rows = rows.withColumn("shard", F.explode(F.when(F.col("build"), mine("shard", "shards")).otherwise(every("shards"))))
-        rows = rows.withColumn("chunk", F.explode(F.when(F.col("build"), every("chunks")).otherwise(mine("chunk", "chunks"))))
-        keys = ["s", "lo", "shard", "chunk"]
-        return rows.select(*keys, "build", "class_k", "code").groupBy(*keys).applyInPandas(_search, "a long, b long").distinct()
+        spark = self.rows.sparkSession
+        counted = self.rows.where("class_k is not null").groupBy("batch").agg(F.countDistinct("class_k").alias("n"))
+        order = sorted((r["batch"], r["n"]) for r in counted.collect())  # one row a batch
+        folder = new_folder(spark, "batch-index")
+        shards, found = Shards(spark, f"{folder}/index", **self.sizes), f"{folder}/pairs"
+        met = False
+        for i, (batch, n) in enumerate(order):
+            part = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(batch))
+            mine = spark.read.schema("class_k long, code binary").parquet(f"{self.classes}/batch={part}")
+            hits = shards.search(mine, n)
+            if hits is not None:
+                hits.write.mode("append").parquet(found)
+                met = True
+            if i + 1 < len(order):  # nothing is searched after the last one
+                shards.append(mine, n)
+        return spark.read.schema("a long, b long").parquet(found).distinct() if met else None
 
     def found(self) -> DataFrame:
         """``(row_id_a, row_id_b)`` of all pairs of rows in different batches, the smaller row_id first, each once."""
         keys = equality_keys(self.rows, "batch")
-        a, b = keys.alias("a"), keys.alias("b")
-        equal = a.join(b, F.expr("a.k = b.k and a.batch < b.batch")).select(F.col("a.row_id").alias("x"), F.col("b.row_id").alias("y"))
         held = self.rows.where("class_k is not null").select("class_k", "row_id", "batch").distinct()
-        x = held.select(F.col("class_k").alias("a"), F.col("row_id").alias("x"), F.col("batch").alias("bx"))
-        y = held.select(F.col("class_k").alias("b"), F.col("row_id").alias("y"), F.col("batch").alias("by"))
-        near = self.near().join(x, "a").join(y, "b").where("bx <> by").select("x", "y")
-        pairs = equal.unionByName(near)
-        return pairs.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
+        return _pairs_of_rows(self.near(), (keys, keys), (held, held))
 
     def report(self) -> DataFrame:
         """Per batch: rows, and rows that repeat a picture of an earlier batch."""
@@ -197,15 +367,3 @@ class BatchDedup:
         later = found.join(la, "row_id_a").join(lb, "row_id_b").select(F.when(F.col("ba") > F.col("bb"), F.col("row_id_a")).otherwise(F.col("row_id_b")).alias("row_id")).distinct()
         marked = of.join(later.withColumn("dup", F.lit(1)), "row_id", "left")
         return marked.groupBy("batch").agg(F.count("*").alias("rows"), F.count("dup").alias("repeats"))
-
-
-def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard: its graph is built from the rows kept, and searched with the others."""
-    build = rows[rows["build"]]
-    ask = rows[~rows["build"]]
-    if build.empty or ask.empty:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = build["class_k"].to_numpy(np.int64), ask["class_k"].to_numpy(np.int64)
-    q, v = Graph(Coded(build["code"].tolist())).search(Coded(ask["code"].tolist()))
-    other = a[v] != b[q]
-    return pd.DataFrame({"a": a[v[other]], "b": b[q[other]]})

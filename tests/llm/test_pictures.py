@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from gleanery.llm import pictures as X
-from gleanery.llm.batches import BatchDedup, Graph, segments_searched
+from gleanery.llm.batches import BatchDedup, Graph, History
+from gleanery.session import new_folder
 from gleanery.llm.overlap import Overlap
 
 SPLIT = "row_id long, split string, file string, source string, batch_no int"
@@ -153,6 +154,30 @@ def test_graph_recall_against_exhaustive_search():
     assert got <= true | {(a, b) for a, b in got if a != b} and len(got & true) >= 0.97 * len(true)
 
 
-def test_segments_cover_history():
-    for j in range(70):
-        assert sorted(x for s, lo in segments_searched(j) for x in range(lo, lo + s)) == list(range(j))
+def test_history_keeps_its_shards(spark):
+    """Batches one by one against brute force; a new batch leaves the segments alone that it is not compacted with."""
+    import os
+
+    rows, prints = _world(5)
+    p = spark.createDataFrame(prints, PRINTS)
+    folder, got, before = new_folder(spark, "history"), [], {}
+    for b in range(1, 7):
+        h = History(spark, folder, shard_rows=40, query_rows=30)  # a new session would find the same state
+        got += [tuple(r) for r in h.add(spark.createDataFrame([r for r in rows if r[4] == b], SPLIT), p, b).collect()]
+        live = {s["name"]: s["batches"] for s in h.shards.segments()}
+        assert sorted(live.values(), reverse=True) == [1 << i for i in reversed(range(4)) if b >> i & 1]
+        files = {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, fs in os.walk(f"{folder}/index") for f in fs if f.endswith(".parquet")}
+        kept = {f for f in before if any(n in f for n in live)}
+        assert {f.split("index/")[1].split("/")[0] for f in files} == set(live)
+        assert all(files[f] == before[f] for f in kept) and bool(kept) == (b in (3, 5, 6))
+        before = files
+    want = _brute(rows, prints, lambda a, b: None not in (a[4], b[4]) and a[4] != b[4])
+    assert len(got) == len(set(got)) and set(got) == want
+    h.shards.compact()
+    assert [s["batches"] for s in h.shards.segments()] == [6]
+    again = [r for r in rows if r[4] == 2 and r[0] is not None]
+    new = [(100_000 + r[0], *r[1:4], 7) for r in again]
+    found = {tuple(r) for r in h.add(spark.createDataFrame(new, SPLIT), p, 7).collect()}
+    assert found == {x for x in _brute(rows + new, prints, lambda a, b: None not in (a[4], b[4]) and max(a[4], b[4]) == 7 > min(a[4], b[4]))}
+    with pytest.raises(ValueError):
+        h.add(spark.createDataFrame(new, SPLIT), p, 7)
