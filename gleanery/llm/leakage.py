@@ -94,36 +94,41 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(h == best)
 
 
-def shared_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Length of the equal run around positions i of a and j of b."""
+def shared_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
+    """Length of the equal run around positions i of a and j of b, and where in a it ends."""
     n = min(len(a) - i, len(b) - j)
     x = np.flatnonzero(a[i : i + n] != b[j : j + n])
     right = int(x[0]) if len(x) else n
     n = min(i, j)
     y = np.flatnonzero(a[i - n : i] != b[j - n : j])
-    return right + (n - 1 - int(y[-1]) if len(y) else n)
+    return right + (n - 1 - int(y[-1]) if len(y) else n), i + right
 
 
 class _Items:
-    """The items' texts and sorted fingerprints, as the workers hold them."""
+    """The items' texts and sorted fingerprints: made once on the driver, and held by the workers as plain arrays."""
 
     def __init__(self, rows: list[tuple[int, str]], run: int) -> None:
         window = run - (1 << GRAM_STEPS) + 1
-        self.ids, self.codes = [], []
-        hashes, where, at = [], [], []
-        for key, text in rows:
-            codes = normal(text)
-            h = gram_hashes(codes)
+        codes, hashes, where, at = [], [], [], []
+        for n, (_, text) in enumerate(rows):
+            codes.append(normal(text))
+            h = gram_hashes(codes[-1])
             kept = winnow(h, window)
-            self.ids.append(key)
-            self.codes.append(codes)
             hashes.append(h[kept])
-            where.append(np.full(len(kept), len(self.ids) - 1))
+            where.append(np.full(len(kept), n))
             at.append(kept)
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        h, self.item, self.at = cat(hashes, np.uint64), cat(where, np.int64), cat(at, np.int64)
+        h, item, at = cat(hashes, np.uint64), cat(where, np.int64), cat(at, np.int64)
         order = np.argsort(h, kind="stable")
-        self.h, self.item, self.at = h[order], self.item[order], self.at[order]
+        self.hold([k for k, _ in rows], cat(codes, np.uint32), np.cumsum([0, *map(len, codes)]), h[order], item[order], at[order])
+
+    def hold(self, *arrays) -> "_Items":
+        self.arrays = arrays
+        self.ids, self.flat, self.ends, self.h, self.item, self.at = arrays
+        return self
+
+    def codes(self, n: int) -> np.ndarray:
+        return self.flat[self.ends[n] : self.ends[n + 1]]
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -170,13 +175,21 @@ def _found(texts: list[str], items: _Items, run: int) -> Iterator[tuple[int, int
     for first, codes, own, at, h in fingerprints(texts, run):
         left = np.searchsorted(items.h, h, "left")
         right = np.searchsorted(items.h, h, "right")
+        hit = np.flatnonzero(right > left)
         best: dict[tuple[int, int], int] = {}
-        for i in np.flatnonzero(right > left):
-            for j in range(left[i], right[i]):
-                pair = (int(own[i]), int(items.item[j]))
-                if best.get(pair, 0) < run:
-                    n = shared_run(codes[pair[0]], int(at[i]), items.codes[pair[1]], int(items.at[j]))
-                    best[pair] = max(n, best.get(pair, 0))
+        for a in range(0, len(hit), 50_000):
+            i = hit[a : a + 50_000]
+            n = right[i] - left[i]
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[i], n)
+            i = np.repeat(i, n)
+            shift = at[i] - items.at[j]
+            by = np.lexsort((at[i], shift, items.item[j], own[i]))
+            last, end = None, 0
+            for t, item, s, x, y in zip(*(v[by].tolist() for v in (own[i], items.item[j], shift, at[i], items.at[j])), strict=True):
+                if (t, item, s) == last and x < end or best.get((t, item), 0) >= run:  # inside the run before, or known
+                    continue
+                length, end = shared_run(codes[t], x, items.codes(item), y)
+                last, best[t, item] = (t, item, s), max(length, best.get((t, item), 0))
         for (t, item), n in best.items():
             if n >= run:
                 yield first + t, item, n
@@ -196,10 +209,11 @@ def leaks(
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, {item_key} {items.schema['i'].dataType.simpleString()}"
     if size > most_held:
         return _shuffled(held_docs, items, run, key, item_key)
-    held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])  # at most most_held characters
+    # at most most_held characters, and about one fingerprint for 15 of them
+    held = spark.sparkContext.broadcast(_Items([(r["i"], r["t"]) for r in items.collect()], run).arrays)
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = _Items(held.value, run)
+        mine = _Items.__new__(_Items).hold(*held.value)
         for part in parts:
             texts = part["t"].tolist()
             pairs = sorted({(t, mine.ids[i]) for t, i, _ in _found(texts, mine, run)})
@@ -234,7 +248,6 @@ def _shuffled(docs: DataFrame, items: DataFrame, run: int, key: str, item_key: s
 
 def leak_report(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per suite: items that leaked and the documents that hold them."""
-    of = items.select("item_id", "suite")
-    return found.join(F.broadcast(of) if of.count() <= 100_000 else of, "item_id").groupBy("suite").agg(
+    return found.join(items.select("item_id", "suite"), "item_id").groupBy("suite").agg(
         F.countDistinct("item_id").alias("items_leaked"), F.countDistinct("doc_id").alias("documents")
     )

@@ -1,8 +1,13 @@
 """Mixing sources to target weights (problem 8).
 
 Method: Poisson replication. A document of a source with mean repetition rate r is written k times, where k inverts the Poisson
-distribution with a hash-seeded uniform number, cut at the source's ``max_repeats``; the distribution's parameter is chosen so
-that the cut distribution has the mean r. Copies are exploded and shuffled globally by a hash of document and copy.
+distribution with a hash-seeded uniform number, cut at the source's ``max_repeats``; the distribution's parameter is found by
+inverting its cut mean, so that the cut distribution has the mean r. Copies are exploded and shuffled globally by a hash of
+document and copy.
+
+A source whose wanted tokens no parameter reaches is short: it is used ``max_repeats`` times, and what it lacks is shared by the
+others in proportion to their weights (again up to their caps), so that the mix keeps its size. The report has the share that each
+source can have, the one it got, and four standard deviations of the draw (``tolerance``) within which the two should agree.
 
 Sizes are tokens of a public tokenizer whose rank file is a parameter; the tokenizer is loaded once per worker.
 
@@ -18,6 +23,7 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,33 +60,59 @@ def token_count(text: Column, rank_file: str) -> Column:
     return count(text)
 
 
+def _cumulative(lam: float, cap: int) -> np.ndarray:
+    """P(X <= k) of a Poisson distribution for k below ``cap``, from logarithms, so that large parameters do not underflow."""
+    k = np.arange(cap)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(cap, 1))))])[:cap]
+    return np.minimum(1.0, np.cumsum(np.exp(k * math.log(lam) - lam - logs))) if lam > 0 else np.ones(cap)
+
+
 def truncated_mean(lam: float, cap: int) -> float:
     """Mean of min(Poisson(lam), cap)."""
-    p, below, mean = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        below += p
-        mean += k * p
-        p *= lam / (k + 1)
-    return mean + cap * max(0.0, 1.0 - below)
-
-
-def thresholds(rate: float, cap: int) -> list[float]:
-    """The cumulative probabilities of 0 .. cap-1 repetitions, for a cut Poisson distribution with this mean."""
-    if rate <= 0 or cap <= 0:
-        return [1.0] * max(cap, 0)
+    return float((1.0 - _cumulative(lam, cap)).sum())
+
+
+def truncated_variance(steps: list[float]) -> float:
+    """Variance of the repetitions with these cumulative probabilities."""
+    over = 1.0 - np.array(steps)
+    return float(((2 * np.arange(len(steps)) + 1) * over).sum() - over.sum() ** 2)
+
+
+def inverted(want: float, have: float, cap: int) -> float | None:
+    """The parameter whose cut distribution has the mean want / have; infinite at the cap, None if no parameter reaches it."""
+    if have * cap < want:
+        return None
+    if want <= 0 or have <= 0:
+        return 0.0
+    rate = want / have
     if rate >= cap:
-        return [0.0] * cap
+        return math.inf
     low, high = rate, rate + 1.0
-    while truncated_mean(high, cap) < rate and high < 700:
+    while truncated_mean(high, cap) < rate and high < 1e12:
         high *= 2
     for _ in range(100):
         lam = (low + high) / 2
         low, high = (lam, high) if truncated_mean(lam, cap) < rate else (low, lam)
-    p, total, out = math.exp(-low), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(min(1.0, total))
-        p *= low / (k + 1)
+    return high
+
+
+def thresholds(lam: float | None, cap: int) -> list[float]:
+    """The cumulative probabilities of 0 .. cap-1 repetitions; none of them where the source is used as often as it may be."""
+    if lam is None or math.isinf(lam):
+        return [0.0] * cap
+    return _cumulative(lam, cap).tolist()
+
+
+def water_fill(weights: list[float], most: list[float], total: float) -> list[float]:
+    """Amounts in proportion to ``weights`` that add up to ``total``, none above ``most`` (less, if all of them are used up)."""
+    out, free = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0]
+    while free:
+        mass = sum(weights[i] for i in free)
+        full = [i for i in free if weights[i] / mass * total >= most[i]]
+        for i in full or free:
+            out[i] = most[i] if full else weights[i] / mass * total
+        total -= sum(most[i] for i in full)
+        free = [i for i in free if i not in full] if full else []
     return out
 
 
@@ -96,32 +128,43 @@ class Mix:
             F.col(key), source_key(F.col(source)).alias("source_key"), token_count(F.col(text), rank_file or tokenizer_file()).alias("tokens")
         )
         self.sizes = stage(counted, "tokens")
+        self.plan = self._plan()
 
     def _plan(self) -> list[dict]:
         names = self.spark.createDataFrame([(r["source"],) for r in self.targets], "source string")
         keys = [r["k"] for r in names.select(source_key(F.col("source")).alias("k")).collect()]
-        per = self.sizes.groupBy("source_key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+        per = self.sizes.groupBy("source_key").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"), F.sum(F.col("tokens").cast("double") ** 2).alias("sq"))
         listed = per.where(F.col("source_key").isin(*[k for k in keys if k is not None]))
-        tokens = {r["source_key"]: (r["tokens"], r["docs"]) for r in listed.collect()}
+        held = {r["source_key"]: (r["n"], r["docs"], r["sq"]) for r in listed.collect()}
         total = self.sizes.agg(F.sum("tokens")).first()[0] or 0
         out = []
         for r, k in zip(self.targets, keys, strict=True):
-            have, docs = tokens.get(k, (0, 0))
+            have, docs, squares = held.get(k, (0, 0, 0.0))
             weight, cap = float(r["weight"] or 0), int(r["max_repeats"] or 0)
             if cap > MOST_REPEATS:
                 raise ValueError(f"max_repeats {cap} of {r['source']} is more than {MOST_REPEATS}")
-            want = weight * total
-            rate = min(float(cap), want / have) if have else 0.0
-            out.append({"source": r["source"], "key": k, "weight": weight, "cap": cap, "tokens": have, "docs": docs, "total": total, "want": want, "rate": rate, "short": have * cap < want})
+            short = inverted(weight * total, have, cap) is None
+            out.append({"source": r["source"], "key": k, "weight": weight, "cap": cap, "tokens": have, "docs": docs, "squares": squares, "short": short})
+        amounts = water_fill([p["weight"] for p in out], [float(p["tokens"] * p["cap"]) for p in out], sum(p["weight"] for p in out) * total)
+        size = sum(amounts)
+        for p, amount in zip(out, amounts, strict=True):
+            p["rate"] = amount / p["tokens"] if p["tokens"] else 0.0
+            p["steps"] = thresholds(inverted(min(amount, p["tokens"] * p["cap"]), p["tokens"], p["cap"]), p["cap"])
+            p["target_share"] = amount / size if size else 0.0
+            p["variance"] = max(0.0, truncated_variance(p["steps"]) * p["squares"])
+        spread = sum(p["variance"] for p in out)
+        for p in out:  # of a share: its own tokens vary, and so does the sum
+            s = p["target_share"]
+            p["tolerance"] = 4 * math.sqrt(max(0.0, (1 - 2 * s) * p["variance"] + s * s * spread)) / size if size else 0.0
         return out
 
     def short(self) -> DataFrame:
         """Sources that cannot reach their weight, even with all their text used as often as is allowed."""
-        return self.spark.createDataFrame([(p["source"],) for p in self._plan() if p["short"]], "source string")
+        return self.report().where("short").select("source")
 
     def drawn(self) -> DataFrame:
         """``(key, source, tokens, copy_no)`` of every copy, not yet shuffled."""
-        plan = [(p["key"], p["source"], thresholds(p["rate"], p["cap"])) for p in self._plan() if p["key"] is not None]
+        plan = [(p["key"], p["source"], p["steps"]) for p in self.plan if p["key"] is not None]
         steps = F.broadcast(self.spark.createDataFrame(plan, "source_key string, source string, steps array<double>"))  # MOST_SOURCES
         unit = F.shiftrightunsigned(F.xxhash64(F.lit(self.salt), self.key), 11).cast("double") / F.lit(float(2**53))
         rows = self.sizes.where("tokens > 0").join(steps, "source_key").withColumn("_u", unit)
@@ -136,11 +179,14 @@ class Mix:
     def report(self) -> DataFrame:
         """Per target source: wanted and actual share of the mix, size, repetition rate, and whether the target is out of reach."""
         got = self.drawn().groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), F.count("*").alias("copies"), F.max("copy_no").alias("most_repeats"))
-        plan = [(p["source"], p["weight"], p["cap"], p["docs"], p["tokens"], p["rate"], p["short"]) for p in self._plan()]
-        base = self.spark.createDataFrame(plan, "source string, weight double, max_repeats int, docs long, tokens long, rate double, short boolean")
+        fields = ("source", "weight", "cap", "docs", "tokens", "rate", "short", "target_share", "tolerance")
+        base = self.spark.createDataFrame(
+            [tuple(p[k] for k in fields) for p in self.plan],
+            "source string, weight double, max_repeats int, docs long, tokens long, rate double, short boolean, target_share double, tolerance double",
+        )
         out = base.join(got, "source", "left").na.fill(0, ["drawn_tokens", "copies", "most_repeats"])
         total = out.agg(F.sum("drawn_tokens").alias("_t"))
         return out.join(F.broadcast(total)).select(  # one row
-            "source", "weight", "max_repeats", "docs", "tokens", "rate", "drawn_tokens", "copies", "most_repeats",
-            F.when(F.col("_t") > 0, F.col("drawn_tokens") / F.col("_t")).alias("actual_share"), "short",
-        )
+            "source", "weight", "max_repeats", "docs", "tokens", "rate", "drawn_tokens", "copies", "most_repeats", "target_share",
+            F.when(F.col("_t") > 0, F.col("drawn_tokens") / F.col("_t")).alias("actual_share"), "tolerance", "short",
+        )

@@ -90,6 +90,21 @@ def controlled_round(table: dict[tuple, Fraction]) -> dict[tuple, int]:
     return {k: low + flow.cap[e ^ 1] for k, (e, low) in cells.items()}
 
 
+def reachable(required: dict[tuple, int], available: dict[tuple, int]) -> dict[tuple, int]:
+    """How much of each cell's requirement can be met: the maximum flow through rows and columns that want the sums of their
+    cells' requirements, over cells that pass no more than is required of them and there is."""
+    rows, cols = sorted({r for r, _ in required}, key=str), sorted({c for _, c in required}, key=str)
+    node = {("r", r): i + 2 for i, r in enumerate(rows)} | {("c", c): i + 2 + len(rows) for i, c in enumerate(cols)}
+    flow = _Flow(2 + len(node))
+    for r in rows:
+        flow.edge(0, node["r", r], sum(v for k, v in required.items() if k[0] == r))
+    for c in cols:
+        flow.edge(node["c", c], 1, sum(v for k, v in required.items() if k[1] == c))
+    cells = {k: flow.edge(node["r", k[0]], node["c", k[1]], min(v, available[k])) for k, v in sorted(required.items(), key=str)}
+    flow.push(0, 1)
+    return {k: flow.cap[e ^ 1] for k, e in cells.items()}
+
+
 def bounded_shares(weights: dict, low: dict, high: dict, total: int) -> dict[tuple, Fraction]:
     """Quotas in proportion to ``weights`` that add up to ``total`` within ``low`` and ``high`` (as far as these allow it).
 

@@ -2,7 +2,12 @@
 
 Method: controlled rounding. The fractional two-way quota table (source x class, one per split) is brought within the cells'
 bounds (at least the minimum, at most what there is), made whole by maximum flow so that both margins are preserved, and each
-cell's quota is drawn exactly by random keys.
+cell's quota is drawn exactly by random keys. A maximum flow through the same table, with the requirements as demand, tells which
+of them can be met at all.
+
+The sample of a split has exactly a tenth of its files (the sum of the minima, where that is more). Requirements are rounded up, so
+that they may add up to more than that: then cells that could be met get less than required (``met`` is false, ``reachable`` says
+that there was enough), and the report shows by how much each source and class misses its share.
 
 Defined results: names are compared in normal form and written as in the targets. The unit is the distinct file of a cell
 (file names ignoring case), represented by its smallest row_id; rows with a null in split, source, class or file do not count.
@@ -62,7 +67,7 @@ class TargetSample:
         self._quotas(names)
 
     def _quotas(self, names: dict[int, str]) -> None:
-        from gleanery.llm.rounding import bounded_shares, controlled_round
+        from gleanery.llm.rounding import bounded_shares, controlled_round, reachable
 
         for split in sorted({x for x in names.values() if x is not None}):
             own = {t["cell"]: t for t in self.targets if names[t["cell"]] == split}
@@ -81,26 +86,39 @@ class TargetSample:
                     raise ValueError(f"targets list {keys[c]} of split {split} twice")
                 table[keys[c]] = v
             whole = controlled_round(table)
+            flow = reachable({keys[c]: t["required"] for c, t in own.items()}, {keys[c]: t["available"] for c, t in own.items()})
             for c, t in own.items():
-                t["quota"] = whole[keys[c]]
+                t["quota"], t["reachable"] = whole[keys[c]], flow[keys[c]]
         for t in self.targets:
             t.setdefault("quota", 0)
+            t.setdefault("reachable", 0)
 
     def report(self) -> DataFrame:
-        """One row per target: required, available and drawn files, the share reached, and whether the target is met."""
-        fields = ("split", "source", "dominant_class", "share_bp", "min_rows", "n", "required", "available", "quota")
-        rows = [tuple(t[k] for k in fields) + (t["available"] >= t["required"],) for t in self.targets]
-        return self.spark.createDataFrame(
-            rows,
-            "split string, source string, dominant_class string, share_bp int, min_rows int, sample_size long, required long, "
-            "available long, drawn long, met boolean",
+        """One row per target: required, reachable, available and drawn files, whether the requirement can be and is met, and what
+        is drawn more (or less, if negative) of its source and of its class in its split than their shares of the sample."""
+        fields = ("cell", "split", "source", "dominant_class", "share_bp", "min_rows", "n", "required", "available", "reachable")
+        base = self.spark.createDataFrame(
+            [tuple(t[k] for k in fields) for t in self.targets],
+            "cell int, split string, source string, dominant_class string, share_bp int, min_rows int, sample_size long, required long, "
+            "available long, reachable long",
         )
+        drawn = self._drawn().groupBy("cell").agg(F.count("*").alias("drawn"))
+        out = base.join(drawn, "cell", "left").na.fill(0, ["drawn"])  # a row for each target, on both sides
+        more = F.col("drawn") - F.col("share_bp") * F.col("sample_size") / 10_000
+        gap = lambda *by: F.round(F.sum(more).over(Window.partitionBy(*by)), 4)
+        return out.select(
+            *[c for c in base.columns if c != "cell"], "drawn", (F.col("reachable") >= F.col("required")).alias("can_be_met"),
+            (F.col("drawn") >= F.col("required")).alias("met"), gap("split", "source").alias("source_gap"), gap("split", "dominant_class").alias("class_gap"),
+        )
 
     def unmet(self) -> DataFrame:
-        return self.report().where(~F.col("met")).select("split", "source", "dominant_class")
+        return self.report().where(~F.col("can_be_met")).select("split", "source", "dominant_class")
 
     def sample(self) -> DataFrame:
         """``(split, source, dominant_class, row_id, file)``: exactly the quota of each cell, lowest random keys first."""
+        return self._drawn().drop("cell")
+
+    def _drawn(self) -> DataFrame:
         quotas = self.spark.createDataFrame(
             [(t["cell"], t["split"], t["source"], t["dominant_class"], t["quota"]) for t in self.targets],
             "cell int, split string, source string, dominant_class string, quota long",
@@ -121,4 +139,4 @@ class TargetSample:
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("_h", "_f"))
         part = near.where("_b = _cut").withColumn("_k", rank).where("_k <= _rest").select("cell", "row_id", "_f")
         drawn = whole.unionByName(part).join(F.broadcast(quotas), "cell")
-        return drawn.select("split", "source", "dominant_class", "row_id", F.col("_f").alias("file"))
+        return drawn.select("cell", "split", "source", "dominant_class", "row_id", F.col("_f").alias("file"))

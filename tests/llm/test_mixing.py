@@ -7,11 +7,23 @@ from gleanery.llm import mixing as M
 D, T = "doc_id long, text string, source string", "source string, weight double, max_repeats int"
 
 
-@pytest.mark.parametrize("rate,cap", [(0.1, 1), (0.7, 1), (1.5, 3), (2.9, 3), (0.01, 8), (7.5, 8), (3.0, 3), (5.0, 3), (0.0, 4)])
+@pytest.mark.parametrize("rate,cap", [(0.1, 1), (0.7, 1), (1.5, 3), (2.9, 3), (0.01, 8), (7.5, 8), (3.0, 3), (0.0, 4), (800.0, 1000), (999.5, 1000), (3.0, 1000)])
 def test_cut_poisson_has_the_mean(rate, cap):
-    t = M.thresholds(rate, cap)
+    t = M.thresholds(M.inverted(rate * 70, 70, cap), cap)
     assert len(t) == cap and t == sorted(t)
-    assert math.isclose(sum(1 - x for x in t), min(rate, cap), abs_tol=1e-6)
+    assert math.isclose(sum(1 - x for x in t), rate, abs_tol=1e-6)
+
+
+def test_no_parameter_reaches_more_than_the_cap():
+    assert M.inverted(301, 100, 3) is None and M.inverted(1, 0, 3) is None and M.inverted(300, 100, 3) == math.inf
+    assert M.thresholds(None, 2) == M.thresholds(math.inf, 2) == [0.0, 0.0]
+
+
+def test_water_fill():
+    assert M.water_fill([0.5, 0.3, 0.2], [100, 100, 100], 60) == [30, 18, 12]
+    got = M.water_fill([0.5, 0.3, 0.2], [100, 10, 30], 100)
+    assert [round(x, 9) for x in got] == [round(450 / 7, 9), 10, round(180 / 7, 9)]
+    assert M.water_fill([1, 1], [3, 4], 100) == [3, 4] and M.water_fill([0, 0], [3, 4], 5) == [0, 0] and M.water_fill([], [], 5) == []
 
 
 def test_mix_shares_and_limits(spark):
@@ -26,6 +38,8 @@ def test_mix_shares_and_limits(spark):
     total = sum(len(t.split()) for _, t, _ in docs if t)
     assert abs(rep["SMALL"].drawn_tokens / rep["SMALL"].tokens - rep["SMALL"].rate) < 0.1 and total > 0
     assert abs(rep["big"].drawn_tokens / rep["big"].tokens - rep["big"].rate) < 0.06
+    assert all(abs(r.actual_share - r.target_share) <= r.tolerance + 1e-12 for r in rep.values())
+    assert math.isclose(sum(r.target_share for r in rep.values()), 1) and rep["big"].target_share > 0.5
     rows = m.mixed().collect()
     assert len({(r.doc_id, r.copy_no) for r in rows}) == len(rows) == sum(r.copies for r in rep.values())
     assert [r.position_key for r in rows] == sorted(r.position_key for r in rows)

@@ -27,6 +27,8 @@ def test_target_sample_quotas_and_report(spark):
     assert rep["train", "b", "Y"].available == 10 and rep["train", "b", "Y"].required == 25 and not rep["train", "b", "Y"].met
     assert rep["train", "a", "X"].available == 400 and rep["train", "a", "X"].met
     assert {tuple(r) for r in t.unmet().collect()} == {("train", "b", "Y"), ("valid", "a", "X")}
+    assert rep["train", "b", "Y"].drawn == 10 and not rep["train", "b", "Y"].can_be_met
+    assert rep["train", "a", "X"].source_gap == rep["train", "a", "Y"].source_gap == -rep["train", "b", "X"].source_gap
     drawn = t.sample().collect()
     assert len(drawn) == 100 == sum(r.drawn for r in rep.values())
     assert len({(r.dominant_class, r.file) for r in drawn}) == 100
@@ -36,6 +38,16 @@ def test_target_sample_quotas_and_report(spark):
     assert sorted(drawn) == sorted(again)
 
 
+def test_what_is_drawn_below_the_requirement_is_reported(spark):
+    """Requirements are rounded up and add up to more than the sample."""
+    rows = [(k, "train", f"{k}.jpg", "abc"[k % 3], "XYZ"[k // 3 % 3]) for k in range(1000)]
+    targets = [("train", s, c, 1111 if (s, c) != ("a", "X") else 1112, 0) for s in "abc" for c in "XYZ"]
+    rep = TargetSample(spark.createDataFrame(rows, ROWS), spark.createDataFrame(targets, TARGETS)).report().collect()
+    assert sum(r.drawn for r in rep) == 100 < sum(r.required for r in rep) and all(r.can_be_met for r in rep)
+    assert all(r.met == (r.drawn >= r.required) for r in rep) and not all(r.met for r in rep)
+    assert all(abs(r.source_gap) < 1 and abs(r.class_gap) < 1 for r in rep)
+
+
 def test_target_sample_empty(spark):
     t = TargetSample(spark.createDataFrame([], ROWS), spark.createDataFrame([("train", "a", "X", 100, 1), ("train", "a", "Y", 0, 0)], TARGETS))
     assert [tuple(r) for r in t.unmet().collect()] == [("train", "a", "X")]
