@@ -329,7 +329,9 @@ def meeting(classes: DataFrame, sides: Column | None = None, block: int = BLOCK)
     crossing = sides is not None
     keyed = classes.select("class_k", (sides if crossing else F.lit(0)).cast("long").alias("s"), suffix_keys(F.col("code")).alias("v"))
     rows = keyed.select("class_k", F.get("v", F.lit(0)).bitwiseOR(F.col("s")).alias("x"), F.explode(F.slice("v", 2, PIECES + SYMBOLS)).alias("k"))
-    rows = rows.select(F.col("k").cast("int").alias("k"), "class_k", "x").repartition(F.shiftright("k", 7)).sortWithinPartitions("k", "class_k")
+    rows = rows.select(F.col("k").cast("int").alias("k"), "class_k", "x").repartition(F.shiftright("k", 7))
+    # one number that decides alone is sorted by its digits
+    rows = rows.sortWithinPartitions(F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("class_k").bitwiseAND(F.lit(0xFFFFFFFF))))
     met = stage(rows.mapInArrow(_neighbours(crossing, block), _MET), "suffix-spans")
     pairs = met.where("not hot").select("a", "b", "spans")
     hot = met.where("hot").select(F.col("a").alias("class_k"), F.col("b").alias("x"), F.col("spans").alias("k"))
