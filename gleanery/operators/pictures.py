@@ -89,7 +89,12 @@ def pieces(hashes: np.ndarray) -> np.ndarray:
 def usable(thumbs: pd.Series) -> np.ndarray:
     """Whether a thumbnail has SIDE x SIDE finite values that are not all equal (else no correlation is defined)."""
     n = SIDE * SIDE
-    return np.array([t is not None and len(t) == n and bool(np.isfinite(t).all()) and float(np.ptp(t)) > 0 for t in thumbs], bool)
+    ok = np.array([t is not None and len(t) == n for t in thumbs], bool)
+    if ok.any():
+        held = np.stack(thumbs[ok].to_list()).astype(np.float64)
+        with np.errstate(invalid="ignore"):
+            ok[ok] = np.isfinite(held).all(1) & (np.ptp(held, axis=1) > 0)
+    return ok
 
 
 def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Column:
@@ -101,11 +106,13 @@ def code(h0: Column, h1: Column, h2: Column, h3: Column, thumb: Column) -> Colum
         ok = usable(t)
         out = [row.tobytes() for row in h]
         if ok.any():
+            at = np.flatnonzero(ok)
             thumbs = np.stack(t[ok].to_list()).astype(np.float64)
             strings = symbols(thumbs).astype(np.uint8)
             tiny = ((thumbs >= 0) & (thumbs <= 255) & (thumbs == np.floor(thumbs))).all(1)
-            for k, i in enumerate(np.flatnonzero(ok)):
-                out[i] += strings[k].tobytes() + (thumbs[k].astype(np.uint8) if tiny[k] else thumbs[k]).tobytes()
+            rows = np.concatenate([h[at].view(np.uint8), strings, np.where(tiny[:, None], thumbs, 0).astype(np.uint8)], axis=1)
+            for k, i in enumerate(at.tolist()):
+                out[i] = rows[k].tobytes() if tiny[k] else rows[k, : 32 + SYMBOLS].tobytes() + thumbs[k].tobytes()
         return pd.Series(out)
 
     return pack(h0, h1, h2, h3, thumb)
