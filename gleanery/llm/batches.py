@@ -101,8 +101,12 @@ class Graph:
         n, m = len(self.data.hash), keys.shape[1]
         met = []
         for r in range(len(self.keys)):
-            left = np.searchsorted(self.keys[r], keys[r], "left")
-            right = np.searchsorted(self.keys[r], keys[r], "right")
+            by = np.argsort(keys[r], kind="stable")  # sorted queries are looked up several times as fast
+            left = np.empty(m, np.int64)
+            left[by] = np.searchsorted(self.keys[r], keys[r][by], "left")
+            right = left.copy()
+            equal = by[self.keys[r][np.minimum(left[by], n - 1)] == keys[r][by]]
+            right[equal] = np.searchsorted(self.keys[r], keys[r][equal], "right")
             blank = ~query.has[base : base + m] if r >= PIECES else np.zeros(m, bool)
             lo, hi = np.maximum(left - 1, 0), np.minimum(right + 1, n)
             hi = np.where(blank, lo + 1, hi)

@@ -4,10 +4,11 @@ Method: nearest-centroid classification. Text becomes normalised TF-IDF vectors
 words, with marks at their borders; signed hashing into ``DIMS`` dimensions, which keeps inner products). Every language has
 several centroids, found by clustering its training sentences; the nearest centroid by cosine decides, and text that is farther
 from all of them than nearly all training text is rejected (``und``). The model is fitted on a bounded sample of labelled rows
-(``PER_LANGUAGE`` documents of each language, lowest hash first); all else covers every row and whole texts.
+(``PER_LANGUAGE`` documents of each language, lowest hash first), and so are its n-gram weights; all else covers every row, whole
+texts and words of any length. Every language of ISO 639-1 can be learned.
 
-Labels are noisy, so a label is learned only if its held-out documents are recognised by it, and training sentences are classified once by the first centroids, and only those that agree with their
-document's label and with most of the document stay.
+Labels are noisy, so a label is learned only if its held-out documents are recognised by it, and training sentences are classified
+once by the first centroids, and only those that agree with their document's label and with most of the document stay.
 
 Defined results: a sentence is a stretch of a paragraph that ends with ``.``, ``!``, ``?`` or an ellipsis and has at least
 ``LEAST_WORDS`` words; paragraphs are the non-empty blocks between blank lines, counted from 0. Null or empty texts, and texts
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMS = 512
@@ -43,23 +44,35 @@ LEARNABLE = 0.6
 SAME, CLEARLY = 0.8, 0.2
 #: A sentence counts as another language than its document's main one only if it is closer by this much.
 MARGIN = 0.13
-_LONGEST = 24
 
-#: Codes and English names of languages (fixed values).
-LANGUAGES = {
-    "en": ("eng", "english"), "de": ("deu", "ger", "german"), "fr": ("fra", "fre", "french"), "es": ("spa", "spanish", "castilian"),
-    "pt": ("por", "portuguese"), "it": ("ita", "italian"), "nl": ("nld", "dut", "dutch"), "sv": ("swe", "swedish"), "da": ("dan", "danish"),
-    "no": ("nor", "nob", "norwegian"), "fi": ("fin", "finnish"), "pl": ("pol", "polish"), "cs": ("ces", "cze", "czech"), "hu": ("hun", "hungarian"),
-    "ro": ("ron", "rum", "romanian"), "ru": ("rus", "russian"), "uk": ("ukr", "ukrainian"), "tr": ("tur", "turkish"), "el": ("ell", "gre", "greek"),
-    "zh": ("zho", "chi", "chinese"), "ja": ("jpn", "japanese"), "ko": ("kor", "korean"), "ar": ("ara", "arabic"), "ca": ("cat", "catalan"),
-}
-_NAMES = {x: code for code, more in LANGUAGES.items() for x in (code, *more)}
+#: Further spellings of labels, beside those that the Java runtime knows of every language: its two-letter code, its three-letter
+#: code and its English name (fixed values: bibliographic codes, and names of variants).
+SPELLINGS = {
+    "ger": "de", "fre": "fr", "dut": "nl", "cze": "cs", "rum": "ro", "gre": "el", "chi": "zh", "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "geo": "ka",
+    "ice": "is", "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "slo": "sk", "tib": "bo", "wel": "cy", "castilian": "es", "nob": "no", "nb": "no",
+}
+_KNOWN: list[dict[str, str]] = []
 
 
-def label_code(label: Column) -> Column:
-    """The two-letter code a label names, null if it names none: codes with or without region, or English names."""
-    word = F.regexp_extract(F.lower(label), r"^[\s\p{Z}]*([a-z]+)", 1)
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(_NAMES.items()) for x in kv]), word)
+def label_names(spark: SparkSession) -> dict[str, str]:
+    """Two-letter code of every label: all languages of ISO 639-1, by code of two or three letters or English name of one word."""
+    if not _KNOWN:
+        locale, names = spark._jvm.java.util.Locale, {}
+        for code in locale.getISOLanguages():
+            this = locale.forLanguageTag(code)
+            for name in (code, this.getISO3Language(), this.getDisplayLanguage(locale.ENGLISH).lower()):
+                if re.fullmatch("[a-z]+", name):
+                    names.setdefault(name, code)
+        _KNOWN.append(names | SPELLINGS)
+    return _KNOWN[0]
+
+
+def with_label_code(df: DataFrame, label: Column, *columns: Column) -> DataFrame:
+    """``columns`` and ``label_code``, which is null where the label names no language: labels may be codes with or without
+    region, or English names."""
+    names = df.sparkSession.createDataFrame(sorted(label_names(df.sparkSession).items()), "_word string, label_code string")
+    worded = df.select(*columns, F.regexp_extract(F.lower(label), r"^[\s\p{Z}]*([a-z]+)", 1).alias("_word"))
+    return worded.join(F.broadcast(names), "_word", "left").drop("_word")  # a few hundred names
 
 
 _PARAGRAPH = re.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
@@ -97,18 +110,19 @@ class Features:
     @staticmethod
     def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word number, n-gram hash) of all n-grams of the marked words."""
-        marked = np.array([f"\x02{w[:_LONGEST]}\x03" for w in words], dtype=f"U{_LONGEST + 2}")
-        codes = marked.view(np.uint32).reshape(len(words), -1).astype(np.uint64)
-        lens = np.array([min(len(w), _LONGEST) + 2 for w in words])
+        joined = "".join([f"\x02{w}\x03" for w in words])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        owner, ends = np.repeat(np.arange(len(words)), lens), np.cumsum(lens)
         at, out = [], []
         for n in GRAMS:
-            h = np.full((len(words), codes.shape[1] - n + 1), np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            h = np.full(max(0, len(codes) - n + 1), np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1)))
             for i in range(n):
-                h = (h ^ codes[:, i : i + h.shape[1]]) * np.uint64(0xD6E8FEB86659FD93)
+                h = (h ^ codes[i : i + len(h)]) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
-            w, p = np.nonzero(np.arange(h.shape[1])[None, :] + n <= lens[:, None])
-            at.append(w)
-            out.append(h[w, p])
+            inside = np.arange(len(h)) + n <= ends[owner[: len(h)]]
+            at.append(owner[: len(h)][inside])
+            out.append(h[inside])
         return np.concatenate(at), np.concatenate(out)
 
     def word_ids(self, words: list[str]) -> np.ndarray:
@@ -263,9 +277,9 @@ def confidence(top: float, second: float, least: float) -> float:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """The model from at most ``per_language`` labelled documents of each language, those with the lowest hash of the key."""
-    coded = docs.select(F.xxhash64(F.lit("language"), key).alias("h"), label_code(F.col(label)).alias("l"), F.col(text).alias("t"))
+    coded = with_label_code(docs, F.col(label), F.xxhash64(F.lit("language"), key).alias("h"), F.col(text).alias("t")).withColumnRenamed("label_code", "l")
     coded = coded.where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in coded.groupBy("l").agg(F.count("*").alias("n")).collect()}  # known codes only
+    counts = {r["l"]: r["n"] for r in coded.groupBy("l").agg(F.count("*").alias("n")).collect()}  # codes of ISO 639-1 only
     rows: list[tuple[str, str]] = []
     if counts:
         # hashes below a bound that about twice as many rows keep to; the exact cut is made by the order
@@ -302,7 +316,7 @@ def segments(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             for a in range(0, len(part), 500):
                 yield classify(m, part.iloc[a : a + 500], key)
 
-    rows = docs.select(F.col(key), label_code(F.col(label)).alias("label_code"), F.col(text).alias("t"))
+    rows = with_label_code(docs, F.col(label), F.col(key), F.col(text).alias("t"))
     return rows.mapInPandas(run, schema)
 
 

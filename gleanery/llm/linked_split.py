@@ -5,19 +5,20 @@ whole groups. Records with the same source and uploader are one node of the grap
 propagation), so that a hot source costs no more than its distinct uploaders. Every round sends the smallest label over the
 edges, hooks it on the label's own root and follows labels of labels, so that chains of length n need about log n rounds.
 
-Groups above ``HEAVY`` of all rows, of which there can be at most 1/HEAVY, are placed one after another where they deviate least
-from the wanted counts (per domain, and per class); all others are ordered by hash within their stratum (domain and class that
-most of their rows have) and cut at the remaining shares by prefix sums over hash buckets.
+Assignment is stratified and greedy: units are placed one after another, largest first, where the counts of rows per domain, and
+per class in each domain, deviate least from those wanted. A unit is a whole group, or all groups of a stratum (domain and class that most of their
+rows have) that share one of ``BUCKETS`` hash buckets; a group of more than a ``UNITS``-th of all rows is a unit of its own, of
+which there can be at most ``UNITS``. So what reaches the driver is bounded by the targets and classes, whatever the number of groups.
 
 Defined results: uploaders are equal ignoring case and surrounding blanks; null, empty and stand-in names (``NOBODY``) name nobody
-and link nothing. Rows with a null source are linked by their uploader alone, rows with neither are groups of their own. A null or
-unlisted domain has the mean shares of the listed ones. Repeated rows count each. Empty input gives an empty result. Further
-columns are ignored. All ties are broken by name.
+and link nothing. Rows with a null source are linked by their uploader alone; rows with neither are groups of their own, without a
+label, and are placed like groups of one row. A null or unlisted domain has the mean shares of the listed ones. Repeated rows count each. Empty input gives an empty result. Further
+columns are ignored. Classes beyond the ``CLASSES`` most frequent ones are balanced as one. All ties are broken by name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.names import class_key, source_key, split_key, stripped
@@ -26,8 +27,9 @@ from gleanery.tables import small
 
 #: Stand-ins for a missing uploader (fixed values).
 NOBODY = ("", "-", "--", "?", "n/a", "na", "none", "null", "nan", "nil", "unknown", "anonymous", "anon", "not available", "undefined")
-HEAVY = 0.002
-BUCKETS = 256
+UNITS = 500
+BUCKETS = 64
+CLASSES = 200
 
 
 def entity(uploader: Column) -> Column:
@@ -89,76 +91,74 @@ class LinkedSplit:
         splits = sorted({s for x in shares.values() for s in x}, key=lambda s: (["train", "valid", "test"] + [s]).index(s))
         mean = {s: sum(x.get(s, 0.0) for x in shares.values()) / len(shares) for s in splits}
         node, _ = self._node()
-        rows = self.df.withColumn("__gl_node", node)
+        key, own = F.struct("_d", "_c"), self.df.columns
+        cls = class_key(F.col(label))
+        top = self.df.select(cls.alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(CLASSES)
+        kept = [r["c"] for r in top.collect()]
+        rows = self.df.select(
+            *[self.df[c] for c in own],
+            node.alias("__gl_node"),
+            F.when(source_key(F.col(domain)).isin(*[d for d in shares if d is not None]), source_key(F.col(domain))).alias("__gl_d"),
+            F.when(cls.isin(*kept), cls).alias("__gl_c"),
+        )
+        bucket = lambda d, c, *of: F.concat_ws("/", F.lit("b"), F.coalesce(d, F.lit("")), F.coalesce(c, F.lit("")), F.pmod(F.xxhash64(F.lit(salt), *of), F.lit(BUCKETS)))
+        # rows that name neither source nor uploader: by hash of the whole row
+        lone = F.when(F.col("__gl_node").isNull(), bucket(F.col("__gl_d"), F.col("__gl_c"), *own))
+        rows = rows.withColumn("__gl_lone", lone)
+        counts = rows.groupBy("__gl_node", "__gl_lone", F.col("__gl_d").alias("_d"), F.col("__gl_c").alias("_c")).agg(F.count("*").alias("_n"))
         lab = self.groups.select(F.col("node").alias("__gl_node"), F.col("label").alias("__gl_group"))
-        counts = (
-            rows.groupBy("__gl_node", source_key(F.col(domain)).alias("_d"), class_key(F.col(label)).alias("_c")).agg(F.count("*").alias("_n"))
-        ).where("__gl_node is not null")
-        sizes = stage(counts.join(lab, "__gl_node").groupBy("__gl_group", "_d", "_c").agg(F.sum("_n").alias("_n")), "group-sizes")
+        sizes = stage(counts.join(lab, "__gl_node", "left").groupBy("__gl_group", "__gl_lone", "_d", "_c").agg(F.sum("_n").alias("_n")), "group-sizes")
         total = sizes.agg(F.sum("_n")).first()[0] or 0
-        per_group = sizes.groupBy("__gl_group").agg(F.sum("_n").alias("_n"))
-        heavy = {r["__gl_group"] for r in per_group.where(F.col("_n") >= max(1.0, HEAVY * total)).select("__gl_group").collect()}  # at most 1/HEAVY
+        grouped = sizes.where("__gl_group is not null").groupBy("__gl_group").agg(F.max_by(key, F.struct(F.col("_n"), key)).alias("_m"), F.sum("_n").alias("_n"))
+        unit = F.when(F.col("_n") * UNITS > total, F.concat(F.lit("g/"), F.col("__gl_group"))).otherwise(bucket(F.col("_m._d"), F.col("_m._c"), "__gl_group"))
+        of_group = stage(grouped.select("__gl_group", unit.alias("__gl_unit")), "group-units")
+        united = sizes.join(of_group, "__gl_group", "left").groupBy(F.coalesce("__gl_unit", "__gl_lone").alias("u"), "_d", "_c").agg(F.sum("_n").alias("n"))
+        # a row for each unit, domain and class: at most UNITS + BUCKETS * strata units
         cells: dict[str, list] = {}
-        if heavy:
-            for r in sizes.where(F.col("__gl_group").isin(*heavy)).collect():
-                cells.setdefault(r["__gl_group"], []).append((r["_d"], r["_c"], r["_n"]))
         whole: dict[tuple, int] = {}
-        for r in sizes.groupBy("_d", "_c").agg(F.sum("_n").alias("_n")).collect():  # domains x classes
-            for k in (("d", r["_d"]), ("c", r["_c"])):
-                whole[k] = whole.get(k, 0) + r["_n"]
-        of = lambda d: shares.get(d, mean)
-        pooled = {s: sum(n * of(k[1]).get(s, 0.0) for k, n in whole.items() if k[0] == "d") / max(1, total) for s in splits}
-        want = {(k, s): n * (of(k[1]).get(s, 0.0) if k[0] == "d" else pooled[s]) for k, n in whole.items() for s in splits}
+        for r in united.collect():
+            for k in (("d", r["_d"]), ("c", r["_d"], r["_c"])):
+                cells.setdefault(r["u"], []).append((k, r["n"]))
+                whole[k] = whole.get(k, 0) + r["n"]
+        placed = self._place(cells, whole, shares, mean, splits)
+        chosen = F.broadcast(self.spark.createDataFrame(sorted(placed.items()), "__gl_unit string, __gl_split string"))  # units
+        out = rows.join(lab, "__gl_node", "left").join(of_group, "__gl_group", "left")
+        out = out.withColumn("__gl_unit", F.coalesce("__gl_unit", "__gl_lone")).join(chosen, "__gl_unit", "left")
+        return out.select(*[rows[c] for c in own], F.col("__gl_group").alias("group_label"), F.col("__gl_split").alias("assigned_split"))
+
+    @staticmethod
+    def _place(cells: dict[str, list], whole: dict[tuple, int], shares: dict, mean: dict, splits: list[str]) -> dict[str, str]:
+        """Units to splits, largest first, each where the squared deviations from the wanted counts, relative to the rows of
+        each domain and of each class in it, grow least."""
+        want = {(k, s): n * shares.get(k[1], mean).get(s, 0.0) for k, n in whole.items() for s in splits}
         placed: dict[str, str] = {}
-        for g in sorted(cells, key=lambda g: (-sum(n for *_, n in cells[g]), g)):
-            own: dict[tuple, int] = {}
-            for d, c, n in cells[g]:
-                own[("d", d)] = own.get(("d", d), 0) + n
-                own[("c", c)] = own.get(("c", c), 0) + n
-            # the growth of the squared deviation, relative to each row of the table
-            cost = lambda s: sum((n * n - 2 * n * want[k, s]) / max(1, whole[k]) for k, n in own.items())
+        merged: dict[str, dict[tuple, int]] = {}
+        for u, parts in cells.items():
+            for k, n in parts:
+                merged.setdefault(u, {})[k] = merged.setdefault(u, {}).get(k, 0) + n
+        for u in sorted(merged, key=lambda u: (-sum(merged[u].values()), u)):
+            cost = lambda s: sum((n * n - 2 * n * want[k, s]) / max(1.0, whole[k]) for k, n in merged[u].items())  # noqa: B023, E731
             best = min(splits, key=lambda s: (cost(s), splits.index(s)))
-            placed[g] = best
-            for k, n in own.items():
+            placed[u] = best
+            for k, n in merged[u].items():
                 want[k, best] -= n
-        rest = sizes.where(~F.col("__gl_group").isin(*heavy)) if heavy else sizes
-        most = F.struct(F.col("_n"), F.col("_d"), F.col("_c"))
-        light = rest.groupBy("__gl_group").agg(F.max(most).alias("_m"), F.sum("_n").alias("_n"))
-        light = light.select("__gl_group", F.col("_m._d").alias("_d"), F.col("_m._c").alias("_c"), "_n", F.xxhash64(F.lit(salt), "__gl_group").alias("_h"))
-        light = light.withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
-        stratum = ["_d", "_c"]
-        buckets = light.groupBy(*stratum, "_b").agg(F.sum("_n").alias("_bn"))
-        run = Window.partitionBy(*stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        buckets = buckets.select(
-            *stratum, "_b", F.coalesce(F.sum("_bn").over(run), F.lit(0)).alias("_before"), F.sum("_bn").over(Window.partitionBy(*stratum)).alias("_all")
-        )
-        b = buckets.select(F.col("_d").alias("_d2"), F.col("_c").alias("_c2"), F.col("_b").alias("_b2"), "_before", "_all")
-        joined = light.join(b, light["_d"].eqNullSafe(b["_d2"]) & light["_c"].eqNullSafe(b["_c2"]) & (light["_b"] == b["_b2"]))
-        inside = Window.partitionBy("_d", "_c", "_b").orderBy("_h", "__gl_group").rowsBetween(Window.unboundedPreceding, -1)
-        middle = (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_n") / 2) / F.col("_all")
-        # what each domain still has to give to each split, once the heavy groups are placed
-        left = [(d, *[max(0.0, want[("d", d), s]) for s in splits]) for k, d in whole if k == "d"]
-        upper = None
-        for d, *x in sorted(left, key=str):
-            mass, run_sum, pick = sum(x), 0.0, F.lit(splits[-1])
-            bounds = []
-            for s, v in zip(splits, x, strict=True):
-                run_sum += v / mass if mass else of(d).get(s, 0.0)
-                bounds.append((s, run_sum))
-            for s, v in reversed(bounds[:-1]):
-                pick = F.when(middle < v, s).otherwise(pick)
-            cond = F.col("_d").eqNullSafe(F.lit(d))
-            upper = F.when(cond, pick) if upper is None else upper.when(cond, pick)
-        light_out = joined.select("__gl_group", (upper if upper is not None else F.lit(splits[0])).alias("__gl_split"))
-        heavy_out = self.spark.createDataFrame(sorted(placed.items()), "__gl_group string, __gl_split string")
-        chosen = lab.join(light_out.unionByName(heavy_out), "__gl_group")
-        # rows that name neither source nor uploader are groups of their own: by hash of the whole row
-        lone = F.pmod(F.xxhash64(F.lit(salt), *[F.col(c) for c in self.df.columns]), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        pick, acc = F.lit(splits[-1]), 1.0
-        for s in reversed(splits[1:]):
-            acc -= mean[s]
-            pick = F.when(lone < acc, splits[splits.index(s) - 1]).otherwise(pick)
-        out = rows.join(chosen, "__gl_node", "left")
-        return out.select(
-            *[rows[c] for c in self.df.columns], F.col("__gl_group").alias("group_label"), F.coalesce("__gl_split", pick).alias("assigned_split")
-        )
+        return placed
+
+
+def split_report(assigned: DataFrame, targets: DataFrame, domain: str = "domain", label: str = "dominant_class") -> DataFrame:
+    """``(domain, split, rows, share, target, class_gap)``: the share of each split in each domain beside its target (null where the
+    domain is not listed), and the largest difference of a class's share in the split from that in all rows."""
+    counts = stage(
+        assigned.groupBy(source_key(F.col(domain)).alias("domain"), F.col("assigned_split").alias("split"), class_key(F.col(label)).alias("cls")).agg(F.count("*").alias("n")),
+        "split-counts",
+    )
+    per = counts.groupBy("domain", "split").agg(F.sum("n").alias("rows"))
+    whole = per.groupBy(F.col("domain").alias("_d")).agg(F.sum("rows").alias("_n"))
+    in_split = counts.groupBy("split").agg(F.sum("n").alias("_s"))
+    by_class = counts.groupBy(F.col("cls").alias("_c")).agg(F.sum("n").alias("_k")).join(F.broadcast(counts.agg(F.sum("n").alias("_all"))))  # one row
+    cells = counts.groupBy("split", "cls").agg(F.sum("n").alias("n")).join(in_split, "split").join(by_class, F.col("cls").eqNullSafe(F.col("_c")))
+    gaps = cells.groupBy("split").agg(F.round(F.max(F.abs(F.col("n") / F.col("_s") - F.col("_k") / F.col("_all"))), 4).alias("class_gap"))
+    wanted = targets.select(source_key(F.col("domain")).alias("_t"), split_key(F.col("split")).alias("_u"), F.col("share").alias("target"))
+    out = per.join(whole, per["domain"].eqNullSafe(whole["_d"])).join(gaps, "split")
+    out = out.join(wanted, (F.col("domain") == F.col("_t")) & (F.col("split") == F.col("_u")), "left")
+    return out.select("domain", "split", "rows", F.round(F.col("rows") / F.col("_n"), 4).alias("share"), "target", "class_gap")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import language
 from gleanery.llm.batches import BatchDedup
 from gleanery.llm.leakage import leak_report, leaks
-from gleanery.llm.linked_split import NOBODY, LinkedSplit
+from gleanery.llm.linked_split import NOBODY, LinkedSplit, split_report
 from gleanery.llm.mixing import Mix
 from gleanery.llm.overlap import Overlap
 from gleanery.llm.stable_sample import sample_report, stable_sample
@@ -47,14 +47,9 @@ def p2_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and share of each split per domain, as assigned."""
-    from gleanery.functions.names import source_key
-
+    """Rows and share of each split per domain beside its target, and by how much any class's share in the split is off."""
     rows = load(spark, d, "split").select("row_id", "source", "uploader", "domain", "dominant_class")
-    out = LinkedSplit(rows).assign(load(spark, d, "split_targets"))
-    per = out.groupBy(source_key(F.col("domain")).alias("domain"), F.col("assigned_split").alias("split")).agg(F.count("*").alias("rows"))
-    total = per.groupBy(F.col("domain").alias("_d")).agg(F.sum("rows").alias("_n"))
-    return per.join(total, per["domain"].eqNullSafe(total["_d"])).select("domain", "split", "rows", F.round(F.col("rows") / F.col("_n"), 4).alias("share"))
+    return split_report(LinkedSplit(rows).assign(load(spark, d, "split_targets")), load(spark, d, "split_targets"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -67,9 +67,25 @@ def test_nulls_empty_long_and_extra_columns(spark):
     assert G.fit(spark.createDataFrame([(1, "No label here at all.", None)], D)) is None
 
 
-@pytest.mark.parametrize("label,code", [("en", "en"), ("EN-us", "en"), ("en_GB", "en"), ("ger", "de"), ("English", "en"), (" por ", "pt"), ("und", None), ("xx", None), ("-", None), ("", None), (None, None), ("unknown", None)])
+@pytest.mark.parametrize("label,code", [("en", "en"), ("EN-us", "en"), ("en_GB", "en"), ("ger", "de"), ("English", "en"), (" por ", "pt"), ("und", None), ("xx", None), ("-", None), ("", None), (None, None), ("unknown", None), ("Swahili", "sw"), ("isl", "is"), ("n/a", None)])
 def test_label_codes(spark, label, code):
-    assert spark.createDataFrame([(label,)], "l string").select(G.label_code(G.F.col("l"))).first()[0] == code
+    assert G.with_label_code(spark.createDataFrame([(label,)], "l string"), G.F.col("l")).first()[0] == code
+
+
+def test_any_language_can_be_learned(spark):
+    """A language beyond the usual ones, and words that differ only far from their start."""
+    long = {"sw": "Kifaa " + "ki" * 30 + "choma kinashikiliwa na mlango wakati mashine imefungwa.", "is": "Lok " + "ki" * 30 + "thera er haldið af festingu þegar tækið er lokað."}
+    docs = [(i, " ".join([long[l]] * 3 + [f"{long[l][:-1]} {i}."]), l) for i in range(60) for l in [list(long)[i % 2]]]
+    docs += [(100, long["is"], "swahili"), (101, long["sw"], None)]
+    df = spark.createDataFrame(docs, D)
+    assert {tuple(r) for r in G.wrong_labels(G.segments(df, G.fit(df))).collect()} == {(100, -1, "is"), (101, -1, "sw")}
+
+
+def test_grams_reach_the_end_of_long_words():
+    w = ["a" * 40 + "xyz", "a" * 40 + "xyw", "b" * 100_000, "c"]
+    at, h = G.Features.grams(w)
+    assert set(h[at == 0]) != set(h[at == 1]) and (at == 2).sum() == sum(100_002 - n + 1 for n in G.GRAMS)
+    assert sorted(h[at == 3]) == sorted(G.Features.grams(["c"])[1])
 
 
 def test_sentences():

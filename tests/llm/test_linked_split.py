@@ -1,6 +1,6 @@
 import random
 
-from gleanery.llm.linked_split import LinkedSplit
+from gleanery.llm.linked_split import LinkedSplit, split_report
 
 ROWS = "row_id long, source string, uploader string, domain string, dominant_class string"
 TARGETS = "domain string, split string, share double"
@@ -22,7 +22,7 @@ def test_assignment_keeps_groups_and_shares(spark):
     rows, n = [], 0
     for g in range(400):
         dom = rng.choice(["studio", "Studio ", "coastal", None])
-        for _ in range(rng.randint(1, 30) if g else 3000):
+        for _ in range(rng.randint(1, 30) if g else 900):
             n += 1
             rows.append((n, f"src{g}", f"up{g // 2}" if g > 20 else rng.choice(["n/a", None]), dom, rng.choice(["A", "b", None])))
     df = spark.createDataFrame(rows, ROWS)
@@ -34,14 +34,22 @@ def test_assignment_keeps_groups_and_shares(spark):
             if k[1]:
                 by.setdefault(k, set()).add(r.assigned_split)
     assert all(len(v) == 1 for v in by.values())
-    rest = [r for r in out if r.source != "src0"]
-    share = {s: sum(r.assigned_split == s for r in out) / len(out) for s in ("train", "valid", "test")}
-    assert abs(share["train"] - 0.62) < 0.08 and abs(share["test"] - 0.14) < 0.08, share
-    assert len(rest) > 1000
+    rep = split_report(LinkedSplit(df).assign(spark.createDataFrame(SHARES, TARGETS)), spark.createDataFrame(SHARES, TARGETS)).collect()
+    assert all(abs(r.share - r.target) < 0.02 for r in rep if r.domain) and max(r.class_gap for r in rep) < 0.03, rep
+    assert sum(r.rows for r in rep) == len(rows)
     again = LinkedSplit(df.repartition(9)).assign(spark.createDataFrame(SHARES, TARGETS)).collect()
     assert {r.row_id: r.assigned_split for r in out} == {r.row_id: r.assigned_split for r in again}
 
 
+def test_rows_without_source_and_uploader_follow_their_domain(spark):
+    rows = [(i, None, [None, "n/a"][i % 2], ["studio", "coastal"][i % 3 % 2], "ab"[i % 2]) for i in range(6000)]
+    t = spark.createDataFrame(SHARES, TARGETS)
+    out = LinkedSplit(spark.createDataFrame(rows, ROWS)).assign(t)
+    rep = split_report(out, t).collect()
+    assert out.where("assigned_split is null or group_label is not null").count() == 0
+    assert len(rep) == 6 and all(abs(r.share - r.target) < 0.01 and r.class_gap < 0.02 for r in rep)
+
+
 def test_empty_nulls_and_extra_columns(spark):
     t = spark.createDataFrame(SHARES, TARGETS)
     assert LinkedSplit(spark.createDataFrame([], ROWS)).assign(t).count() == 0
