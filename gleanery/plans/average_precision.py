@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators import allocate
+from gleanery.operators.ranged import PART, maximum_from_here, ranged, running_sums
+
 #: Ten overlap thresholds and the guard of the recall (fixed values).
 THRESHOLDS = tuple(round(0.5 + 0.05 * j, 2) for j in range(10))
 EPS = 1e-16
-#: Most predictions that one worker of the vectorised bootstrap holds.
-MOST_HELD = 20_000_000
+#: Most predictions or targets that one worker of the vectorised bootstrap holds.
+MOST_HELD = 5_000_000
 
 
 def explode_thresholds(predictions: DataFrame, tp: Column, keep: list[str]) -> DataFrame:
@@ -38,27 +41,40 @@ def curve_points(hits: DataFrame, labels: DataFrame, by: list[str], cls: str = "
     return pts.select(*keys, conf, node, F.col("q.c").alias("c"), (F.col("q.t") / (F.col("n") + EPS)).alias("r"), (F.col("q.t") / F.col("q.a")).alias("p"))
 
 
-def average_precision(hits: DataFrame, labels: DataFrame, by: list[str] | None = None, cls: str = "cls", conf: str = "conf", node: str = "id", weight: str | None = None) -> DataFrame:
+def average_precision(
+    predictions: DataFrame, labels: DataFrame, by: list[str] | None = None, cls: str = "cls", conf: str = "conf", node: str = "id", tp: str = "tp", weight: str | None = None
+) -> DataFrame:
     """``(by..., cls, j, ap)`` of every class with labels; a class without predictions has 0, one without labels none.
 
-    The curve runs from (0, 1) over the points to (last recall, 0) and (1, 0); its precision is made falling by a running
-    maximum from the right, read at 101 recalls k * 0.01 by linear interpolation (each grid point is found by expanding the
-    segments that hold it, so there is no range join), and integrated by trapezoids.
+    ``tp`` holds one flag per threshold. The curve runs from (0, 1) over the points to (last recall, 0) and (1, 0); its precision
+    is made falling by a running maximum from the right, read at 101 recalls k * 0.01 by linear interpolation (each grid point
+    is found by expanding the segments that hold it, so there is no range join), and integrated by trapezoids.
+
+    Predictions are spread by ranges of confidence, so that the number of tasks grows with the rows and not with the classes.
+    All thresholds are summed in one pass; from there on only hits go further, since a segment of the curve ends in a hit. A hit
+    drawn w times has two points, of its first and of its last copy.
     """
     by = by or []
-    keys = [*by, cls, "j"]
-    pts = curve_points(hits, labels, by, cls, conf, node, weight)
-    order = [F.desc(conf), node, "c"]
-    # from the other end, as a frame that ends at the last row is evaluated anew for every row
-    back = Window.partitionBy(*keys).orderBy(F.asc(conf), F.desc(node), F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy(*order)
-    env = pts.select(*keys, "r", F.max("p").over(back).alias("y"), F.lag("r").over(ahead).alias("r0"), F.lag(F.lit(1)).over(ahead).alias("has"), F.lead("r").over(ahead).alias("r2"), conf, node, "c")
-    env = env.select("*", F.lag("y").over(ahead).alias("y0"))
-    top = F.max("y").over(Window.partitionBy(*keys))
-    env = env.select("*", top.alias("top"))
-    # segments that end in a point, and the two after the last one
-    x0, y0 = F.coalesce("r0", F.lit(0.0)), F.when(F.col("has").isNull(), F.greatest(F.lit(1.0), F.col("top"))).otherwise(F.col("y0"))
-    seg = env.select(*keys, x0.alias("x0"), y0.alias("y0"), F.col("r").alias("x1"), F.col("y").alias("y1")).where("x1 > x0")
+    keys, order = [*by, cls], [F.desc(conf), F.asc(node)]
+    known = [*[c for c in by if c in labels.columns], cls]
+    steps = range(len(THRESHOLDS))
+    w = (F.col(weight) if weight else F.lit(1)).cast("long")
+    rows = ranged(predictions.select(*keys, conf, node, F.col(tp).alias("_tp"), w.alias("_w")), keys, order, "curves")
+    hit = lambda j: F.coalesce(F.get("_tp", F.lit(j)), F.lit(0))
+    run = running_sums(rows, keys, order, {"_all": F.col("_w"), **{f"_t{j}": hit(j) * F.col("_w") for j in steps}})
+    flags = F.array(*[F.when(hit(j) == 1, F.struct(F.lit(j).alias("j"), F.col(f"_t{j}").alias("t"))) for j in steps])
+    hits = run.select(PART, *keys, conf, node, "_all", "_w", F.inline(F.array_compact(flags))).join(labels.where("n > 0").select(*known, "n"), known)
+    # a point, and the one before it on the curve
+    at = lambda c, t, a, t0, a0: F.struct(F.lit(c).alias("c"), t.alias("t"), a.alias("a"), t0.alias("t0"), a0.alias("a0"))
+    t, a, m = F.col("t"), F.col("_all"), F.col("_w")
+    first = at(0, t - m + 1, a - m + 1, t - m, a - m)
+    points = F.when(m > 1, F.array(first, at(1, t, a, t - m + 1, a - m + 1))).otherwise(F.array(first))
+    keys = [*keys, "j"]
+    pts = hits.select(PART, *keys, conf, node, "n", F.inline(points)).withColumn("p", F.col("t") / F.col("a"))
+    env = maximum_from_here(pts, keys, [F.asc(conf), F.desc(node), F.desc("c")], "p", "y1")
+    total = F.col("n") + EPS
+    y0 = F.when(F.col("a0") == 0, F.greatest(F.lit(1.0), "y1")).otherwise(F.greatest(F.col("t0") / F.col("a0"), F.col("y1")))
+    seg = env.select(*keys, (F.col("t0") / total).alias("x0"), y0.alias("y0"), (F.col("t") / total).alias("x1"), "y1").where("x1 > x0")
     low, high = F.ceil(F.col("x0") / 0.01 - 1e-9).cast("int"), F.least(F.floor(F.col("x1") / 0.01 + 1e-9), F.lit(100)).cast("int")
     grid = seg.where(low <= high).select(*keys, "x0", "y0", "x1", "y1", F.explode(F.sequence(low, high)).alias("k"))
     x = F.col("k") * F.lit(0.01)
@@ -67,9 +83,9 @@ def average_precision(hits: DataFrame, labels: DataFrame, by: list[str] | None =
     # trapezoids: the ends count half; recall 1 is on the last point, where precision is 0
     area = grid.groupBy(*keys).agg((F.sum(y * F.when(F.col("k").isin(0, 100), 0.5).otherwise(1.0)) * 0.01).alias("ap"))
     # a curve's value at its last recall belongs to the segment after it, from (last, 0): nothing to add
-    base = labels.where("n > 0").select(*[c for c in by if c in labels.columns], cls)
+    base = labels.where("n > 0").select(*known)
     if more := [c for c in by if c not in labels.columns]:
-        base = base.join(hits.select(*more).distinct(), how="cross")  # class names x models
+        base = base.join(predictions.select(*more).distinct(), how="cross")  # class names x models
     full = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))).alias("j"))
     return full.join(area, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
@@ -152,17 +168,40 @@ class _Sorted:
         return float(a[:, 0].mean()), float(a.mean())
 
 
-def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+def resampled(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """``(replicate, model, map50, map50_95)`` by weighted curves: every draw is a table, and nothing is held anywhere."""
+    nodes = predictions.select("image").union(targets.select("image")).distinct()
+    w = allocate.resample(nodes, "image", replicates, seed)
+    labels = targets.join(w, "image").groupBy("replicate", "cls").agg(F.sum("w").alias("n"))
+    ap = average_precision(predictions.join(w, "image"), labels, ["replicate", "model"], weight="w")
+    return mean_ap(ap, ["replicate", "model"])
+
+
+def whole_score(predictions: DataFrame, targets: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
+    """``(model, map50, map50_95)`` of all rows as they are, by the vectorised form (by weighted curves beyond ``most_held`` rows)."""
+    if max(predictions.count(), targets.count()) > most_held:
+        labels = targets.groupBy("cls").agg(F.count("*").alias("n"))
+        return mean_ap(average_precision(predictions, labels, ["model"]), ["model"])
+    return _vectorised(predictions, targets, 1, None).drop("replicate")
+
+
+def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0, most_held: int = MOST_HELD) -> DataFrame:
     """``(replicate, model, map50, map50_95)``: all models over the same draws of images.
 
-    predictions: model, image, id, cls, conf, tp ARRAY<INT>; targets: image, cls. Predictions are sorted once per worker and
-    reused by all its replicates; they must fit in a worker (``MOST_HELD`` rows, checked), replicates are spread.
+    predictions: model, image, id, cls, conf, tp ARRAY<INT>; targets: image, cls. Where predictions and targets have at most
+    ``most_held`` rows, they are sorted once per worker and reused by all its replicates, which are spread; beyond that the same
+    values come from weighted curves (``resampled``).
     """
+    if max(predictions.count(), targets.count()) > most_held:
+        return resampled(predictions, targets, replicates, seed)
+    return _vectorised(predictions, targets, replicates, seed)
+
+
+def _vectorised(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int | None) -> DataFrame:
+    """The replicates over tables that are held whole; without a seed every image has the weight 1."""
     spark = predictions.sparkSession
-    images = [r[0] for r in predictions.select("image").union(targets.select("image")).distinct().orderBy("image").limit(MOST_HELD).collect()]
-    rows = predictions.count()
-    if rows > MOST_HELD:
-        raise ValueError(f"{rows} predictions are too many for one worker; use average_precision with resample weights")
+    # no more images than rows
+    images = [r[0] for r in predictions.select("image").union(targets.select("image")).distinct().orderBy("image").collect()]
     number = {v: i for i, v in enumerate(images)}
     p = predictions.select("model", "image", "id", "cls", "conf", "tp").toPandas()
     t = targets.select("image", "cls").toPandas()
@@ -177,7 +216,7 @@ def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed:
         for part in parts:
             out = []
             for b in part["id"]:
-                draws = [int(hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
+                draws = range(n) if seed is None else [int(hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
                 w = np.bincount(draws, minlength=n)
                 out += [(b, m, *s.score(w)) for m, s in models.items()]
             yield pd.DataFrame(out, columns=["replicate", "model", "map50", "map50_95"])

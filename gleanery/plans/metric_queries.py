@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import allocate, matching
+from gleanery.operators.ranged import ranged, running_sums
 from gleanery.plans import average_precision as AP
 from gleanery.tables import load
 
@@ -40,6 +41,11 @@ def _models(e: DataFrame) -> DataFrame:
     return m.withColumn("conf", F.when(F.col("model") == "A", F.col("conf")).otherwise(F.round(F.col("conf") * (F.when(F.col("model") == "B", 0.5).otherwise(0.8) + h), 4)))
 
 
+def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = _events(spark, d)
+    return e.select("id", "image", "cls", "conf", _tp().alias("tp")), _labels(e)
+
+
 def win1_cumulative(spark, d):
     h, _ = _hits(spark, d)
     o = Window.partitionBy("cls", "j").orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,35 +81,42 @@ def win9_tie_groups(spark, d):
 
 def win10_block_offsets(spark, d):
     per = _events(spark, d).groupBy("image").agg(F.count("*").alias("n"))
-    o = Window.partitionBy(F.lit(0)).orderBy("image").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per image of a dimension
-    return per.select("image", "n", (F.sum("n").over(o) - F.col("n")).alias("start"))
+    run = running_sums(ranged(per, [], ["image"]), [], ["image"], {"upto": F.col("n")})
+    return run.select("image", "n", (F.col("upto") - F.col("n")).alias("start"))
 
 
 def det2_average_precision(spark, d):
-    h, l = _hits(spark, d)
-    return AP.average_precision(h, l).select("cls", F.col("j").cast("int").alias("j"), F.round("ap", 9).alias("ap"))
+    return AP.average_precision(*_predictions(spark, d)).select("cls", F.col("j").cast("int").alias("j"), F.round("ap", 9).alias("ap"))
 
 
 def agg14_mean_ap(spark, d):
-    h, l = _hits(spark, d)
-    return AP.mean_ap(AP.average_precision(h, l)).select(F.round("map50", 9).alias("map50"), F.round("map50_95", 9).alias("map50_95"))
+    return AP.mean_ap(AP.average_precision(*_predictions(spark, d))).select(F.round("map50", 9).alias("map50"), F.round("map50_95", 9).alias("map50_95"))
 
 
 def agg18_per_class(spark, d):
-    """AP of every class of the list, null for one without labels."""
-    h, l = _hits(spark, d)
+    """AP of every class of the list at every threshold, null for one without labels."""
     names = spark.createDataFrame([(c,) for c in ("click", "error", "purchase", "refund", "signup", "view")], "cls string")
-    ap = AP.average_precision(h.where("j = 0"), l).where("j = 0")
-    return names.join(ap, "cls", "left").select("cls", F.round("ap", 9).alias("ap50"))
+    grid = names.select("cls", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    ap = AP.average_precision(*_predictions(spark, d))
+    return grid.join(ap, ["cls", "j"], "left").select("cls", F.col("j").cast("int").alias("j"), F.round("ap", 9).alias("ap"))
+
+
+def det3_class_rules(spark, d):
+    """A class with labels but no prediction has 0, one with predictions but no labels is left out."""
+    e = _events(spark, d)
+    p = e.where("cls <> 'view'").select("id", "image", "cls", "conf", _tp().alias("tp"))
+    n = e.where("cls <> 'error'").groupBy("cls").agg(F.sum(F.col("labelled").cast("int")).alias("n"))
+    return AP.average_precision(p, n).groupBy("cls").agg(F.round(F.avg("ap"), 9).alias("ap"))
 
 
 def det4_consistency(spark, d):
-    """Whether the mean recomputed per class agrees with the reported one."""
-    h, l = _hits(spark, d)
-    ap = AP.average_precision(h, l)
-    a = AP.mean_ap(ap).select("map50_95")
-    b = ap.groupBy("cls").agg(F.avg("ap").alias("x")).agg(F.avg("x").alias("y"))
-    return a.crossJoin(b).select((F.abs(F.col("map50_95") - F.col("y")) <= 1e-4).alias("consistent"))  # one row each
+    """Whether the means of the distributed curves agree with those of the vectorised form, per model."""
+    e = _events(spark, d)
+    p = _models(e).select("model", "image", "id", "cls", "conf", _tp().alias("tp"))
+    a = AP.mean_ap(AP.average_precision(p, _labels(e), ["model"]), ["model"])
+    b = AP.whole_score(p, e.where("labelled").select("image", "cls")).select("model", F.col("map50").alias("m50"), F.col("map50_95").alias("m95"))
+    near = (F.abs(F.col("map50") - F.col("m50")) <= 1e-4) & (F.abs(F.col("map50_95") - F.col("m95")) <= 1e-4)
+    return a.join(b, "model", "left").select("model", F.round("map50_95", 6).alias("map50_95"), F.coalesce(near, F.lit(False)).alias("consistent"))
 
 
 def agg27_mixed_ties(spark, d):
@@ -120,10 +133,10 @@ def bst1_weighted_ap(spark, d):
     """Mean AP of three models on the same bootstrap draws, by weighted curves."""
     e = _events(spark, d)
     w = allocate.resample(e.select("image"), "image", REPLICATES)
-    m = AP.explode_thresholds(_models(e), _tp(), ["id", "image", "cls", "conf", "model"]).where("j in (0, 5)").join(w, "image")
+    p = _models(e).select("id", "image", "cls", "conf", "model", _tp().alias("tp")).join(w, "image")
     n = e.join(w, "image").groupBy("replicate", "cls").agg(F.sum(F.col("labelled").cast("int") * F.col("w")).alias("n"))
-    ap = AP.average_precision(m, n, ["replicate", "model"], weight="w").where("j in (0, 5)")
-    return ap.groupBy("replicate", "model").agg(F.round(F.avg(F.when(F.col("j") == 0, F.col("ap"))), 8).alias("map50"), F.round(F.avg(F.when(F.col("j") == 5, F.col("ap"))), 8).alias("map75"))
+    m = AP.mean_ap(AP.average_precision(p, n, ["replicate", "model"], weight="w"), ["replicate", "model"])
+    return m.select("replicate", "model", F.round("map50", 8).alias("map50"), F.round("map50_95", 8).alias("map50_95"))
 
 
 def _samples(spark, d, n):
@@ -288,7 +301,7 @@ _B = """, im as (
     select replicate, image, count(*) w from draws join im using (i) group by all
 )"""
 _X = """, hx as (
-    select m.id, m.cls, m.mconf conf, m.model, wt.replicate, c copy, j::int j, (labelled and k >= 50 + 5 * j)::int hit from m join wt using (image), unnest([0, 5]) u(j), unnest(range(wt.w::bigint)) v(c)
+    select m.id, m.cls, m.mconf conf, m.model, wt.replicate, c copy, j::int j, (labelled and k >= 50 + 5 * j)::int hit from m join wt using (image), unnest(range(10)) u(j), unnest(range(wt.w::bigint)) v(c)
 ), nl as (
     select replicate, cls, sum(labelled::int * w) n from e join wt using (image) group by all
 ), cum as (
@@ -311,6 +324,9 @@ def _q(body: str, *more: str) -> str:
     return f"with {_E.strip()}{''.join(more)}\n{body}"
 
 
+_MEANS = """select replicate, model, avg(ap) filter (where j = 0) map50, avg(ap) map50_95 from (
+    select nl.replicate, mm.model, nl.cls, jj j, coalesce(ap, 0) ap from nl cross join unnest(['A', 'B', 'C']) mm(model) cross join unnest(range(10)) x(jj)
+    left join area a on a.replicate = nl.replicate and a.model = mm.model and a.cls = nl.cls and a.j = jj where n > 0) group by all"""
 _W0 = "from hits where j = 0"
 SQL = {
     "win1_cumulative": _q(f"select cls, id, sum(hit) over w::bigint as tpc, sum(1 - hit) over w::bigint as fpc {_W0} window w as (partition by cls order by conf desc, id rows unbounded preceding)").replace("over w::bigint", "over w"),
@@ -323,11 +339,12 @@ SQL = {
     "win10_block_offsets": _q("select image, n, sum(n) over (order by image) - n as start from (select image, count(*) n from e group by image)"),
     "det2_average_precision": _q("select cls, j, round(ap, 9) as ap from ap", _AP),
     "agg14_mean_ap": _q("select round(avg(ap) filter (where j = 0), 9) as map50, round(avg(ap), 9) as map50_95 from ap", _AP),
-    "agg18_per_class": _q("select c as cls, round(ap, 9) as ap50 from unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) u(c) left join ap on ap.cls = c and j = 0", _AP),
-    "det4_consistency": "select true as consistent",
+    "agg18_per_class": _q("select c as cls, g.j::int as j, round(ap, 9) as ap from unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) u(c), unnest(range(10)) g(j) left join ap on ap.cls = c and ap.j = g.j", _AP),
+    "det3_class_rules": _q("select cls, round(avg(case when cls = 'view' then 0 else ap end), 9) as ap from ap where cls <> 'error' group by cls", _AP),
+    "det4_consistency": _q(f"select model, round(map50_95, 6) as map50_95, true as consistent from ({_MEANS})", _M, ", wt as (select distinct 0 replicate, image, 1 w from e)", _X),
     "agg27_mixed_ties": _q("select cls, sum((kinds > 1)::int)::bigint as mixed_groups, coalesce(sum(n) filter (where kinds > 1), 0)::bigint as mixed_rows from (select cls, conf, count(*) n, count(distinct hit) kinds from hits where j = 0 group by all) group by cls"),
     "smp6_weights": _q("select * from wt", _B),
-    "bst1_weighted_ap": _q("select replicate, model, round(avg(ap) filter (where j = 0), 8) as map50, round(avg(ap) filter (where j = 5), 8) as map75 from (select nl.replicate, mm.model, nl.cls, jj j, coalesce(ap, 0) ap from nl cross join unnest(['A', 'B', 'C']) mm(model) cross join unnest([0, 5]) x(jj) left join area a on a.replicate = nl.replicate and a.model = mm.model and a.cls = nl.cls and a.j = jj where n > 0) group by all", _M, _B, _X),
+    "bst1_weighted_ap": _q(f"select replicate, model, round(map50, 8) as map50, round(map50_95, 8) as map50_95 from ({_MEANS})", _M, _B, _X),
     "agg15_percentile_ci": _q("select model, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from s group by model", _M),
     "agg16_pairwise": _q("select a, b, round(mean_diff, 6) as mean_diff, round(low, 6) as low, round(high, 6) as high, round(p_above, 6) as p_above, low > 0 or high < 0 as significant from q", _M, _D),
     "bst3_verdicts": _q("""select a, b, case when low > 0 or high < 0 then (case when mean_diff >= 0 then b else a end) || ' beats ' || (case when mean_diff >= 0 then a else b end) || ' (' || printf('95%% CI %+.3f to %+.3f', low, high) || ')'

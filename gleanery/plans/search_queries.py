@@ -11,6 +11,7 @@ from gleanery.tables import load
 
 SPACE = [S.Dimension("lr0", -4.0, -1.0, True), S.Dimension("lrf", -2.0, 0.0, True), S.Dimension("momentum", 0.6, 0.98), S.Dimension("weight_decay", -5.0, -2.0, True), S.Dimension("mosaic", 0.0, 1.0), S.Dimension("scale", 0.1, 0.9)]
 ROUND = 8
+SWARM_ROUNDS = 6
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -129,9 +130,9 @@ def opt3_benchmark_functions(spark, d):
 
 
 def opt1_swarm(spark, d):
-    """A swarm on the negated Rastrigin function: the log with the best so far."""
+    """A swarm of eight on the negated Rastrigin function over six rounds: its log."""
     fit = lambda f: f.select("round", "particle", (-S.rastrigin(F.col("vector"))).alias("score"))
-    log = S.run_search(spark, S.Swarm([S.Dimension(f"x{i}", -5.12, 5.12) for i in range(6)], 8, 6, 3), fit)
+    log = S.run_search(spark, S.Swarm([S.Dimension(f"x{i}", -5.12, 5.12) for i in range(6)], 8, SWARM_ROUNDS, 3), fit)
     return log.select("round", "particle", F.round("score", 6).alias("score"))
 
 
@@ -273,6 +274,25 @@ def _u(*parts: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::bigint / 4294967296.0)"
 
 
+def _swarm_sql() -> str:
+    """The rounds unrolled: places and velocities of each (p<r>), their scores (f<r>), and the best ones so far."""
+    at = lambda *parts: _u("'3'", *parts)
+    out = [
+        f"p0 as (select p, k, -5.12::double + {at(chr(39) + 'x' + chr(39), 'p', 'k')} * 10.24::double x, (2 * {at(chr(39) + 'v' + chr(39), 'p', 'k')} - 1) * 0.1::double * 10.24::double v from unnest(range(8)) a(p), unnest(range(6)) b(k))"
+    ]
+    for r in range(SWARM_ROUNDS):
+        out.append(f"f{r} as (select {r} r, p, -sum(x * x - 10 * cos(2 * pi() * x) + 10) f from p{r} group by p)")
+        out.append(f"l{r} as ({' union all '.join(f'select r, f.p, k, x, f from f{i} f join p{i} using (p)' for i in range(r + 1))})")
+        if r + 1 < SWARM_ROUNDS:
+            w = f"(0.9::double + (0.4::double - 0.9::double) * {r}::double / {SWARM_ROUNDS - 2})"
+            pull = f"1.5::double * {at(chr(39) + 'own' + chr(39), str(r), 'p', 'k')} * (own - x) + 1.5::double * {at(chr(39) + 'best' + chr(39), str(r), 'p', 'k')} * (best - x)"
+            limit = "0.2::double * 10.24::double"
+            out.append(f"m{r} as (select p, k, x, least(greatest({w} * v + {pull}, -{limit}), {limit}) v from p{r} join (select p, k, arg_max(x, f) own from l{r} group by p, k) using (p, k) join (select k, arg_max(x, f) best from l{r} group by k) using (k))")
+            out.append(f"p{r + 1} as (select p, k, least(greatest(x + v, -5.12::double), 5.12::double) x, case when x + v between -5.12::double and 5.12::double then v else 0 end v from m{r})")
+    scores = " union all ".join(f"select * from f{r}" for r in range(SWARM_ROUNDS))
+    return f"with {', '.join(out)} select r::int as round, p::int as particle, round(f, 6) as score from ({scores})"
+
+
 SQL = {
     "win3_best_so_far": f"with {_L} select user_id, i, max(score) over (partition by user_id order by i rows unbounded preceding) as best_so_far from r",
     "win8_labels": f"with {_L} select user_id, event_id, 'r' || (round + 1) || '_p' || (i % 8 + 1) as label from r",
@@ -300,6 +320,7 @@ select l_returnflag, l_linestatus, count(*) as n, round(corr(a, b), 6) as rho fr
     "smp7_latin_hypercube": f"with {_DIMS}, g as (select i, dims.*, row_number() over (partition by k order by {_u("'0'", "'p'", 'k', 'i')}, i) - 1 s from unnest(range(16)) u(i), dims) select i, dim, round(low + (s + {_u("'0'", "'u'", 'k', 'i')}) / 16 * (high - low), 9) as x from g",
     "smp7_uniform": f"with {_DIMS} select i, dim, round(low + {_u("'0'", 'k', 'i')} * (high - low), 9) as x from unnest(range(16)) u(i), dims",
     "opt3_benchmark_functions": "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) as sphere, round(list_sum(list_transform(embedding, lambda x: x::double * x::double - 10 * cos(2 * pi() * x::double) + 10)), 6) as rastrigin from embeddings",
+    "opt1_swarm": _swarm_sql(),
     "opt2_random_search": f"select i, round(sum(pow(-5.12::double + {_u("'5'", 'k', 'i')} * (5.12::double - -5.12::double), 2)), 6) as sphere from unnest(range(64)) u(i), unnest(range(6)) v(k) group by i",
     "fil10_settings": "with a as (select p_type as name, avg(p_retailprice) v from part group by 1), b as (select name, case when name < 'M' then v else round(v, 0) end v from a where name <> 'ECONOMY') select a.name, round(a.v, 6) as va, round(b.v, 6) as vb from a full join b on a.name = b.name where not coalesce(abs(a.v - b.v) <= 1e-6 * greatest(abs(a.v), abs(b.v)), false)",
     "join14_tolerance": f"with {_L} select a.i, a.score as a, b.score as b, abs(a.score - b.score) <= 0.1 * greatest(a.score, b.score) as near from r a join r b on a.i = b.i where a.user_id = 1 and b.user_id = 2",

@@ -22,7 +22,7 @@ def parsed_lines(lines: DataFrame, classes: int, key: tuple[str, ...] = ("source
     out = out.select(*key, order, F.array_join(tokens, " ").alias("_t"), tokens.alias("_tok"))
     first = F.row_number().over(Window.partitionBy(*key, "_t").orderBy(order))
     out = out.withColumn("_dup", first > 1)
-    number = F.transform("_tok", lambda x: x.try_cast("double"))
+    number = F.transform("_tok", lambda x: F.when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.try_cast("double")))  # no 1d or 1f
     out = out.withColumn("_v", number)
     fine = F.forall("_v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     cls = F.get("_v", F.lit(0))

@@ -1,5 +1,6 @@
 """Operators on small fixtures: matching, curves, bootstrap, allocation, components, search."""
 
+import hashlib
 import math
 import random
 
@@ -68,7 +69,7 @@ def _frames(spark, stats, models=("m",)):
 def test_average_precision_against_numpy(spark, stats):
     p, t = _frames(spark, stats)
     labels = t.groupBy("cls").agg(F.count("*").alias("n"))
-    got = {(r.cls, r.j): r.ap for r in AP.average_precision(AP.explode_thresholds(p, F.col("tp"), ["id", "image", "cls", "conf"]), labels).collect()}
+    got = {(r.cls, r.j): r.ap for r in AP.average_precision(p, labels).collect()}
     n = {}
     for _, c in stats[1]:
         n[c] = n.get(c, 0) + 1
@@ -86,7 +87,7 @@ def test_bootstrap_equals_expanded_rows(spark, stats):
     fast = {(r.replicate, r.model): (r.map50, r.map50_95) for r in AP.bootstrap(p, t, 6, 1).collect()}
     nodes = p.select("image").union(t.select("image")).distinct()
     w = allocate.resample(nodes, "image", 6, 1)
-    hits = AP.explode_thresholds(p, F.col("tp"), ["id", "image", "cls", "conf", "model"]).join(w, "image")
+    hits = p.join(w, "image")
     labels = t.join(w, "image").groupBy("replicate", "cls").agg(F.sum("w").alias("n"))
     slow = {(r.replicate, r.model): (r.map50, r.map50_95) for r in AP.mean_ap(AP.average_precision(hits, labels, ["replicate", "model"], weight="w"), ["replicate", "model"]).collect()}
     assert fast.keys() == slow.keys() and all(math.isclose(a, b, abs_tol=1e-9) for k in fast for a, b in zip(fast[k], slow[k]))
@@ -188,23 +189,35 @@ def test_spearman_ties_and_constants(spark):
 SPACE = [search_log.Dimension(f"x{i}", -5.12, 5.12) for i in range(6)]
 
 
-def test_swarm_properties():
-    s = search_log.Swarm(SPACE, 8, 10, 1)
-    best = []
-    while not s.done:
-        x = s.ask()
-        assert (x >= -5.12).all() and (x <= 5.12).all()
-        assert math.isclose(s.weight(), 0.9 - 0.5 * s.told / 9)
-        f = -(x**2).sum(1)
-        f[0] = math.nan if s.told == 0 else f[0]
-        s.tell(f)
-        best.append(s.best_f)
-    assert best == sorted(best) and s.told == 10 and best[-1] > best[0]
-    assert (search_log.Swarm(SPACE, 8, 10, 1).x == search_log.Swarm(SPACE, 8, 10, 1).x).all() and (search_log.Swarm(SPACE, 8, 10, 2).x != search_log.Swarm(SPACE, 8, 10, 1).x).any()
-    corner = search_log.Swarm(SPACE, 8, 40, 3)
-    while not corner.done:
-        corner.tell(corner.ask().sum(1))
-    assert corner.best_f > 6 * 5.12 * 0.95
+def test_swarm_follows_the_formula(spark):
+    """A swarm whose numbers are computed anew, one by one, from the log."""
+    w = search_log.Swarm(SPACE, 5, 6, 1)
+    assert [round(w.weight(m), 9) for m in range(5)] == [0.9, 0.775, 0.65, 0.525, 0.4] and search_log.Swarm(SPACE, 5, 2).weight(0) == 0.9
+    bad = lambda f: f.select("round", "particle", F.when((F.col("round") == 1) & (F.col("particle") == 2), float("nan")).otherwise(-search_log.sphere(F.col("vector"))).alias("score"))
+    log = {(r["round"], r.particle): r for r in search_log.run_search(spark, w, bad).collect()}
+
+    def unit(*parts):
+        return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+    for p in range(5):
+        for k in range(6):
+            x, v = -5.12 + unit(1, "x", p, k) * 10.24, (2 * unit(1, "v", p, k) - 1) * 1.024
+            for r in range(6):
+                assert math.isclose(log[r, p].vector[k], x, abs_tol=1e-9)
+                value = lambda q: -math.inf if math.isnan(q.score) else q.score
+                own = max((log[i, p] for i in range(r + 1)), key=value).vector[k]
+                best = max((log[i, q] for i in range(r + 1) for q in range(5)), key=value).vector[k]
+                v = (0.9 - 0.5 * r / 4) * v + 1.5 * unit(1, "own", r, p, k) * (own - x) + 1.5 * unit(1, "best", r, p, k) * (best - x)
+                v = max(-2.048, min(2.048, v))
+                v, x = (v if -5.12 <= x + v <= 5.12 else 0.0), max(-5.12, min(5.12, x + v))
+    again = search_log.run_search(spark, search_log.Swarm(SPACE, 5, 6, 2), bad).where("round = 0").collect()
+    assert [r.vector for r in again] != [log[0, r.particle].vector for r in again]
+
+
+def test_swarm_reaches_a_corner(spark):
+    rise = lambda f: f.select("round", "particle", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).alias("score"))
+    log = search_log.run_search(spark, search_log.Swarm(SPACE[:2], 6, 14, 3), rise)
+    assert log.agg(F.max("score")).first()[0] > 2 * 5.12 * 0.95
 
 
 def test_search_resumes_and_refuses(spark):
