@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.components import connected_components
@@ -23,22 +23,38 @@ def difference_bits(pixels: Column, width: int) -> Column:
     return F.array_join(F.transform(F.filter(F.transform(pixels, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["i"] % (width + 1) != width), lambda s: F.when(F.get(pixels, s["i"] + 1) > s["p"], "1").otherwise("0")), "")
 
 
-def bit_pairs(df: DataFrame, key: str, words: list[str], most: int, bands: int | None = None) -> DataFrame:
-    """``(a, b, bits)`` with a < b of all rows whose words differ in at most ``most`` bits.
+def word_pieces(words: list[str], pieces: int) -> Column:
+    """``pieces`` whole numbers, the pieces that 64-bit words are cut in, each marked with its place (all bits stand in one of them)."""
+    out = []
+    for k, w in enumerate(words):
+        own = pieces * (k + 1) // len(words) - pieces * k // len(words)
+        cuts = [64 * i // own for i in range(own + 1)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            mask = (1 << (high - low)) - 1
+            # a whole word is a piece of its own only where there are no more pieces than words
+            part = F.col(w) if high - low == 64 else F.shiftrightunsigned(w, low).bitwiseAND(F.lit(mask))
+            out.append(F.struct(F.lit(len(out)).alias("at"), part.alias("value")))
+    return F.array(*out)
 
-    The words are cut in ``most + 1`` bands, one of which any such pair shares, so that an equi-join finds all candidates.
+
+def bit_classes(df: DataFrame, key: str, words: list[str]) -> DataFrame:
+    """``(words..., rep)``: distinct words, named by their smallest key; keys with other words stand in several classes."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(w).isNotNull() for w in words])).groupBy(*words).agg(F.min(key).alias("rep"))
+
+
+def bit_pairs(df: DataFrame, key: str, words: list[str], most: int) -> DataFrame:
+    """``(a, b, bits)``: all pairs of classes of equal words (by their smallest keys, a <= b) that differ in 1 to ``most`` bits.
+
+    Copies cost nothing: ``bit_classes`` says which keys stand for which. The words are cut in ``most + 1`` pieces, one of which any
+    such pair shares, so that an equi-join of whole numbers finds all candidates; its exchange is left to the adaptive skew join.
     """
-    total = 64 * len(words)
-    bands = bands or most + 1
-    cuts = [total * i // bands for i in range(bands + 1)]
-    text = F.concat(*[F.lpad(F.bin(F.col(w)), 64, "0") for w in words])
-    out = df.where(reduce(lambda a, b: a & b, [F.col(w).isNotNull() for w in words])).select(F.col(key).alias("k"), *words, text.alias("_t"))
-    parts = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("_t", cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(bands)])
-    banded = out.select("k", *words, F.explode(parts).alias("band"))
-    a = banded.select(F.col("k").alias("a"), "band", *[F.col(w).alias("a" + w) for w in words])
-    b = banded.select(F.col("k").alias("b"), "band", *[F.col(w).alias("b" + w) for w in words])
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in words])
-    return a.join(b, "band").where("a < b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= most).distinct()
+    one = bit_classes(df, key, words).select("rep", *words, F.explode(word_pieces(words, most + 1)).alias("p"))
+    one = one.select("rep", *words, F.col("p.at").alias("at"), F.col("p.value").alias("value"))
+    a, b = one.alias("a"), one.alias("b")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words])
+    first = F.struct("a.rep", *[f"a.{w}" for w in words]) < F.struct("b.rep", *[f"b.{w}" for w in words])
+    near = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.value") == F.col("b.value")) & first & (bits <= most))
+    return near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), bits.alias("bits"), F.struct(*[f"a.{w}" for w in words], *[f"b.{w}" for w in words]).alias("_of")).distinct().drop("_of")
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -88,13 +104,35 @@ def leaks(df: DataFrame, node: str, split: str, keys: list[Column]) -> DataFrame
     return out.distinct()
 
 
-def leak_matrix(df: DataFrame, split: str, keys: dict[str, Column]) -> DataFrame:
+def leak_matrix(df: DataFrame, node: str, split: str, keys: dict[str, Column]) -> DataFrame:
     """Per key and pair of splits the rows of the first that share the key with the second."""
     out = None
     for name, key in keys.items():
-        k = df.where(key.isNotNull()).groupBy(key.cast("string").alias("k"), F.col(split).alias("s")).agg(F.count("*").alias("n"))
-        a, b = k.select("k", F.col("s").alias("split_a"), F.col("n").alias("na")), k.select("k", F.col("s").alias("split_b"))
-        one = a.join(b, "k").where("split_a <> split_b").groupBy("split_a", "split_b").agg(F.sum("na").alias("rows"))
+        rows = df.where(key.isNotNull()).select(key.cast("string").alias("k"), F.col(split).alias("s"), F.col(node).alias("n")).distinct()
+        held = rows.groupBy("k").agg(F.collect_set("s").alias("splits"))  # a few splits a key
+        one = rows.join(held, "k").select("n", F.col("s").alias("split_a"), F.explode("splits").alias("split_b")).where("split_a <> split_b")
+        one = one.distinct().groupBy("split_a", "split_b").agg(F.count("*").alias("rows"))
         one = one.select(F.lit(name).alias("key_name"), "split_a", "split_b", "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def eval_leak_share(df: DataFrame, node: str, split: str, keys: list[Column], evaluation: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """``(rows, leaked, share)`` of the evaluation splits: rows that share a key with a row of any other split."""
+    out = None
+    for key in keys:
+        rows = df.where(key.isNotNull()).select(key.cast("string").alias("k"), F.col(split).alias("s"), F.col(node).alias("n"))
+        apart = rows.groupBy("k").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
+        hit = rows.where(F.col("s").isin(*evaluation)).join(apart, "k", "left_semi").select("n")
+        out = hit if out is None else out.unionByName(hit)
+    own = df.where(F.col(split).isin(*evaluation)).select(F.col(node).alias("n")).distinct()
+    marked = own.join(out.distinct().withColumn("hit", F.lit(1)), "n", "left")
+    return marked.agg(F.count("*").alias("rows"), F.count("hit").alias("leaked")).select("rows", "leaked", F.round(F.coalesce(F.try_divide("leaked", "rows"), F.lit(0.0)), 6).alias("share"))
+
+
+def first_members(groups: DataFrame, label: str, member: str, most_groups: int = 50, most_members: int = 12) -> DataFrame:
+    """``(label, n, members)``: the first groups of several, with their first members (a top-k report; no group is collected whole)."""
+    sizes = groups.groupBy(label).agg(F.countDistinct(member).alias("n")).where("n > 1").orderBy(label).limit(most_groups)
+    place = F.row_number().over(Window.partitionBy(label).orderBy(member))
+    few = groups.select(label, member).distinct().join(sizes, label).withColumn("_k", place).where(F.col("_k") <= most_members)
+    return few.groupBy(label, "n").agg(F.array_join(F.array_sort(F.collect_list(member)), "|").alias("members"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from gleanery.functions.names import class_key, file_key, source_key, split_key, stem_key
 from gleanery.operators import allocate, duplicates, pictures
 from gleanery.session import stage
-from gleanery.tables import broadcast_small, load
+from gleanery.tables import in_blocks, load
 
 SEED = 7
 TOTAL = 500
+CLASSES = ("bio", "cardboard", "glass", "metal", "paper", "plastic", "other")
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +21,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with the md5 and the export stem of their file (a file's smallest md5)."""
-    p = load(spark, d, "fingerprints").where("file is not null").groupBy(file_key(F.col("file")).alias("f")).agg(F.min("md5").alias("md5"))
+    """Rows with the md5 and the export stem of their file; a row comes once for each md5 that its file was seen with."""
+    p = load(spark, d, "fingerprints").where("file is not null and md5 is not null").select(file_key(F.col("file")).alias("f"), "md5").distinct()
     r = _rows(spark, d).join(p, "f", "left")
     return r.withColumn("stem", stem_key(F.col("f")))
 
@@ -36,11 +37,18 @@ def _full_groups(k: DataFrame) -> DataFrame:
 
 
 def dup2_near_pairs(spark, d):
-    """Pairs of fingerprints within 10 bits, by bands one of which every such pair shares."""
-    p = load(spark, d, "fingerprints").where("file is not null").groupBy(file_key(F.col("file")).alias("f")).agg(*[F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
+    """Pairs of fingerprints within 10 bits, between the smallest files of each fingerprint."""
+    p = load(spark, d, "fingerprints").where("file is not null").select(file_key(F.col("file")).alias("f"), "h0", "h1", "h2", "h3")
     return duplicates.bit_pairs(p, "f", ["h0", "h1", "h2", "h3"], 10)
 
 
+def dup2_members(spark, d):
+    """The smallest file of each fingerprint, for every file that has it."""
+    words = ["h0", "h1", "h2", "h3"]
+    p = load(spark, d, "fingerprints").where("file is not null").select(file_key(F.col("file")).alias("f"), *words).distinct()
+    return p.join(duplicates.bit_classes(p, "f", words), words).select("f", "rep")
+
+
 def dup2_near_pairs_full(spark, d):
     """Pairs of fingerprinted files by both rules, with the rule: within 10 bits, or within 40 with thumbnails that correlate by 0.9."""
     return pictures.near_files(load(spark, d, "fingerprints"))
@@ -50,8 +58,7 @@ def join8_vector_pairs(spark, d):
     """Every fiftieth vector against all others: signs that differ in at most 22 of 64 bits, and a correlation of at least 0.2."""
     e = load(spark, d, "embeddings").select("vec_id", "embedding", duplicates.sign_bits(F.col("embedding")).alias("w"))
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), F.col("w").alias("wa")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("w").alias("wb"))
-    asked = broadcast_small(a.where("a % 50 = 0"), 100_000, "queries")
-    p = b.join(asked, F.expr("a <> b and bit_count(wa ^ wb) <= 22"))
+    p = in_blocks(a.where("a % 50 = 0"), "a", lambda asked: b.join(asked, F.expr("a <> b and bit_count(wa ^ wb) <= 22")))
     return p.where(duplicates.pearson(F.col("ea"), F.col("eb")) >= 0.2).select("a", "b", F.expr("cast(bit_count(wa ^ wb) as int)").alias("bits"))
 
 
@@ -125,12 +132,31 @@ def spl3_leaks(spark, d):
 
 def agg9_leak_matrix(spark, d):
     k = _keyed(spark, d).where("split in ('train', 'valid', 'test')")
-    return duplicates.leak_matrix(k, "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem")})
+    return duplicates.leak_matrix(k, "row_id", "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem")})
 
 
 def agg9_leak_matrix_full(spark, d):
     k = _near_keyed(spark, d).where("split in ('train', 'valid', 'test')")
-    return duplicates.leak_matrix(k, "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem"), "near_dup": F.col("near_dup")})
+    return duplicates.leak_matrix(k, "row_id", "split", {"file": F.col("f"), "md5": F.col("md5"), "stem": F.col("stem"), "near_dup": F.col("near_dup")})
+
+
+def agg9_eval_leak_share(spark, d):
+    """Share of evaluation rows that share a file, md5 or export stem with another split."""
+    k = _keyed(spark, d).where("split in ('train', 'valid', 'test')")
+    return duplicates.eval_leak_share(k, "row_id", "split", [F.col("f"), F.col("md5"), F.col("stem")])
+
+
+def top4_examples(spark, d):
+    """The first fifty duplicate groups with their first twelve rows."""
+    g = dup4_groups(spark, d)
+    return duplicates.first_members(g.withColumn("node", F.lpad(F.col("node").cast("string"), 12, "0")), "label", "node")
+
+
+def agg8_rules(spark, d):
+    """Pairs of classes of fingerprints by rule: equal md5 (pairs of rows), within 10 bits, or by the thumbnails' correlation."""
+    near = pictures.near_classes(pictures.files_and_classes(load(spark, d, "fingerprints"))[1])
+    rules = near.groupBy(F.when(F.col("bits") <= pictures.NEAR, "dhash").otherwise("thumb_corr").alias("rule")).agg(F.count("*").alias("pairs"))
+    return rules.unionByName(agg7_shared_key_pairs(spark, d).select(F.lit("identical_md5").alias("rule"), "pairs"))
 
 
 def spl1_greedy_split(spark, d):
@@ -140,8 +166,8 @@ def spl1_greedy_split(spark, d):
 
 
 def spl2_pinned_split(spark, d):
-    """Rows of batch 1 pin their file's group to the split they were delivered in."""
-    r = _rows(spark, d).where("f is not null and cls is not null")
+    """Rows of batch 1 pin their file's group to the split they were delivered in; strata are source and class."""
+    r = _rows(spark, d).where("f is not null and cls is not null").withColumn("cls", F.concat_ws("/", "source", "cls"))
     r = r.withColumn("pin", F.when((F.col("batch_no") == 1) & F.col("split").isin("train", "valid", "test"), F.col("split")))
     return allocate.split_with_pins(r, "row_id", "f", "cls", "pin", SEED)
 
@@ -163,7 +189,7 @@ def spl1_greedy_split_full(spark, d):
 def spl2_pinned_split_full(spark, d):
     """Rows of batch 1 pin their whole duplicate group to the split they were delivered in."""
     r = _grouped(spark, d).withColumn("pin", F.when((F.col("batch_no") == 1) & F.col("split").isin("train", "valid", "test"), F.col("split")))
-    return allocate.split_with_pins(r.drop("split"), "row_id", "label", "cls", "pin", SEED)
+    return allocate.split_with_pins(r.drop("split").withColumn("cls", F.concat_ws("/", "source", "cls")), "row_id", "label", "cls", "pin", SEED)
 
 
 def win12_largest_remainder(spark, d):
@@ -172,7 +198,9 @@ def win12_largest_remainder(spark, d):
 
 
 def smp2_stratified(spark, d):
-    return allocate.stratified_sample(_rows(spark, d).where("cls is not null").select("row_id", "cls"), "row_id", "cls", TOTAL, SEED).select("row_id", "cls")
+    """500 rows of train and 100 of valid, every class keeping its share; test rows and rows of no split stay whole."""
+    r = _rows(spark, d).where("cls is not null").select("row_id", "split", "cls")
+    return allocate.subsample(r, "row_id", "split", "cls", {"train": TOTAL, "valid": TOTAL // 5}, SEED)
 
 
 def smp1_cap_per_source(spark, d):
@@ -180,10 +208,15 @@ def smp1_cap_per_source(spark, d):
 
 
 def smp3_fraction(spark, d):
-    """Four tenths of each class, rounded down."""
-    r = _rows(spark, d).where("cls is not null").select("row_id", "cls")
-    n = r.groupBy("cls").agg(F.floor(F.count("*") * 0.4).alias("q"))
-    return allocate.first_by_hash(r.join(F.broadcast(n), "cls"), ["cls"], "row_id", F.col("q"), SEED).select("row_id", "cls")
+    """Four tenths of the train list, every class with its largest-remainder quota, in the order of the list."""
+    r = _rows(spark, d).where("split = 'train' and cls is not null").select("row_id", "cls")
+    return allocate.fraction_sample(r, "row_id", "cls", 0.4, SEED)
+
+
+def smp5_one_per_class(spark, d):
+    """One file for each class, none for two."""
+    r = _rows(spark, d).where("f is not null and split = 'test'").select("f", "cls")
+    return allocate.one_per_class(r, "f", "cls", list(CLASSES), SEED)
 
 
 def smp4_choice(spark, d):
@@ -226,7 +259,7 @@ def src8_split_checks(spark, d):
 def src10_source_lookup(spark, d):
     """The source of each fingerprinted file: from the split table, else from its name, with where it came from."""
     p = load(spark, d, "fingerprints").where("file is not null").select(file_key(F.col("file")).alias("f")).distinct()
-    s = _rows(spark, d).where("f is not null and batch_no <= 6").groupBy("f").agg(F.min("source").alias("s"))
+    s = _rows(spark, d).where("f is not null").groupBy("f").agg(F.min("source").alias("s"))
     j = p.join(s, "f", "left")
     by_name = F.when(F.col("f").contains("__"), source_key(F.split_part("f", F.lit("__"), F.lit(1))))
     return j.select("f", F.coalesce("s", by_name, F.lit("unknown")).alias("source"), F.when(F.col("s").isNotNull(), "table").when(by_name.isNotNull(), "name").otherwise("none").alias("origin"))
@@ -356,9 +389,13 @@ r as (
     select row_id, lower(file) f, case when {_C.format('split')} in ('val', 'validation') then 'valid' else {_C.format('split')} end split, {_S.format('source')} source,
         {_S.format('domain')} as domain, {_C.format('dominant_class')} cls, batch_no, uploader from split
 ), fp as (
-    select lower(file) f, min(md5) md5, min(h0) h0, min(h1) h1, min(h2) h2, min(h3) h3 from fingerprints where file is not null group by 1
+    select distinct lower(file) f from fingerprints where file is not null
+), fm as (
+    select distinct lower(file) f, md5 from fingerprints where file is not null and md5 is not null
+), hc as (
+    select h0, h1, h2, h3, min(lower(file)) f from fingerprints where file is not null and h0 is not null and h1 is not null and h2 is not null and h3 is not null group by all
 ), k as (
-    select r.*, fp.md5, case when contains(r.f, '.rf.') then split_part(r.f, '.rf.', 1) end stem from r left join fp using (f)
+    select r.*, fm.md5, case when contains(r.f, '.rf.') then split_part(r.f, '.rf.', 1) end stem from r left join fm using (f)
 )"""
 _G = """, ek as (
     select row_id, 'f' || f k from k where f is not null union all select row_id, 'm' || md5 from k where md5 is not null union all select row_id, 's' || stem from k where stem is not null
@@ -378,6 +415,11 @@ def _q(body: str, *more: str, rec: bool = False) -> str:
     return f"with {'recursive ' if rec else ''}{_R.strip()}{''.join(more)}\n{body}"
 
 
+_KK = """, kk as (
+    select distinct kind, key, split, row_id from (select 'file' kind, f key, split, row_id from k union all select 'md5', md5, split, row_id from k union all select 'stem', stem, split, row_id from k) where key is not null and split in ('train', 'valid', 'test')
+), kb as (
+    select distinct kind, key, split from kk
+)"""
 _FOLD = """, g as (
     {groups}
 ), o as (
@@ -395,7 +437,9 @@ _FOLD = """, g as (
         from fold join o on o.cls = fold.cls and o.i = fold.i + 1)
 )"""
 SQL = {
-    "dup2_near_pairs": _q("select a.f as a, b.f as b, (bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int) as bits from fp a join fp b on a.f < b.f where bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int <= 10"),
+    "dup2_near_pairs": _q("""select least(a.f, b.f) as a, greatest(a.f, b.f) as b, (bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int) as bits
+from hc a join hc b on (a.h0, a.h1, a.h2, a.h3) < (b.h0, b.h1, b.h2, b.h3) where bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int <= 10"""),
+    "dup2_members": _q("select distinct lower(p.file) as f, hc.f as rep from fingerprints p join hc using (h0, h1, h2, h3) where p.file is not null"),
     "join8_vector_pairs": """
 with e as (
     select vec_id, list_transform(embedding, lambda x: x::double) v, list_sum(list_transform(embedding[1:64], lambda x, i: case when x > 0 then (case when i = 64 then -9223372036854775808::hugeint else (1::hugeint << (i - 1)) end) else 0::hugeint end))::bigint w from embeddings
@@ -413,35 +457,45 @@ with z as (select vec_id, list_transform(embedding, lambda x: x::double - list_a
 select a.vec_id, round(list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u, a.u) * list_dot_product(b.u, b.u)) + 1e-12), 6) as corr from z a join z b on b.vec_id = a.vec_id + 1
 """,
     "dup4_groups": _q("select node, label from grp", _G, rec=True),
-    "agg7_shared_key_pairs": _q("select coalesce(sum(n * (n - 1) // 2), 0)::bigint as pairs from (select md5, count(*) n from k where md5 is not null group by 1)"),
+    "agg7_shared_key_pairs": _q("select coalesce(sum(n * (n - 1) // 2), 0)::bigint as pairs from (select md5, count(distinct row_id) n from k where md5 is not null group by 1)"),
     "agg8_duplicate_summary": _q("select count(*) as groups, sum(n)::bigint as rows_in_groups, sum((s > 1)::int)::bigint as cross_source from (select label, count(distinct node) n, count(distinct source) s from grp join k on k.row_id = node group by label having count(distinct node) > 1)", _G, rec=True),
     "win11_group_numbers": _q("select node, label as group_id, n from (select *, count(*) over (partition by label) n from grp) where n > 1", _G, rec=True),
     "spl3_leaks": _q("""select distinct a.row_id from kk a join kk b on a.key = b.key and a.rk < b.rk""", """, kk as (
     select row_id, case split when 'train' then 1 when 'valid' then 2 when 'test' then 3 else 0 end rk, split, key from (
         select row_id, split, 'f' || f key from k where f is not null union all select row_id, split, 'm' || md5 from k where md5 is not null union all select row_id, split, 's' || stem from k where stem is not null) where split is not null
 )"""),
-    "agg9_leak_matrix": _q("""select a.kind as key_name, a.split as split_a, b.split as split_b, sum(a.n)::bigint as rows from kk a join kk b on a.kind = b.kind and a.key = b.key and a.split <> b.split group by all""", """, kk as (
-    select kind, key, split, count(*) n from (select 'file' kind, f key, split from k union all select 'md5', md5, split from k union all select 'stem', stem, split from k) where key is not null and split in ('train', 'valid', 'test') group by all
-)"""),
+    "agg9_leak_matrix": _q("""select a.kind as key_name, a.split as split_a, b.split as split_b, count(distinct a.row_id) as rows from kk a join kb b on a.kind = b.kind and a.key = b.key and a.split <> b.split group by all""", _KK),
+    "agg9_eval_leak_share": _q("""select count(*) as rows, count(*) filter (where leaked) as leaked, round(count(*) filter (where leaked) / count(*), 6) as share from (
+    select row_id, row_id in (select a.row_id from kk a join kb b on a.kind = b.kind and a.key = b.key and a.split <> b.split) leaked from (select distinct row_id from k where split in ('valid', 'test')))""", _KK),
+    "top4_examples": _q("""select label, n, array_to_string(list_sort(list(node)), '|') as members from (
+    select label, n, lpad(node::varchar, 12, '0') node, row_number() over (partition by label order by node) i from grp join (select label, count(distinct node) n from grp group by label having count(distinct node) > 1 order by label limit 50) using (label)
+) where i <= 12 group by all""", _G, rec=True),
     "spl1_greedy_split": _q("select cls, f, n, split from fold where i > 0", _FOLD.format(groups="select f, min(cls) cls, count(*) n from r where f is not null and cls is not null group by f", start="select null::varchar cls, null::varchar ps where false"), rec=True),
     "spl2_pinned_split": _q(
-        "select p.row_id, coalesce(ps, fold.split) as split, pin is not null and pin <> coalesce(ps, fold.split) as excluded from p left join fold on fold.f = p.f and ps is null",
+        "select p.row_id, coalesce(pin, ps, fold.split) as split, pin is not null and pin <> ps as excluded from p left join fold on fold.f = p.f and ps is null",
         """, pin0 as (
-    select *, case when batch_no = 1 and split in ('train', 'valid', 'test') then split end pin from r where f is not null and cls is not null
+    select * replace (source || '/' || cls as cls), case when batch_no = 1 and split in ('train', 'valid', 'test') then split end pin from r where f is not null and cls is not null
 ), pg as (
     select f, arg_max(pin, case pin when 'train' then 1 when 'valid' then 2 else 3 end) ps from pin0 where pin is not null group by f
 ), p as (
     select pin0.*, pg.ps from pin0 left join pg using (f)
 )""",
-        _FOLD.format(groups="select f, arg_min(cls, row_id) cls, count(*) n from p where ps is null group by f", start="select cls, ps from p where ps is not null"),
+        _FOLD.format(groups="select f, arg_min(cls, row_id) cls, count(*) n from p where ps is null group by f", start="select cls, coalesce(pin, ps) ps from p where ps is not null"),
         rec=True,
     ),
     "win12_largest_remainder": _q("select cls, n, quota from lq", f""", c as (select cls, count(*) n from r where cls is not null group by cls), x as (select *, n * {TOTAL}.0::double / sum(n) over () x from c),
 y as (select *, floor(x)::bigint fl, row_number() over (order by round(x - floor(x), 9) desc, cls) rk from x), lq as (select cls, n, fl + (rk <= {TOTAL} - sum(fl) over ())::int as quota from y)"""),
-    "smp2_stratified": _q(f"select row_id, cls from (select r.row_id, r.cls, quota, row_number() over (partition by r.cls order by {_H.format('row_id')}, row_id) i from r join lq on lq.cls = r.cls) where i <= quota", f""", c as (select cls, count(*) n from r where cls is not null group by cls), x as (select *, n * {TOTAL}.0::double / sum(n) over () x from c),
-y as (select *, floor(x)::bigint fl, row_number() over (order by round(x - floor(x), 9) desc, cls) rk from x), lq as (select cls, n, fl + (rk <= {TOTAL} - sum(fl) over ())::int as quota from y)"""),
+    "smp2_stratified": _q(f"select row_id, r.split, r.cls from (select *, row_number() over (partition by split, cls order by {_H.format('row_id')}, row_id) i from r where cls is not null) r left join lq on lq.split = r.split and lq.cls = r.cls where lq.quota is null or i <= lq.quota", f""", c as (
+    select split, cls, count(*) n, case split when 'train' then {TOTAL} else {TOTAL // 5} end total from r where cls is not null and split in ('train', 'valid') group by split, cls
+), x as (select *, n * total::double / sum(n) over (partition by split) x, sum(n) over (partition by split) size from c qualify size > total),
+y as (select *, floor(x)::bigint fl, row_number() over (partition by split order by round(x - floor(x), 9) desc, cls) rk from x), lq as (select split, cls, fl + (rk <= total - sum(fl) over (partition by split))::int as quota from y)"""),
     "smp1_cap_per_source": _q(f"select row_id, source from (select *, row_number() over (partition by source order by {_H.format('row_id')}, row_id) i from r) where i <= 5"),
-    "smp3_fraction": _q(f"select row_id, cls from (select *, row_number() over (partition by cls order by {_H.format('row_id')}, row_id) i, count(*) over (partition by cls) n from r where cls is not null) where i <= floor(n * 0.4::double)"),
+    "smp3_fraction": _q(f"select row_id, t.cls from (select *, row_number() over (partition by cls order by {_H.format('row_id')}, row_id) i from r where split = 'train' and cls is not null) t join lq using (cls) where i <= quota", """, c as (
+    select cls, count(*) n from r where split = 'train' and cls is not null group by cls
+), x as (select *, n * round_even(sum(n) over () * 0.4::double, 0) / sum(n) over () x, round_even(sum(n) over () * 0.4::double, 0)::bigint total from c),
+y as (select *, floor(x)::bigint fl, row_number() over (order by round(x - floor(x), 9) desc, cls) rk from x), lq as (select cls, fl + (rk <= total - sum(fl) over ())::int as quota from y)"""),
+    "smp5_one_per_class": _q(" union all ".join(f"select '{c}' as cls, f from c{i}" for i, c in enumerate(CLASSES)), "".join(
+        f", c{i} as (select f from (select distinct f from r where split = 'test' and f is not null and cls = '{c}'" + "".join(f" and f not in (select f from c{k})" for k in range(i)) + f") order by {_H.format('f')}, f limit 1)" for i, c in enumerate(CLASSES))),
     "smp4_choice": _q(f"select f from (select distinct f from r where split = 'test' and f is not null) order by {_H.format('f')}, f limit 50"),
     "smp8_per_split": _q(f"select split, f from (select *, row_number() over (partition by split order by {_H.format('f')}, f) i from (select distinct split, f from r where split in ('train', 'valid', 'test') and f is not null)) where i <= 30"),
     "win13_seeded_rank": _q(f"select source, f, row_number() over (partition by source order by {_H.format('f')}, f) as place from (select distinct source, f from r where f is not null)"),
@@ -452,7 +506,7 @@ union all select 'bad_split', count(*) filter (where split is null or split not
 union all select 'file_twice', count(*) from (select f from r where f is not null group by f having count(*) > 1)
 union all select 'file_in_two_splits', count(*) from (select f from r where f is not null group by f having count(distinct split) > 1)"""),
     "src10_source_lookup": _q(f"""select fp.f, coalesce(s, case when contains(fp.f, '__') then {_S.format("split_part(fp.f, '__', 1)")} end, 'unknown') as source,
-    case when s is not null then 'table' when contains(fp.f, '__') then 'name' else 'none' end as origin from fp left join (select f, min(source) s from r where batch_no <= 6 group by f) t on t.f = fp.f"""),
+    case when s is not null then 'table' when contains(fp.f, '__') then 'name' else 'none' end as origin from fp left join (select f, min(source) s from r group by f) t on t.f = fp.f"""),
     "join5_pins": _q("select count(*) filter (where a is not null and b is not null) as hits, count(*) filter (where a is null) as misses, count(*) filter (where b is null) as unused from (select distinct f a from r where batch_no = 1 and f is not null) full join (select distinct f b from r where batch_no = 2 and f is not null) on a = b"),
     "join6_both_ways": _q("select f, 'no_fingerprint' as what from (select distinct f from r where f is not null except select f from fp) union all select f, 'no_row' from (select f from fp except select f from r)"),
     "join17_md5_matches": _q("select md5, first_files, later_files, least_file from (select md5, count(distinct f) first_files from k where batch_no = 1 and md5 is not null group by 1) join (select md5, count(distinct f) later_files, min(f) least_file from k where batch_no > 1 and md5 is not null group by 1) using (md5)"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,13 @@ def small(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def broadcast_small(df: DataFrame, most: int, what: str) -> DataFrame:
-    """A broadcast hint behind a check of the row count; larger frames come back without the hint."""
-    n = df.limit(most + 1).count()
-    return F.broadcast(df) if n <= most else df
+def in_blocks(queries: DataFrame, key: str, search: Callable[[DataFrame], DataFrame], block: int = 100_000) -> DataFrame:
+    """A stated set of queries against all rows: ``search`` gets them in blocks of about ``block`` rows, each broadcast, whose
+    results are put together."""
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)) == i)
+        hits = search(F.broadcast(part))
+        out = hits if out is None else out.unionByName(hits)
+    return out

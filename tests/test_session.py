@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.session import clean, release, shared_dir, stage, unstage
-from gleanery.tables import broadcast_small, small
+from gleanery.tables import in_blocks, small
 
 
 def test_staged_tables(spark):
@@ -24,5 +24,7 @@ def test_checks_of_size(spark):
     assert len(small(spark.range(5), 5, "it")) == 5
     with pytest.raises(ValueError):
         small(spark.range(6), 5, "it")
-    assert "broadcast" in broadcast_small(spark.range(5), 5, "it")._jdf.queryExecution().logical().toString().lower()
-    assert "hint" not in broadcast_small(spark.range(6), 5, "it")._jdf.queryExecution().logical().toString().lower()
+    seen = []
+    search = lambda part: seen.append(part) or part.select("id")
+    assert in_blocks(spark.range(50), "id", search, 7).count() == 50 and len(seen) == 8
+    assert "broadcast" in seen[0]._jdf.queryExecution().logical().toString().lower()
