@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,27 +50,49 @@ def oriented(x: Column, y: Column, orientation: Column) -> Column:
     return out.otherwise(F.struct(x.alias("x"), y.alias("y")))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def same_aspect(w: Column, h: Column, w2: Column, h2: Column) -> Column:
     return F.abs(w * h2 - h * w2) <= ASPECT_TOLERANCE * F.greatest(w * h2, h * w2)
 
 
-def frame(rec_w: Column, rec_h: Column, raw_w: Column, raw_h: Column, orientation: Column) -> Column:
-    """Which frame recorded sizes are in: ``raw``, ``display`` or ``mismatch``."""
-    swap = orientation.isin(*SWAPPED)
+def frame(rec_w: Column, rec_h: Column, raw_w: Column, raw_h: Column, orientation: Column, box_frame: str = "auto") -> Column:
+    """Struct of the frame that recorded sizes are in (``raw``, ``display`` or ``mismatch``) and two warnings: ``assumed`` where the
+    sizes cannot tell and the display is taken, and ``rescaled`` where they agree in aspect alone. A given ``box_frame`` decides
+    for itself, and is only checked."""
+    swap = F.coalesce(orientation.isin(*SWAPPED), F.lit(False))
     dw, dh = F.when(swap, raw_h).otherwise(raw_w), F.when(swap, raw_w).otherwise(raw_h)
-    exact_display, exact_raw = (rec_w == dw) & (rec_h == dh), (rec_w == raw_w) & (rec_h == raw_h)
-    return (
-        F.when(rec_w.isNull() | rec_h.isNull() | (rec_w <= 0) | (rec_h <= 0), F.lit("mismatch"))
-        .when(exact_display, "display").when(exact_raw, "raw")
-        .when(same_aspect(rec_w, rec_h, dw, dh), "display").when(same_aspect(rec_w, rec_h, raw_w, raw_h), "raw")
-        .otherwise("mismatch")
-    )
-
-
-def unit_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
-    """A pixel box divided by the image's size and clipped; null for invalid boxes or sizes."""
-    good = (w > 0) & (h > 0) & (width > 0) & (height > 0)
-    return F.when(good, clipped((x + w / 2) / width, (y + h / 2) / height, w / width, h / height))
+    turned = F.coalesce(orientation.between(2, 8), F.lit(False))
+    as_display, as_raw = same_aspect(rec_w, rec_h, dw, dh), same_aspect(rec_w, rec_h, raw_w, raw_h)
+    if box_frame == "auto":
+        chosen, assumed = F.when(turned & as_raw & ~as_display, "raw").otherwise("display"), turned & (as_raw == as_display)
+    else:
+        chosen, assumed = F.lit(box_frame), F.lit(False)
+    ew, eh = F.when(chosen == "raw", raw_w).otherwise(dw), F.when(chosen == "raw", raw_h).otherwise(dh)
+    good = F.coalesce((rec_w > 0) & (rec_h > 0) & same_aspect(rec_w, rec_h, ew, eh), F.lit(False))
+    return F.struct(
+        F.when(good, chosen).otherwise("mismatch").alias("frame"),
+        F.coalesce(assumed, F.lit(False)).alias("assumed"),
+        (good & ((rec_w != ew) | (rec_h != eh))).alias("rescaled"),
+    )
+
+
+def unit_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, frame: Column | None = None, orientation: Column | None = None) -> Column:
+    """A pixel box divided by the image's size, turned with the picture where it stands in the raw frame, and clipped; null for
+    invalid boxes or sizes."""
+    finite = lambda *v: F.greatest(*[F.abs(c) for c in v]) < F.lit(float("inf"))
+    good = (w > 0) & (h > 0) & (width > 0) & (height > 0) & finite(x, y, w, h)
+    corner = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+    box = corner(x / width, y / height, (x + w) / width, (y + h) / height)
+    if frame is not None:
+        turn = F.coalesce((frame == "raw") & orientation.between(2, 8), F.lit(False))
+        ends = lambda c: F.struct(oriented(c["x0"], c["y0"], orientation).alias("p"), oriented(c["x1"], c["y1"], orientation).alias("q"))
+        sort = lambda e: corner(*[f(e["p"][n], e["q"][n]) for f, n in ((F.least, "x"), (F.least, "y"), (F.greatest, "x"), (F.greatest, "y"))])
+        box = _let(box, lambda c: F.when(turn, _let(ends(c), sort)).otherwise(c))
+    return F.when(good, _let(box, lambda c: clipped(*centred(c["x0"], c["y0"], c["x1"], c["y1"]))))
 
 
 def points_box(points: Column) -> Column:

@@ -38,11 +38,29 @@ def size_histogram(images: DataFrame, most: int = 5) -> DataFrame:
 
 def grouping_sets(rows: DataFrame) -> DataFrame:
     """Counts by split, by domain and split, and by source and split."""
-    rows.createOrReplaceTempView("_gleanery_rows")
-    return rows.sparkSession.sql(
-        "select cast(2 * grouping(domain) + grouping(source) as int) as level, domain, source, split, count(*) as n from _gleanery_rows "
-        "group by grouping sets ((split), (domain, split), (source, split))"
+    sets = [["split"], ["domain", "split"], ["source", "split"]]
+    level = F.grouping("domain") * 2 + F.grouping("source")
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "domain", "source", "split").agg(level.cast("int").alias("level"), F.count("*").alias("n"))
+    return out.select("level", "domain", "source", "split", "n")
+
+
+def split_statistics(images: DataFrame, parsed: DataFrame, classes: list[str]) -> DataFrame:
+    """Statistics of each split: ``images`` (source, uid, split, name_class), ``parsed`` label lines with their counters."""
+    from gleanery.sources.labels import ISSUES
+
+    own = F.array(*[F.when(F.col(f"_c{i}") > 0, F.lit(c.lower())) for i, c in enumerate(classes)])
+    per = parsed.groupBy(*IMAGE).agg(
+        F.count("*").alias("lines"), F.count_if("kept").alias("boxes"), *[F.count_if(F.col("kept") & (F.col("cls") == i)).alias(f"_c{i}") for i in range(len(classes))], *[F.sum(i).alias(i) for i in ISSUES]
     )
+    j = images.join(per, IMAGE, "left")
+    none = F.coalesce("boxes", F.lit(0)) == 0
+    wrong = F.col("name_class").isin(*[c.lower() for c in classes]) & ~none & ~F.array_contains(F.array_compact(own), F.col("name_class"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return j.groupBy("split").agg(
+        F.count("*").alias("images"), F.count_if(F.col("lines").isNull()).alias("missing_labels"), F.count_if(none).alias("background"), count("boxes").alias("boxes"),
+        *[count(f"_c{i}").alias(f"boxes_{c.lower()}") for i, c in enumerate(classes)], *[F.count_if(F.col(f"_c{i}") > 0).alias(f"images_{c.lower()}") for i, c in enumerate(classes)],
+        *[count(i).alias(i) for i in ISSUES], F.count_if(wrong).alias("name_class_mismatch"),
+    )
 
 
 def reasons(wide: DataFrame, names: list[str], by: str = "source") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import boxes as B
 from gleanery.functions import text as T
-from gleanery.functions.names import class_key, source_key
+from gleanery.functions.names import class_key, source_key, split_key
 from gleanery.operators import classmap, counts
 from gleanery.sources import labels
 from gleanery.tables import load
@@ -69,24 +69,33 @@ def prj4_clipped_counts(spark, d):
     return out.groupBy("source").agg(F.count(F.when(F.col("b").isNull(), 1)).alias("empty"), F.count(F.when(F.col("b.moved"), 1)).alias("clipped_boxes"))
 
 
+def _orientation() -> F.Column:
+    """An orientation tag derived from the image's name."""
+    return (F.conv(F.substring(F.md5(F.col("uid").cast("binary")), 1, 4), 16, 10).cast("int") % 8 + 1).alias("o")
+
+
 def prj5_pixel_boxes(spark, d):
-    b, i = _boxes(spark, d), _images(spark, d).select("source", "uid", "width", "height")
+    """Pixel boxes as unit boxes; those of tags 2, 3 and 6 stand in the raw frame and are turned."""
+    b, i = _boxes(spark, d), _images(spark, d).select("source", "uid", "width", "height", _orientation())
     px = b.join(i, ["source", "uid"]).select(
-        "source", "uid", "line_no", "width", "height", ((F.col("cx") - F.col("w") / 2) * F.col("width")).alias("x"),
+        "source", "uid", "line_no", "width", "height", "o", ((F.col("cx") - F.col("w") / 2) * F.col("width")).alias("x"),
         ((F.col("cy") - F.col("h") / 2) * F.col("height")).alias("y"), (F.col("w") * F.col("width")).alias("pw"), (F.col("h") * F.col("height")).alias("ph"),
     )
-    u = B.unit_box(*[F.col(c) for c in ("x", "y", "pw", "ph", "width", "height")])
+    frame = F.when(F.col("o").isin(2, 3, 6), "raw").otherwise("display")
+    u = B.unit_box(*[F.col(c) for c in ("x", "y", "pw", "ph", "width", "height")], frame, F.col("o"))
     out = px.select("source", "uid", "line_no", u.alias("b")).where("b is not null")
     return out.select("source", "uid", "line_no", *[F.round(F.col(f"b.{n}"), 7).alias(n) for n in ("cx", "cy", "w", "h")])
 
 
 def prj6_frames(spark, d):
-    """Recorded sizes against the sizes of another row of the same image, with an orientation derived from the name."""
+    """Recorded sizes, as they are and halved, against the raw size of a picture with that tag: frames and warnings."""
     i = load(spark, d, "images").where("width is not null and height is not null and source is not null and uid is not null")
-    o = (F.conv(F.substring(F.md5(F.col("uid").cast("binary")), 1, 4), 16, 10).cast("int") % 8 + 1).alias("o")
-    f = i.select("source", "uid", "width", "height", o)
-    fr = B.frame(F.col("width"), F.col("height"), F.when(F.col("o") >= 5, F.col("height")).otherwise(F.col("width")), F.when(F.col("o") >= 5, F.col("width")).otherwise(F.col("height")), F.col("o"))
-    return f.select("source", fr.alias("frame")).groupBy("source", "frame").agg(F.count("*").alias("n"))
+    f = i.select("source", "width", "height", _orientation(), F.explode(F.array(F.lit(1), F.lit(2))).alias("scale"))
+    swap = F.col("o").isin(5, 7)
+    raw = F.when(swap, F.col("height")).otherwise(F.col("width")), F.when(swap, F.col("width")).otherwise(F.col("height"))
+    fr = B.frame(F.col("width"), F.col("height"), raw[0] * F.col("scale"), raw[1] * F.col("scale"), F.col("o"))
+    out = f.select("source", "scale", fr.alias("fr")).groupBy("source", "scale", F.col("fr.frame").alias("frame"))
+    return out.agg(F.count("*").alias("n"), F.count_if("fr.assumed").alias("assumed"), F.count_if("fr.rescaled").alias("rescaled"))
 
 
 def prj7_oriented(spark, d):
@@ -164,6 +173,15 @@ def agg1_count_block(spark, d):
 
 
 def agg2_split_stats(spark, d):
+    """Per split: images, images without a label line or without boxes, boxes, each class's boxes and images, images whose
+    source's class has no box, and the counters of the label rules."""
+    rows = load(spark, d, "split").where("source is not null and source_file is not null")
+    cls = class_key(F.col("source_class"))
+    im = rows.groupBy("source", F.col("source_file").alias("uid")).agg(F.min(split_key(F.col("split"))).alias("split"), F.min(cls).alias("name_class"))
+    return counts.split_statistics(im.where("split is not null"), labels.parsed_lines(_lines(spark, d), len(CLASSES)), list(CLASSES))
+
+
+def agg2_image_sizes(spark, d):
     return counts.size_histogram(_images(spark, d))
 
 
@@ -285,15 +303,32 @@ SQL = {
     "prj5_pixel_boxes": _q(
         """select source, uid, line_no, round((a0 + a1) / 2, 7) as cx, round((b0 + b1) / 2, 7) as cy, round(a1 - a0, 7) as w, round(b1 - b0, 7) as h from u where a1 > a0 and b1 > b0""",
         """, px as (
-    select b.source, b.uid, line_no, width, height, (cx - w / 2) * width x, (cy - h / 2) * height y, w * width pw, h * height ph
+    select b.source, b.uid, line_no, width, height, ('0x' || substr(md5(b.uid), 1, 4))::int % 8 + 1 o, (cx - w / 2) * width x, (cy - h / 2) * height y, w * width pw, h * height ph
     from b join i on i.source = b.source and i.uid = b.uid
+), xy as (
+    select *, x / width x0, y / height y0, (x + pw) / width x1, (y + ph) / height y1 from px where pw > 0 and ph > 0
+), t as (
+    select source, uid, line_no, case o when 2 then [1 - x1, y0, 1 - x0, y1] when 3 then [1 - x1, 1 - y1, 1 - x0, 1 - y0] when 6 then [1 - y1, x0, 1 - y0, x1] else [x0, y0, x1, y1] end q from xy
 ), u as (
-    select *, greatest(x / width, 0) a0, greatest(y / height, 0) b0, least((x + pw) / width, 1) a1, least((y + ph) / height, 1) b1 from px where pw > 0 and ph > 0
+    select source, uid, line_no, greatest(q[1], 0) a0, greatest(q[2], 0) b0, least(q[3], 1) a1, least(q[4], 1) b1 from t
 )""",
     ),
     "prj6_frames": """
-with f as (select source, width w, height h, ('0x' || substr(md5(uid), 1, 4))::int % 8 + 1 o from images where width is not null and height is not null and source is not null and uid is not null)
-select source, case when w <= 0 or h <= 0 then 'mismatch' else 'display' end as frame, count(*) as n from f group by all
+with f as (
+    select source, width w, height h, ('0x' || substr(md5(uid), 1, 4))::int % 8 + 1 o, s::int as scale from images, unnest([1, 2]) x(s) where width is not null and height is not null and source is not null and uid is not null
+), g as (
+    select *, case when o in (5, 7) then h else w end * scale rw, case when o in (5, 7) then w else h end * scale rh from f
+), e as (
+    select *, case when o >= 5 then rh else rw end dw, case when o >= 5 then rw else rh end dh from g
+), m as (
+    select *, abs(w * dh - h * dw) <= 0.02 * greatest(w * dh, h * dw) md, abs(w * rh - h * rw) <= 0.02 * greatest(w * rh, h * rw) mr from e
+), c as (
+    select *, o > 1 and mr and not md as is_raw, o > 1 and mr = md as assumed from m
+)
+select source, scale, case when w > 0 and h > 0 and (case when is_raw then mr else md end) then (case when is_raw then 'raw' else 'display' end) else 'mismatch' end as frame,
+    count(*) as n, count(*) filter (where assumed) as assumed,
+    count(*) filter (where w > 0 and h > 0 and (case when is_raw then mr else md end) and (w <> (case when is_raw then rw else dw end) or h <> (case when is_raw then rh else dh end))) as rescaled
+from c group by all
 """,
     "prj7_oriented": _q("""select source, uid, line_no,
     round(case (line_no % 8 + 8) % 8 + 1 when 2 then 1 - cx when 3 then 1 - cx when 5 then cy when 6 then 1 - cy when 7 then 1 - cy when 8 then cy else cx end, 6) as x,
@@ -338,7 +373,21 @@ from (select source, count(*) images, count(*) filter (where n is null) backgrou
 join (select distinct source, unnest(range(7))::int cls from i) s on s.source = t.source
 left join (select source, cls, count(*) class_boxes, count(distinct uid) class_images from b where (source, uid) in (select source, uid from i) group by all) x on x.source = s.source and x.cls = s.cls"""
     ),
-    "agg2_split_stats": _q("select width, height, count(*) as images from i group by all order by images desc, width, height limit 5"),
+    "agg2_split_stats": _q(
+        "select split, count(*) as images, count(*) filter (where lines is null) as missing_labels, count(*) filter (where coalesce(boxes, 0) = 0) as background, coalesce(sum(boxes), 0)::bigint as boxes, "
+        + ", ".join(f"coalesce(sum(c{i}), 0)::bigint as boxes_{c.lower()}, count(*) filter (where c{i} > 0) as images_{c.lower()}" for i, c in enumerate(CLASSES))
+        + ", " + ", ".join(f"coalesce(sum({n}), 0)::bigint as {n}" for n in labels.ISSUES)
+        + ", count(*) filter (where coalesce(boxes, 0) > 0 and (" + " or ".join(f"nc = '{c.lower()}' and c{i} = 0" for i, c in enumerate(CLASSES)) + ")) as name_class_mismatch from im left join per using (source, uid) where split is not null group by split",
+        f""", im as (
+    select source, source_file uid, min(case when {_CKEY.format('split')} in ('val', 'validation') then 'valid' else {_CKEY.format('split')} end) split, min({_CKEY.format('source_class')}) nc
+    from split where source is not null and source_file is not null group by all
+), per as (
+    select source, uid, count(*) as lines, count(*) filter (where known and w > 0 and h > 0) boxes, {', '.join(f"count(*) filter (where known and w > 0 and h > 0 and cls = {i}) c{i}" for i in range(len(CLASSES)))},
+        sum(dup::int) duplicate_lines, sum((not dup and not good)::int) malformed_lines, sum(poly::int) polygon_lines, sum((good and not known)::int) bad_class_id,
+        sum((known and len(list_filter(r, lambda x: x < 0 or x > 1)) > 0)::int) out_of_range_coords, sum((known and (w <= 0 or h <= 0))::int) zero_size_boxes from lb group by all
+)""",
+    ),
+    "agg2_image_sizes": _q("select width, height, count(*) as images from i group by all order by images desc, width, height limit 5"),
     "agg3_grouping_sets": f"""
 with s as (select {_KEY.format('source')} source, {_KEY.format('domain')} as domain, {_CKEY.format('split')} split from split)
 select grouping(domain, source)::int as level, domain, source, split, count(*) as n from s group by grouping sets ((split), (domain, split), (source, split))

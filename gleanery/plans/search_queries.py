@@ -85,14 +85,6 @@ def agg24_class_share(spark, d):
     return j.select("event_type", F.round(F.col("n") / F.sum("n").over(all_), 6).alias("full_share"), F.round(F.col("m") / F.sum("m").over(all_), 6).alias("subset_share"))
 
 
-def agg25_best_arm(spark, d):
-    """Best customer segment per nation by mean balance: the last name among equals, and whether there is a tie."""
-    c = load(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
-    top = c.groupBy("c_nationkey").agg(F.max("v").alias("best"), F.max_by("c_mktsegment", F.struct("v", "c_mktsegment")).alias("arm"))
-    tied = c.join(top.select("c_nationkey", "best"), "c_nationkey").groupBy("c_nationkey").agg((F.count_if(F.col("v") == F.col("best")) > 1).alias("tied"))
-    return top.join(tied, "c_nationkey").select("c_nationkey", "arm", "best", "tied")
-
-
 def agg28_draw_counts(spark, d):
     e = load(spark, d, "events")
     return e.groupBy("user_id", "event_type").agg(F.count("*").alias("w"))
@@ -150,13 +142,6 @@ def fil10_settings(spark, d):
 
 
 def join14_tolerance(spark, d):
-    """Evaluations of two searches with the same index whose scores agree within a tenth."""
-    l = _log(spark, d)
-    a, b = l.where("user_id = 1").select("i", F.col("score").alias("a")), l.where("user_id = 2").select("i", F.col("score").alias("b"))
-    return a.join(b, "i").select("i", "a", "b", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.greatest("a", "b")).alias("near"))
-
-
-def join14_tolerance_all(spark, d):
     """Evaluations of every search and the next one (by user) with the same index, and whether their scores are equal within 1e-9."""
     l = _log(spark, d).select("user_id", "i", "score")
     # one row a user for the window, so that the evaluations themselves are joined by key
@@ -294,6 +279,7 @@ def _swarm_sql() -> str:
 
 
 SQL = {
+    "join14_tolerance": f"with {_L}, n as (select user_id, lead(user_id) over (order by user_id) next_id from (select distinct user_id from r)) select a.user_id, n.next_id, a.i, a.score as a, b.score as b, abs(a.score - b.score) <= 1e-9::double * greatest(abs(a.score), abs(b.score)) as near from r a join n on n.user_id = a.user_id join r b on b.user_id = n.next_id and b.i = a.i",
     "win3_best_so_far": f"with {_L} select user_id, i, max(score) over (partition by user_id order by i rows unbounded preceding) as best_so_far from r",
     "win8_labels": f"with {_L} select user_id, event_id, 'r' || (round + 1) || '_p' || (i % 8 + 1) as label from r",
     "win16_rounds": f"with {_L} select user_id, round, max(score) as best, round(avg(score), 6) as mean, count(*) as n from r group by user_id, round",
@@ -312,8 +298,7 @@ select l_returnflag, l_linestatus, count(*) as n, round(corr(a, b), 6) as rho fr
 """,
     "agg22_cost_rollup": "select coalesce(o_orderstatus, 'all') as status, coalesce(o_orderpriority, 'all') as priority, round(sum(o_totalprice), 2) as cost, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)",
     "agg24_class_share": "select event_type, round(count(*) / sum(count(*)) over (), 6) as full_share, round(count(*) filter (where user_id < 50) / sum(count(*) filter (where user_id < 50)) over (), 6) as subset_share from events group by event_type",
-    "agg25_best_arm": "with c as (select c_nationkey, c_mktsegment, round(avg(c_acctbal), 2) v from customer group by all), m as (select c_nationkey, max(v) best from c group by 1) select c.c_nationkey, max(c_mktsegment) as arm, any_value(best) as best, count(*) > 1 as tied from c join m on c.c_nationkey = m.c_nationkey and v = best group by c.c_nationkey",
-    "agg28_draw_counts": "select user_id, event_type, count(*) as w from events group by all",
+"agg28_draw_counts": "select user_id, event_type, count(*) as w from events group by all",
     "agg12_bin_summary": "select bin, min(pos) as pos, sum(n)::bigint as n from (select event_type, count(*) n from events group by 1) join (values (0, 'view', 'browse'), (1, 'click', 'browse'), (2, 'purchase', 'buy'), (3, 'refund', 'buy'), (4, 'signup', 'join')) b(pos, event_type, bin) using (event_type) group by bin",
     "prj14_bin_advice": "select event_id, case event_type when 'click' then 'top' when 'view' then 'side' else 'none' end as tip from events",
     "prj12_decode": "with x as (select distinct l_discount, -5 + l_discount * 30 x from lineitem) select l_discount, format('{:.5e}', pow(10, least(greatest(x, -4), -1)))::double as lr0, round(least(greatest(log10(pow(10, x)), -4), -1), 9) as back, format('{:.5e}', least(greatest(x, 0.6::double), 0.98::double))::double as momentum from x",
@@ -323,8 +308,7 @@ select l_returnflag, l_linestatus, count(*) as n, round(corr(a, b), 6) as rho fr
     "opt1_swarm": _swarm_sql(),
     "opt2_random_search": f"select i, round(sum(pow(-5.12::double + {_u("'5'", 'k', 'i')} * (5.12::double - -5.12::double), 2)), 6) as sphere from unnest(range(64)) u(i), unnest(range(6)) v(k) group by i",
     "fil10_settings": "with a as (select p_type as name, avg(p_retailprice) v from part group by 1), b as (select name, case when name < 'M' then v else round(v, 0) end v from a where name <> 'ECONOMY') select a.name, round(a.v, 6) as va, round(b.v, 6) as vb from a full join b on a.name = b.name where not coalesce(abs(a.v - b.v) <= 1e-6 * greatest(abs(a.v), abs(b.v)), false)",
-    "join14_tolerance": f"with {_L} select a.i, a.score as a, b.score as b, abs(a.score - b.score) <= 0.1 * greatest(a.score, b.score) as near from r a join r b on a.i = b.i where a.user_id = 1 and b.user_id = 2",
-    "join15_paired": f"with {_L} select a.user_id, a.f as first, b.f as second from (select user_id, max(score) f from r where round = 0 group by 1) a join (select user_id, max(score) f from r where round = 1 group by 1) b using (user_id)",
+"join15_paired": f"with {_L} select a.user_id, a.f as first, b.f as second from (select user_id, max(score) f from r where round = 0 group by 1) a join (select user_id, max(score) f from r where round = 1 group by 1) b using (user_id)",
     "join22_either_way": "with c as (select c_nationkey k, avg(c_acctbal) v from customer group by 1), s as (select x.k a, y.k b, round(y.v - x.v, 6) diff from c x join c y on y.k = (x.k + 1) % 25 where x.k % 2 = 0) select * from s union all select b, a, -diff from s",
     "inc1_replay": f"with {_L} select user_id, i from r where i % 9 = 8",
     "inc2_run_cache": "select distinct o_custkey || '|' || o_orderpriority as run from orders where o_orderstatus <> 'F' and (o_custkey || '|' || o_orderpriority) not in (select o_custkey || '|' || o_orderpriority from orders where o_orderstatus = 'F')",

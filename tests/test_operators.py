@@ -156,7 +156,7 @@ def test_difference_bits(spark):
 
 def test_frames_and_geometry(spark):
     df = spark.createDataFrame([(100, 50, 100, 50, 1), (50, 100, 100, 50, 6), (101, 50, 100, 50, 1), (100, 50, 100, 50, 6), (0, 5, 1, 1, 1), (70, 70, 100, 50, 1)], "a int, b int, c int, d int, o int")
-    assert [r[0] for r in df.select(B.frame(*[F.col(c) for c in "abcdo"])).collect()] == ["display", "display", "display", "raw", "mismatch", "mismatch"]
+    assert [r[0] for r in df.select(B.frame(*[F.col(c) for c in "abcdo"]).frame).collect()] == ["display", "display", "display", "raw", "mismatch", "mismatch"]
     pts = spark.createDataFrame([([[1.0, 2.0], [3.0, None], [5.0, 7.0]],), ([[1.0, 1.0]],), (None,)], "p array<array<double>>")
     got = [r.b for r in pts.select(B.points_box(F.col("p")).alias("b")).collect()]
     assert (got[0].x, got[0].y, got[0].w, got[0].h) == (1, 2, 4, 5) and got[1] is None and got[2] is None
