@@ -48,6 +48,16 @@ def mapped_object(tags: Column, overrides: list[tuple[str, str, str]], tag: str,
     return F.coalesce(hit, F.try_element_at(known, value), F.lit("unmapped"))
 
 
+def object_outcome(tags: Column, has_box: Column, overrides: list[tuple[str, str, str]], tag: str, class_map: dict[str, str], untagged: str, problem: str = "invalid_bbox") -> Column:
+    """The outcome for a tagged object: its target is that of the first override that holds, that of no tag, or that of the tag's
+    value; ``drop_image`` goes before a bad box, and a bad box before everything else."""
+    hit = F.coalesce(*[F.when(F.try_element_at(tags, F.lit(name)) == value, F.lit(target)) for name, value, target in overrides], F.lit(None).cast("string"))
+    known = F.create_map(*[F.lit(x) for kv in class_map.items() for x in kv])
+    value = F.try_element_at(tags, F.lit(tag))
+    target = F.coalesce(hit, F.when(value.isNull(), untagged), F.try_element_at(known, value), F.lit("unmapped"))
+    return F.when(target == "drop_image", target).when(~F.coalesce(has_box, F.lit(False)), problem).otherwise(target)
+
+
 def file_names(images: DataFrame, source: str = "source", uid: str = "uid") -> DataFrame:
     """``file``: source, two underscores and a safe name; names equal but for case get a piece of the uid's md5."""
     name = F.concat(F.col(source), F.lit("__"), safe_name(file_stem(F.col(uid))))

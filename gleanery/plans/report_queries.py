@@ -172,7 +172,7 @@ select model as nation, case when min(kind) = 1 then 'no arm is significantly be
     "hlp11_projection": "select event_id, json_extract_string(props, '$.k') as k, (json_extract_string(props, '$.k') is not null)::int + (json_extract_string(props, '$.lr0') is not null)::int as kept, array_to_string(list_filter(['k', 'lr0'], lambda n: json_extract_string(props, '$.' || n) is null), ',') as lacking from events",
     "hlp17_existing": f"select distinct lower(file) as f from split where (case when {_C.format('split')} in ('val', 'validation') then 'valid' else {_C.format('split')} end) = 'test' and lower(file) in (select lower(file) from fingerprints where file is not null)",
     "hlp18_labels": f"with {_SC} select model, domain, domain || ':' || model || case when n > 1 then format(' ({{:.3f}})', round(value, 3)) else '' end as label from sc",
-    "hlp21_rounds": f"with {_LG}, p as (select user_id, (i // 8)::int round, max(score) filter (where score >= 2) best, count(*) filter (where score is null or score < 2) failed, count(*) n, round(sum(seconds) / 3600, 6) hours from lg group by all) select user_id, round, best, max(best) over (partition by user_id order by round rows unbounded preceding) as best_so_far, failed, hours, n < 8 as incomplete from p",
+    "hlp21_rounds": f"with {_LG}, p as (select user_id, (i // 8)::int round, max(score) filter (where score >= 2) best, count(*) filter (where score is null or score < 2) failed, count(*) n, round(sum(seconds) / 3600, 6) as hours from lg group by all) select user_id, round, best, max(best) over (partition by user_id order by round rows unbounded preceding) as best_so_far, failed, hours, n < 8 as incomplete from p",
     "hlp23_recorded_file": "with p as (select distinct lower(file) f, md5 from fingerprints where file is not null and md5 is not null), s as (select distinct md5 from p where f in (select lower(file) from split where batch_no = 1 and file is not null)) select md5, first(f order by length(f), f) as f, count(*) as candidates from p where md5 in (select md5 from s) group by md5",
     "set8_unknown_values": "with v as (select source, uid, list_sort(list(distinct c)) p from (select source, uid, try_cast(split_part(trim(line), ' ', 1) as int) c, split_part(trim(line), ' ', 1) t from label_lines) where c is not null and regexp_matches(t, '^[+-]?[0-9]+$') group by all) select source, uid, array_to_string(list_filter(p, lambda x: x not in (0, 1, 2, 3, 4, 6)), ',') as unknown from v where len(list_filter(p, lambda x: x not in (0, 1, 2, 3, 4, 6))) > 0",
     "srt3_stable_order": "select s_suppkey, row_number() over (order by s_nationkey, s_suppkey) - 1 as place from supplier",

@@ -22,7 +22,8 @@ _IMAGE = r"(?i)\.(" + "|".join(IMAGE_ENDINGS) + r")$"
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(path, length, modificationTime)`` of all files below a folder; contents are not read."""
+    """``(path, length, modificationTime)`` of all files below a folder; contents are not read. Empty files have no row, since the
+    engine's file index leaves them out."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return df.select("path", "length", "modificationTime")
 
@@ -120,6 +121,12 @@ def supervisely(spark: SparkSession, folder: str, tag: str | None, overrides: li
     )
 
 
+def supervisely_tags(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """``(value)``: the values that a project's ``meta.json`` allows for a tag, besides ``untagged``."""
+    doc = spark.read.schema("tags array<struct<name:string,values:array<string>>>").option("multiLine", "true").json(path)
+    return doc.select(F.inline("tags")).where(F.col("name") == tag).select(F.explode("values").alias("value")).union(spark.createDataFrame([("untagged",)], "value string")).distinct()
+
+
 LABELME = "version string, shapes array<struct<label:string,points:array<array<double>>,shape_type:string>>, imagePath string, imageData string, imageHeight int, imageWidth int"
 
 
@@ -147,6 +154,15 @@ def labelme(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return out.select("uid", "json", "width", "height", "shape_no", "class", "b.*", "problem"), problems
 
 
+def embedded_pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """``(json, image_bytes)`` of Labelme files that hold their picture and have no image of their stem beside them."""
+    raw = spark.read.schema(LABELME).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
+    raw = raw.where("shapes is not null and imageData is not null").select(relative(F.col("_metadata.file_path"), folder).alias("json"), F.try_to_binary("imageData", F.lit("base64")).alias("image_bytes"))
+    there = listing(spark, folder).select(relative(F.col("path"), folder).alias("p")).where(F.col("p").rlike(_IMAGE))
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    return raw.withColumn("_s", stem("json")).join(there.select(stem("p").alias("_s")).distinct(), "_s", "left_anti").drop("_s").where("image_bytes is not null")
+
+
 def mask_pairs(spark: SparkSession, folder: str, prefix: str = "mask_") -> DataFrame:
     """Images and masks of a folder paired by stem, with what lacks a partner."""
     f = listing(spark, folder).select(relative(F.col("path"), folder).alias("uid")).where(F.col("uid").rlike(_IMAGE)).withColumn("s", file_stem(F.col("uid")))
@@ -202,6 +218,21 @@ def mask_regions(pixels: DataFrame, values: list[int], least: int = 50, diagonal
     return pixels.groupBy(image).applyInPandas(run, f"{image} {dict(pixels.dtypes)[image]}, value long, x long, y long, w long, h long, dropped long")
 
 
+def mask_faults(pixels: DataFrame, values: list[int], ignored: list[int], image: str = "image") -> DataFrame:
+    """``(image, unknown)``: masks with values that are neither mapped nor ignored, and those values."""
+    seen = pixels.groupBy(image).agg(F.collect_set("value").alias("v"))  # at most as many as a pixel has values
+    return seen.select(image, F.array_sort(F.array_except("v", F.array(*[F.lit(x) for x in [*values, *ignored]]))).alias("unknown")).where(F.size("unknown") > 0)
+
+
+def picture_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, md5, length, error)`` of every image file; ``error`` where it cannot be decoded."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    raw = raw.select(relative(F.col("path"), folder).alias("path"), F.md5("content").alias("md5"), "length").where(F.col("path").rlike(_IMAGE))
+    good = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder)
+    good = good.select(relative(F.col("image.origin"), folder).alias("path"), F.lit(1).alias("_g"))
+    return raw.join(good, "path", "left").select("path", "md5", "length", F.when(F.col("_g").isNull(), "unreadable").alias("error"))
+
+
 def picture_fingerprints(images: DataFrame, grid: int = 16, thumb: int = 8) -> DataFrame:
     """``(path, width, height, h0..h3, thumb)`` of decoded pictures (the ``image`` source): difference hash and grey thumbnail.
 

@@ -142,7 +142,8 @@ def test_files(spark, tmp_path):
     moved = files.relocated(spark.createDataFrame([("/x/a.jpg",), ("c:\\y\\q.jpg",)], "p string"), "p", "/new/")
     assert {r.p for r in moved.collect()} == {"/new/a.jpg", "/new/q.jpg"}
     assert [r.p for r in files.missing_files(moved, "p", spark.createDataFrame([("/d/a.jpg",)], "path string")).collect()] == ["/new/q.jpg"]
-    kept, gone = files.class_prefix(spark.createDataFrame([("i", "0 1"), ("i", "5 1"), ("j", "6 1"), ("k", "")], "image string, line string"), 5)
+    kept, gone, images = files.class_prefix(spark.createDataFrame([("i", "0 1"), ("i", "5 1"), ("j", "6 1"), ("k", "")], "image string, line string"), 5)
+    assert {(r.image, r.lines) for r in images.collect()} == {("i", 1), ("j", 0), ("k", 0)}
     assert kept.count() == 1 and {(r.cls, r.removed) for r in gone.collect()} == {(5, 1), (6, 1)}
     with pytest.raises(files.InvalidFile):
         files.guarded_output(spark, str(tmp_path / "split"), ("lists",))
@@ -150,6 +151,41 @@ def test_files(spark, tmp_path):
         files.guarded_output(spark, str(tmp_path / "in/out"), (), (str(tmp_path / "in"),))
 
 
+def test_pins(spark, tmp_path):
+    put(tmp_path / "p.csv", "split,file\ntrain,a.jpg\ntest,b.jpg\nvalid,z.jpg\n")
+    items = spark.createDataFrame([("d/a.jpg",), ("e/b.jpg",), ("c.jpg",)], "uid string")
+    rows, counts = files.read_pins(spark, str(tmp_path / "p.csv"), items)
+    assert {(r.uid, r.pinned) for r in rows.collect()} == {("d/a.jpg", "train"), ("e/b.jpg", "test"), ("c.jpg", None)}
+    assert tuple(counts.first()) == (3, 2, 1, 1)
+    with pytest.raises(files.InvalidFile):
+        files.read_pins(spark, str(tmp_path / "p.csv"), items.union(spark.createDataFrame([("x/a.jpg",)], "uid string")))
+    put(tmp_path / "q.csv", "split,file\ntrian,a.jpg\n")
+    with pytest.raises(files.InvalidFile):
+        files.read_pins(spark, str(tmp_path / "q.csv"), items)
+
+
+def test_located(spark):
+    f = spark.createDataFrame([(p,) for p in ("x/My-Data", "x/My-Data/sub/my_data", "y/mydata2", "a/b/c/d/e/f/g/mydata", "z")], "path string")
+    assert [r.path for r in files.located(f, ["MY DATA"]).collect()] == ["x/My-Data"]
+    assert {r.path for r in files.located(f, ["my_data"], contains=True).collect()} == {"x/My-Data", "y/mydata2"}
+    assert files.located(f, ["none"]).count() == 0
+
+
+def test_lists_masks_and_meta(spark, tmp_path):
+    put(tmp_path / "l/a.txt", "x/a.jpg\n\n b.jpg \nb.jpg\n")
+    there = spark.createDataFrame([("/d/a.jpg",)], "path string")
+    assert {(r.fault, r.file) for r in files.list_faults(files.read_list(spark, str(tmp_path / "l")), there).collect()} == {("repeated", "b.jpg"), ("missing", "b.jpg")}
+    px = spark.createDataFrame([("p", 0, 0, 1), ("p", 0, 1, 7), ("q", 0, 0, 255)], "image string, y int, x int, value int")
+    assert [(r.image, r.unknown) for r in A.mask_faults(px, [1, 2], [255]).collect()] == [("p", [7])]
+    put(tmp_path / "meta.json", {"classes": [], "tags": [{"name": "material", "values": ["glass", "metal"]}, {"name": "state", "values": ["wet"]}]})
+    assert {r.value for r in A.supervisely_tags(spark, str(tmp_path / "meta.json"), "material").collect()} == {"glass", "metal", "untagged"}
+    put(tmp_path / "e/1.json", {"shapes": [], "imageData": "AAEC"})
+    put(tmp_path / "e/2.json", {"shapes": [], "imageData": "AAEC"})
+    put(tmp_path / "e/2.jpg", "x")
+    assert [(r.json, bytes(r.image_bytes)) for r in A.embedded_pictures(spark, str(tmp_path / "e")).collect()] == [("1.json", b"\0\1\2")]
+    assert [(r.path, r.length, r.error) for r in A.picture_files(spark, str(tmp_path / "e")).collect()] == [("2.jpg", 1, "unreadable")]
+
+
 def test_replay(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0), (1, 1), (1, 3), (2, 0)], "s int, i int")
     assert [tuple(r) for r in replay.missing(replay.plan(rows, "s", "i"), rows, ["s", "i"]).collect()] == [(1, 2)]
