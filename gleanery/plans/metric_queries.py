@@ -47,31 +47,35 @@ def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def win1_cumulative(spark, d):
-    h, _ = _hits(spark, d)
-    o = Window.partitionBy("cls", "j").orderBy(F.desc("conf"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return h.where("j = 0").select("cls", "id", F.sum("hit").over(o).alias("tpc"), F.sum(1 - F.col("hit")).over(o).alias("fpc"))
+    """Running hits and misses of every class at every threshold."""
+    e, _ = _predictions(spark, d)
+    keys, order = ["cls"], [F.desc("conf"), F.asc("id")]
+    hit = lambda j: F.get("tp", F.lit(j))
+    run = running_sums(ranged(e, keys, order), keys, order, {"all": F.lit(1).cast("long"), **{f"t{j}": hit(j).cast("long") for j in range(10)}})
+    each = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"t{j}").alias("tpc"), (F.col("all") - F.col(f"t{j}")).alias("fpc")) for j in range(10)])
+    return run.select("cls", "id", F.inline(each))
 
 
 def win2_envelope(spark, d):
     h, l = _hits(spark, d)
-    p = AP.curve_points(h.where("j = 0"), l, [])
-    back = Window.partitionBy("cls").orderBy(F.asc("conf"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return p.select("cls", "id", F.round("r", 9).alias("recall"), F.round(F.max("p").over(back), 9).alias("envelope"))
+    p = AP.curve_points(h, l, [])
+    back = Window.partitionBy("cls", "j").orderBy(F.asc("conf"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return p.select("cls", F.col("j").cast("int").alias("j"), "id", F.round("r", 9).alias("recall"), F.round(F.max("p").over(back), 9).alias("envelope"))
 
 
 def win5_misses_before_hit(spark, d):
     h, _ = _hits(spark, d)
-    o = Window.partitionBy("cls").orderBy(F.desc("conf"), "id")
-    r = h.where("j = 0").withColumn("rn", F.row_number().over(o)).where("hit = 1")
-    return r.select("cls", "id", (F.lead("rn").over(Window.partitionBy("cls").orderBy("rn")) - F.col("rn") - 1).alias("misses"))
+    o = Window.partitionBy("cls", "j").orderBy(F.desc("conf"), "id")
+    r = h.withColumn("rn", F.row_number().over(o)).where("hit = 1")
+    return r.select("cls", F.col("j").cast("int").alias("j"), "id", (F.lead("rn").over(Window.partitionBy("cls", "j").orderBy("rn")) - F.col("rn") - 1).alias("misses"))
 
 
 def win6_streaks(spark, d):
     h, _ = _hits(spark, d)
-    o = Window.partitionBy("cls").orderBy(F.desc("conf"), "id")
-    f = h.where("j = 0").select("cls", "id", "hit", F.row_number().over(o).alias("rn"), F.coalesce((F.col("hit") != F.lag("hit").over(o)).cast("int"), F.lit(1)).alias("new"))
-    g = f.withColumn("island", F.sum("new").over(Window.partitionBy("cls").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return g.where("hit = 1").groupBy("cls", "island").agg(F.min("rn").alias("first_rank"), F.max("rn").alias("last_rank"), F.count("*").alias("length"))
+    o = Window.partitionBy("cls", "j").orderBy(F.desc("conf"), "id")
+    f = h.select("cls", "j", "id", "hit", F.row_number().over(o).alias("rn"), F.coalesce((F.col("hit") != F.lag("hit").over(o)).cast("int"), F.lit(1)).alias("new"))
+    g = f.withColumn("island", F.sum("new").over(Window.partitionBy("cls", "j").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return g.where("hit = 1").groupBy("cls", F.col("j").cast("int").alias("j"), "island").agg(F.min("rn").alias("first_rank"), F.max("rn").alias("last_rank"), F.count("*").alias("length"))
 
 
 def win9_tie_groups(spark, d):
@@ -121,22 +125,25 @@ def det4_consistency(spark, d):
 
 def agg27_mixed_ties(spark, d):
     h, _ = _hits(spark, d)
-    g = h.where("j = 0").groupBy("cls", "conf").agg(F.count("*").alias("n"), F.countDistinct("hit").alias("kinds"))
-    return g.groupBy("cls").agg(F.sum((F.col("kinds") > 1).cast("int")).alias("mixed_groups"), F.coalesce(F.sum(F.when(F.col("kinds") > 1, F.col("n"))), F.lit(0)).alias("mixed_rows"))
+    g = h.groupBy("cls", "j", "conf").agg(F.count("*").alias("n"), F.countDistinct("hit").alias("kinds"))
+    return g.groupBy("cls", F.col("j").cast("int").alias("j")).agg(F.sum((F.col("kinds") > 1).cast("int")).alias("mixed_groups"), F.coalesce(F.sum(F.when(F.col("kinds") > 1, F.col("n"))), F.lit(0)).alias("mixed_rows"))
 
 
 def smp6_weights(spark, d):
     return allocate.resample(_events(spark, d).select("image"), "image", REPLICATES)
 
 
-def bst1_weighted_ap(spark, d):
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
     """Mean AP of three models on the same bootstrap draws, by weighted curves."""
     e = _events(spark, d)
     w = allocate.resample(e.select("image"), "image", REPLICATES)
     p = _models(e).select("id", "image", "cls", "conf", "model", _tp().alias("tp")).join(w, "image")
     n = e.join(w, "image").groupBy("replicate", "cls").agg(F.sum(F.col("labelled").cast("int") * F.col("w")).alias("n"))
-    m = AP.mean_ap(AP.average_precision(p, n, ["replicate", "model"], weight="w"), ["replicate", "model"])
-    return m.select("replicate", "model", F.round("map50", 8).alias("map50"), F.round("map50_95", 8).alias("map50_95"))
+    return AP.mean_ap(AP.average_precision(p, n, ["replicate", "model"], weight="w"), ["replicate", "model"])
+
+
+def bst1_weighted_ap(spark, d):
+    return _weighted(spark, d).select("replicate", "model", F.round("map50", 8).alias("map50"), F.round("map50_95", 8).alias("map50_95"))
 
 
 def _samples(spark, d, n):
@@ -156,23 +163,17 @@ def agg16_pairwise_1000(spark, d):
     return p.select("a", "b", *[F.round(c, 6).alias(c) for c in ("mean_diff", "low", "high", "p_above")], "significant", AP.verdict(F.col("a"), F.col("b"), F.col("mean_diff"), F.col("low"), F.col("high")).alias("verdict"))
 
 
-def _paired(spark, d):
-    """Paired samples with a closed form: mean value of three re-rankings over hash buckets of events."""
-    m = _models(_events(spark, d))
-    return m.groupBy((F.col("id") % 40).alias("replicate"), "model").agg(F.avg("conf").alias("v"))
-
-
 def agg15_percentile_ci(spark, d):
-    return AP.percentile_interval(_paired(spark, d), ["model"], "v").select("model", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return AP.percentile_interval(_weighted(spark, d), ["model"], "map50_95").select("model", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def agg16_pairwise(spark, d):
-    p = AP.pairwise_differences(_paired(spark, d), list(MODELS), "v")
+    p = AP.pairwise_differences(_weighted(spark, d), list(MODELS), "map50_95")
     return p.select("a", "b", *[F.round(c, 6).alias(c) for c in ("mean_diff", "low", "high", "p_above")], "significant")
 
 
 def bst3_verdicts(spark, d):
-    p = AP.pairwise_differences(_paired(spark, d), list(MODELS), "v")
+    p = AP.pairwise_differences(_weighted(spark, d), list(MODELS), "map50_95")
     return p.select("a", "b", AP.verdict(F.col("a"), F.col("b"), F.col("mean_diff"), F.col("low"), F.col("high")).alias("verdict"))
 
 
@@ -246,13 +247,13 @@ def join13_bin_rules(spark, d):
 
 
 def join19_grid(spark, d):
-    """101 recall points read from each class's curve at the first threshold."""
+    """101 recall points read from each class's curve at every threshold."""
     h, l = _hits(spark, d)
-    pts = AP.curve_points(h.where("j = 0"), l, [])
-    o = Window.partitionBy("cls").orderBy(F.desc("conf"), "id")
-    seg = pts.select("cls", F.lag("r", 1, 0.0).over(o).alias("a"), F.col("r").alias("b"), "p").where("b > a")
-    g = seg.select("cls", "a", "b", "p", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")).where("k * 0.01 >= a and k * 0.01 < b")
-    return g.select("cls", "k", F.round("p", 9).alias("precision"))
+    pts = AP.curve_points(h, l, [])
+    o = Window.partitionBy("cls", "j").orderBy(F.desc("conf"), "id")
+    seg = pts.select("cls", "j", F.lag("r", 1, 0.0).over(o).alias("a"), F.col("r").alias("b"), "p").where("b > a")
+    g = seg.select("cls", "j", "a", "b", "p", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")).where("k * 0.01 >= a and k * 0.01 < b")
+    return g.select("cls", F.col("j").cast("int").alias("j"), "k", F.round("p", 9).alias("precision"))
 
 
 QUERIES = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")}
@@ -285,8 +286,6 @@ _AP = """, cum as (
 )"""
 _M = """, m as (
     select e.*, model, case when model = 'A' then conf else round(conf * (case model when 'B' then 0.5 else 0.8 end + ('0x' || substr(md5(model || ':' || id), 1, 6))::bigint / 16777216.0), 4) end mconf from e, unnest(['A', 'B', 'C']) u(model)
-), s as (
-    select id % 40 replicate, model, avg(mconf) v from m group by all
 )"""
 _D = """, dd as (
     select a.model a, b.model b, b.v - a.v d from s a join s b on a.replicate = b.replicate and a.model < b.model
@@ -327,14 +326,47 @@ def _q(body: str, *more: str) -> str:
 _MEANS = """select replicate, model, avg(ap) filter (where j = 0) map50, avg(ap) map50_95 from (
     select nl.replicate, mm.model, nl.cls, jj j, coalesce(ap, 0) ap from nl cross join unnest(['A', 'B', 'C']) mm(model) cross join unnest(range(10)) x(jj)
     left join area a on a.replicate = nl.replicate and a.model = mm.model and a.cls = nl.cls and a.j = jj where n > 0) group by all"""
-_W0 = "from hits where j = 0"
+_S = f", s as (select replicate, model, map50_95 v from ({_MEANS}))"
+def _verdict_sql(body: str) -> str:
+    """Greedy matching as a fold over each image's predictions: the list of targets taken so far, with and without classes."""
+    from gleanery.plans.label_queries import _LINES
+
+    return f"""with recursive {_LINES.strip()}, tb as (
+    select concat_ws('/', source, uid) image, line_no ord, cls, cx - w / 2 x0, cy - h / 2 y0, cx + w / 2 x1, cy + h / 2 y1, cx, cy, w, h from b
+), ph as (
+    select *, ('0x' || substr(md5(image || ':' || ord), 1, 4))::int hh from tb
+), pb as (
+    select image, ord, case when hh % 7 = 0 then (cls + 1) % 7 else cls end cls, hh / 65536.0::double conf, x0 + w * (hh % 11) / 20.0::double x0, y0, x1 + w * (hh % 11) / 20.0::double x1, y1 from ph where hh % 5 <> 0
+), po as (
+    select *, row_number() over (partition by image order by conf desc, ord) i from pb
+), ov as (
+    select p.image, p.i, p.cls pc, t.cls tc, t.ord o, greatest(least(p.x1, t.x1) - greatest(p.x0, t.x0), 0) * greatest(least(p.y1, t.y1) - greatest(p.y0, t.y0), 0) inter,
+        (p.x1 - p.x0) * (p.y1 - p.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) su from po p join tb t using (image)
+), ca as (
+    select image, i, list(o order by inter / (su - inter) desc, o) filter (where pc = tc) own, list(o order by inter / (su - inter) desc, o) every from ov where inter > 0 and inter / (su - inter) >= 0.5 group by all
+), steps as (
+    select po.image, po.i, coalesce(own, []) own, coalesce(every, []) every from po left join ca using (image, i)
+), fold(image, i, own, every) as (
+    select distinct image, 0::bigint, []::bigint[], []::bigint[] from tb
+    union all
+    select f.image, s.i, f.own || list_filter(s.own, lambda x: not list_contains(f.own, x))[1:1], f.every || list_filter(s.every, lambda x: not list_contains(f.every, x))[1:1]
+    from fold f join steps s on s.image = f.image and s.i = f.i + 1
+), last as (
+    select image, arg_max(len(own), i) tp, arg_max(len(every), i) tp_any from fold group by image
+), v as (
+    select image, n_gt, coalesce(n_pred, 0) n_pred, tp, coalesce(n_pred, 0) - tp fp, n_gt - tp fn, tp_any tp_any_class, tp = n_gt and coalesce(n_pred, 0) = tp fully_correct, 2 * tp / (n_gt + coalesce(n_pred, 0)) f1
+    from last join (select image, count(*) n_gt from tb group by image) using (image) left join (select image, count(*) n_pred from pb group by image) using (image)
+)
+{body}"""
+
+
 SQL = {
-    "win1_cumulative": _q(f"select cls, id, sum(hit) over w::bigint as tpc, sum(1 - hit) over w::bigint as fpc {_W0} window w as (partition by cls order by conf desc, id rows unbounded preceding)").replace("over w::bigint", "over w"),
-    "win2_envelope": _q("select cls, id, round(r, 9) as recall, round(max(p) over (partition by cls order by conf desc, id rows between current row and unbounded following), 9) as envelope from (select cls, id, conf, tpc / (n + 1e-16) r, tpc / alln p from cum where j = 0)", _AP.split(", pts as")[0]),
-    "win5_misses_before_hit": _q(f"select cls, id, lead(rn) over (partition by cls order by rn) - rn - 1 as misses from (select *, row_number() over (partition by cls order by conf desc, id) rn {_W0}) where hit = 1"),
-    "win6_streaks": _q(f"""select cls, island, min(rn) as first_rank, max(rn) as last_rank, count(*) as length from (
-    select *, sum(nw) over (partition by cls order by rn) island from (
-        select *, row_number() over o rn, coalesce((hit <> lag(hit) over o)::int, 1) nw {_W0} window o as (partition by cls order by conf desc, id))) where hit = 1 group by cls, island"""),
+    "win1_cumulative": _q("select cls, j, id, sum(hit) over w as tpc, sum(1 - hit) over w as fpc from hits window w as (partition by cls, j order by conf desc, id rows unbounded preceding)"),
+    "win2_envelope": _q("select cls, j, id, round(r, 9) as recall, round(max(p) over (partition by cls, j order by conf desc, id rows between current row and unbounded following), 9) as envelope from (select cls, j, id, conf, tpc / (n + 1e-16) r, tpc / alln p from cum)", _AP.split(", pts as")[0]),
+    "win5_misses_before_hit": _q("select cls, j, id, lead(rn) over (partition by cls, j order by rn) - rn - 1 as misses from (select *, row_number() over (partition by cls, j order by conf desc, id) rn from hits) where hit = 1"),
+    "win6_streaks": _q("""select cls, j, island, min(rn) as first_rank, max(rn) as last_rank, count(*) as length from (
+    select *, sum(new) over (partition by cls, j order by rn rows unbounded preceding) island from (
+        select *, row_number() over o rn, coalesce((hit <> lag(hit) over o)::int, 1) new from hits window o as (partition by cls, j order by conf desc, id))) where hit = 1 group by all"""),
     "win9_tie_groups": _q("select cls, id, dense_rank() over (partition by cls order by conf desc) as tie_group from e"),
     "win10_block_offsets": _q("select image, n, sum(n) over (order by image) - n as start from (select image, count(*) n from e group by image)"),
     "det2_average_precision": _q("select cls, j, round(ap, 9) as ap from ap", _AP),
@@ -342,13 +374,16 @@ SQL = {
     "agg18_per_class": _q("select c as cls, g.j::int as j, round(ap, 9) as ap from unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) u(c), unnest(range(10)) g(j) left join ap on ap.cls = c and ap.j = g.j", _AP),
     "det3_class_rules": _q("select cls, round(avg(case when cls = 'view' then 0 else ap end), 9) as ap from ap where cls <> 'error' group by cls", _AP),
     "det4_consistency": _q(f"select model, round(map50_95, 6) as map50_95, true as consistent from ({_MEANS})", _M, ", wt as (select distinct 0 replicate, image, 1 w from e)", _X),
-    "agg27_mixed_ties": _q("select cls, sum((kinds > 1)::int)::bigint as mixed_groups, coalesce(sum(n) filter (where kinds > 1), 0)::bigint as mixed_rows from (select cls, conf, count(*) n, count(distinct hit) kinds from hits where j = 0 group by all) group by cls"),
+    "agg27_mixed_ties": _q("select cls, j, sum((kinds > 1)::int)::bigint as mixed_groups, coalesce(sum(n) filter (where kinds > 1), 0)::bigint as mixed_rows from (select cls, j, conf, count(*) n, count(distinct hit) kinds from hits group by all) group by cls, j"),
     "smp6_weights": _q("select * from wt", _B),
     "bst1_weighted_ap": _q(f"select replicate, model, round(map50, 8) as map50, round(map50_95, 8) as map50_95 from ({_MEANS})", _M, _B, _X),
-    "agg15_percentile_ci": _q("select model, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from s group by model", _M),
-    "agg16_pairwise": _q("select a, b, round(mean_diff, 6) as mean_diff, round(low, 6) as low, round(high, 6) as high, round(p_above, 6) as p_above, low > 0 or high < 0 as significant from q", _M, _D),
+    "agg15_percentile_ci": _q("select model, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from s group by model", _M, _B, _X, _S),
+    "agg16_pairwise": _q("select a, b, round(mean_diff, 6) as mean_diff, round(low, 6) as low, round(high, 6) as high, round(p_above, 6) as p_above, low > 0 or high < 0 as significant from q", _M, _B, _X, _S, _D),
     "bst3_verdicts": _q("""select a, b, case when low > 0 or high < 0 then (case when mean_diff >= 0 then b else a end) || ' beats ' || (case when mean_diff >= 0 then a else b end) || ' (' || printf('95%% CI %+.3f to %+.3f', low, high) || ')'
-    else 'no significant difference between ' || a || ' and ' || b || ' (' || printf('95%% CI %+.3f to %+.3f', low, high) || ')' end as verdict from q""", _M, _D),
+    else 'no significant difference between ' || a || ' and ' || b || ' (' || printf('95%% CI %+.3f to %+.3f', low, high) || ')' end as verdict from q""", _M, _B, _X, _S, _D),
+    "det1_verdicts": _verdict_sql("select image, n_gt, n_pred, tp, fp, fn, tp_any_class, fully_correct, round(f1, 6) as f1 from v"),
+    "agg10_verdict_totals": _verdict_sql("select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, round(avg(f1), 6) as mean_f1, round(avg(fully_correct::int), 6) as fully_correct_share, count(*) as images from v"),
+    "agg11_by_objects": _verdict_sql("select case when n_gt = 1 then '1' when n_gt = 2 then '2' else '>=3' end as objects, count(*) as images, sum(fully_correct::int)::bigint as fully_correct from v group by 1"),
     "agg17_confusion": _q("select cls, truth, n, round(n / (sum(n) over (partition by truth) + 1e-9), 6) as share from (select cls, ['click', 'error', 'purchase', 'signup', 'view'][k % 5 + 1] truth, count(*) n from e group by all)"),
     "agg17_confusion_pivot": _q("select cls, " + ", ".join(f"nullif(count(*) filter (where k % 5 = {i}), 0) as {c}" for i, c in enumerate(("click", "error", "purchase", "signup", "view"))) + " from e group by cls"),
     "agg19_latency": _q("select cls, round(median(conf), 6) as median_ms, round(1000 / median(conf), 6) as fps from e group by cls"),
@@ -357,5 +392,5 @@ SQL = {
     "join10_same_images": _q("select image, coalesce(a, 0) as a, coalesce(b, 0) as b, a is not null and b is not null as paired from (select image, count(*) a from e where cls = 'click' group by 1) full join (select image, count(*) b from e where cls = 'view' group by 1) using (image)"),
     "join11_model_pairs": "select * from (values ('A', 'B'), ('A', 'C'), ('B', 'C')) t(a, b)",
     "join13_bin_rules": _q("select case cls when 'click' then 'blue' when 'view' then 'green' when 'error' then 'grey' else 'Unknown' end as bin, count(*) as n from e group by 1"),
-    "join19_grid": _q("select cls, k::int as k, round(p, 9) as precision from (select *, lag(r, 1, 0.0) over (partition by cls order by i) a from pts where j = 0), unnest(range(101)) u(k) where r > a and k * 0.01 >= a and k * 0.01 < r", _AP.split(", allp as")[0]),
+    "join19_grid": _q("select cls, j, k::int as k, round(p, 9) as precision from (select *, lag(r, 1, 0.0) over (partition by cls, j order by i) a from pts), unnest(range(101)) u(k) where r > a and k * 0.01 >= a and k * 0.01 < r", _AP.split(", allp as")[0]),
 }

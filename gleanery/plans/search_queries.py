@@ -212,7 +212,7 @@ def hlp2_shared_value(spark, d):
 
 
 def hlp4_prefix(spark, d):
-    """Whether the first three event types of a user are a prefix of the list click, view, ..."""
+    """Whether the first two event types of a user are a prefix of the list click, view."""
     e = load(spark, d, "events")
     i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     t = e.select("user_id", "event_type", i.alias("i")).where("i <= 2").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "event_type"))).alias("x"))
