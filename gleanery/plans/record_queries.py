@@ -436,10 +436,50 @@ _FOLD = """, g as (
             when 0.2::double * total - v >= 0.1::double * total - s then 'valid' else 'test' end c
         from fold join o on o.cls = fold.cls and o.i = fold.i + 1)
 )"""
+_NEAR = """, nf as (
+    select distinct lower(file) f, concat_ws('|', h0, h1, h2, h3, thumb::varchar) c, h0, h1, h2, h3, thumb t from fingerprints where file is not null and h0 is not null and h1 is not null and h2 is not null and h3 is not null
+), nc as (
+    select c, any_value(h0) h0, any_value(h1) h1, any_value(h2) h2, any_value(h3) h3, any_value(t) t, any_value(list_avg(t)) mu from nf group by c
+), nb as (
+    select a.c ca, b.c cb, list_transform(a.t, lambda x: x - a.mu) ua, list_transform(b.t, lambda x: x - b.mu) ub,
+        bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int d
+    from nc a join nc b on a.c < b.c
+    where bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int <= 40
+), np as (
+    select ca, cb, d from nb where d <= 10 or (len(ua) = len(ub) and list_dot_product(ua, ub) / nullif(sqrt(list_dot_product(ua, ua) * list_dot_product(ub, ub)), 0) >= 0.9)
+), pairs as (
+    select a, b, min(d) bits from (
+        select least(x.f, y.f) a, greatest(x.f, y.f) b, d from np join nf x on x.c = ca join nf y on y.c = cb where x.f <> y.f
+        union all select x.f, y.f, 0 from nf x join nf y on x.c = y.c and x.f < y.f) group by a, b
+)"""
+_ND = _NEAR + """, nh as (
+    select a x, b y from pairs union select b, a from pairs
+), nr(x, y) as (
+    select f, f from nf union select r.x, h.y from nr r join nh h on h.x = r.y
+), nd as (
+    select x f, min(y) near_dup from nr group by x
+), kn as (
+    select k.*, near_dup from k left join nd using (f)
+)"""
+_GN = _ND + _G.replace("from k where stem is not null\n", "from k where stem is not null union all select row_id, 'n' || near_dup from kn where near_dup is not null\n")
+_KKN = _ND + _KK.replace("select 'stem', stem, split, row_id from k)", "select 'stem', stem, split, row_id from k union all select 'near_dup', near_dup, split, row_id from kn)")
+_SUMMARY = "select count(*) as groups, sum(n)::bigint as rows_in_groups, sum((s > 1)::int)::bigint as cross_source from (select label, count(distinct node) n, count(distinct source) s from grp join k on k.row_id = node group by label having count(distinct node) > 1)"
+_LEAK = """, kk as (
+    select row_id, case split when 'train' then 1 when 'valid' then 2 when 'test' then 3 else 0 end rk, split, key from (
+        select row_id, split, 'f' || f key from k where f is not null union all select row_id, split, 'm' || md5 from k where md5 is not null union all select row_id, split, 's' || stem from k where stem is not null) where split is not null
+)"""
 SQL = {
     "dup2_near_pairs": _q("""select least(a.f, b.f) as a, greatest(a.f, b.f) as b, (bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int) as bits
 from hc a join hc b on (a.h0, a.h1, a.h2, a.h3) < (b.h0, b.h1, b.h2, b.h3) where bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int <= 10"""),
     "dup2_members": _q("select distinct lower(p.file) as f, hc.f as rep from fingerprints p join hc using (h0, h1, h2, h3) where p.file is not null"),
+    "dup2_near_pairs_full": _q("select a, b, bits, case when bits <= 10 then 'dhash' else 'thumb_corr' end as rule from pairs", _NEAR),
+    "dup3_near_groups": _q("select f, near_dup from nd", _ND, rec=True),
+    "dup4_groups_full": _q("select node, label from grp", _GN, rec=True),
+    "agg8_duplicate_summary_full": _q(_SUMMARY, _GN, rec=True),
+    "win11_group_numbers_full": _q("select node, label as group_id, n from (select *, count(*) over (partition by label) n from grp) where n > 1", _GN, rec=True),
+    "spl3_leaks_full": _q("select distinct a.row_id from kk a join kk b on a.key = b.key and a.rk < b.rk", _ND, _LEAK.replace("from k where stem is not null)", "from k where stem is not null union all select row_id, split, 'n' || near_dup from kn where near_dup is not null)"), rec=True),
+    "agg9_leak_matrix_full": _q("select a.kind as key_name, a.split as split_a, b.split as split_b, count(distinct a.row_id) as rows from kk a join kb b on a.kind = b.kind and a.key = b.key and a.split <> b.split group by all", _KKN, rec=True),
+    "agg8_rules": _q("select case when d <= 10 then 'dhash' else 'thumb_corr' end as rule, count(*) as pairs from np group by 1 union all select 'identical_md5', coalesce(sum(n * (n - 1) // 2), 0)::bigint from (select md5, count(distinct row_id) n from k where md5 is not null group by 1)", _NEAR),
     "join8_vector_pairs": """
 with e as (
     select vec_id, list_transform(embedding, lambda x: x::double) v, list_sum(list_transform(embedding[1:64], lambda x, i: case when x > 0 then (case when i = 64 then -9223372036854775808::hugeint else (1::hugeint << (i - 1)) end) else 0::hugeint end))::bigint w from embeddings
