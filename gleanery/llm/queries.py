@@ -29,6 +29,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _target(spark, d).unmet()
 
 
+def p1_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """What each target needs, what there is, and whether it can be met."""
+    return _target(spark, d).report().select("split", "source", "dominant_class", "required", "available", "can_be_met")
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _target(spark, d).report()
 
@@ -60,6 +65,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return Overlap(load(spark, d, "split"), load(spark, d, "fingerprints")).report()
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The report's counts, without the coverage that SQL has no word for."""
+    return p4_report(spark, d).drop("coverage")
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "split").select("row_id", "file", "domain")
     return stable_sample(rows, SAMPLE_RATE)
@@ -118,7 +128,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_found, p2_assignment, p2_report, p4_found, p4_report, p5_sample, p5_report, p6_found, p6_report,
+        p1_found, p1_requirements, p1_report, p1_sample, p2_found, p2_assignment, p2_report, p4_found, p4_counts, p4_report, p5_sample, p5_report, p6_found, p6_report,
         p7_found, p7_report, p8_found, p8_report, p8_mix, p9_found, p9_languages,
     )
 }
@@ -163,6 +173,18 @@ select distinct least(x, y) as row_id_a, greatest(x, y) as row_id_b from p
 
 _UNIT = "('0x' || substr(md5('stable-1:' || lower(file)), 1, 13))::bigint / 4503599627370496.0"
 
+_LEAKS = """
+with d as (
+    select doc_id, regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') t from documents
+), i as (
+    select item_id, regexp_replace(strip_accents(replace(lower(item_text), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') t from eval_items
+), g as (
+    select distinct item_id, substr(t, k::bigint, 60) w from i, unnest(range(1, length(t) - 58)) u(k) where length(t) >= 60
+), h as (
+    select doc_id, substr(t, k::bigint, 60) w from d, unnest(range(1, length(t) - 58)) u(k) where length(t) >= 60
+)
+select distinct h.doc_id, g.item_id from h join g on g.w = h.w
+"""
 SQL = {
     "p1_found": f"""
 with t as (
@@ -179,6 +201,14 @@ with t as (
 select t.split, t.source, t.dominant_class from t left join n on n.s = t.s left join a on a.s = t.s and a.o = t.o and a.c = t.c
 where coalesce(a.have, 0) < greatest(t.min_rows, (t.share_bp * coalesce(n.n, 0) + 9999) // 10000)
 """,
+    "p4_counts": _SAME.format(keep=f"{_SPL.format('s.split')} side, {_SRC.format('s.source')} source", apart="a.side = 'train' and b.side in ('valid', 'test')").replace(
+        "select distinct least(x, y) as row_id_a, greatest(x, y) as row_id_b from p",
+        "select e.side as split, e.source, count(*) as rows, count(n) as overlapping, coalesce(sum(n), 0)::bigint as pairs from (select distinct row_id, side, source from r where side in ('valid', 'test')) e left join (select y, count(distinct x) n from p group by y) q on q.y = e.row_id group by all",
+    ),
+    "p6_report": _SAME.format(keep="s.batch_no", apart="a.batch_no < b.batch_no").replace(
+        "select distinct least(x, y) as row_id_a, greatest(x, y) as row_id_b from p",
+        "select batch_no as batch, count(*) as rows, count(*) filter (where row_id in (select y from p)) as repeats from (select distinct row_id, batch_no from r where batch_no is not null) group by 1",
+    ),
     "p2_found": f"""
 with recursive e as (
     select distinct {_SRC.format('source')} s, lower(trim(uploader)) u from split
@@ -203,18 +233,8 @@ select domain, count(*) as files, count(*) filter (where {_UNIT} < 0.1) as sampl
     round(count(*) filter (where {_UNIT} < 0.1) / count(*), 6) as share from f group by domain
 """,
     "p6_found": _SAME.format(keep="s.batch_no", apart="a.batch_no < b.batch_no"),
-    "p7_found": """
-with d as (
-    select doc_id, regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') t from documents
-), i as (
-    select item_id, regexp_replace(strip_accents(replace(lower(item_text), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') t from eval_items
-), g as (
-    select distinct item_id, substr(t, k::bigint, 60) w from i, unnest(range(1, length(t) - 58)) u(k) where length(t) >= 60
-), h as (
-    select doc_id, substr(t, k::bigint, 60) w from d, unnest(range(1, length(t) - 58)) u(k) where length(t) >= 60
-)
-select distinct h.doc_id, g.item_id from h join g on g.w = h.w
-""",
+    "p7_found": _LEAKS,
+    "p7_report": f"select suite, count(distinct item_id) as items_leaked, count(distinct doc_id) as documents from ({_LEAKS}) join eval_items using (item_id) group by suite",
     # no case depends on the tokenizer, so characters stand for tokens here
     "p8_found": f"""
 with d as (select {_SRC.format('source')} k, sum(coalesce(length(text), 0)) n from documents group by 1),
@@ -223,3 +243,9 @@ select m.source from mix_targets m left join d on d.k = {_SRC.format('m.source')
 where coalesce(d.n, 0) * m.max_repeats < m.weight * t.n
 """,
 }
+_NEED = "greatest(t.min_rows, (t.share_bp * coalesce(n.n, 0) + 9999) // 10000)"
+SQL["p1_requirements"] = (
+    SQL["p1_found"].split("select t.split")[0]
+    + f"select t.split, t.source, t.dominant_class, {_NEED}::bigint as required, coalesce(a.have, 0) as available, coalesce(a.have, 0) >= {_NEED} as can_be_met"
+    + " from t left join n on n.s = t.s left join a on a.s = t.s and a.o = t.o and a.c = t.c"
+)
