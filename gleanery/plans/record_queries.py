@@ -174,9 +174,8 @@ def spl2_pinned_split(spark, d):
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     """Rows with a file, the label of their whole duplicate group, and their class (``background`` where it has none)."""
-    k = _near_keyed(spark, d)
-    g = _full_groups(k).select(F.col("node").alias("row_id"), "label")
-    return stage(k.where("f is not null").join(g, "row_id").withColumn("cls", F.coalesce("cls", F.lit("background"))), "grouped")
+    g = _full_groups(_near_keyed(spark, d)).select(F.col("node").alias("row_id"), "label")
+    return stage(_rows(spark, d).where("f is not null").join(g, "row_id").withColumn("cls", F.coalesce("cls", F.lit("background"))), "grouped")
 
 
 def spl1_greedy_split_full(spark, d):
@@ -468,6 +467,18 @@ _LEAK = """, kk as (
     select row_id, case split when 'train' then 1 when 'valid' then 2 when 'test' then 3 else 0 end rk, split, key from (
         select row_id, split, 'f' || f key from k where f is not null union all select row_id, split, 'm' || md5 from k where md5 is not null union all select row_id, split, 's' || stem from k where stem is not null) where split is not null
 )"""
+_GR = _GN + """, gr as (
+    select r.row_id, g.label::varchar f, coalesce(cls, 'background') cls, r.source, batch_no, split from r join (select distinct node, label from grp) g on g.node = r.row_id where r.f is not null
+)"""
+_PINS = """, pin0 as (
+    select * replace (source || '/' || cls as cls), case when batch_no = 1 and split in ('train', 'valid', 'test') then split end pin from {rows}
+), pg as (
+    select f, arg_max(pin, case pin when 'train' then 1 when 'valid' then 2 else 3 end) ps from pin0 where pin is not null group by f
+), p as (
+    select pin0.*, pg.ps from pin0 left join pg using (f)
+)"""
+_PINNED = "select p.row_id, coalesce(pin, ps, fold.split) as split, pin is not null and pin <> ps as excluded from p left join fold on fold.f = p.f and ps is null"
+_PIN_FOLD = _FOLD.format(groups="select f, arg_min(cls, row_id) cls, count(*) n from p where ps is null group by f", start="select cls, coalesce(pin, ps) ps from p where ps is not null")
 SQL = {
     "dup2_near_pairs": _q("""select least(a.f, b.f) as a, greatest(a.f, b.f) as b, (bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int) as bits
 from hc a join hc b on (a.h0, a.h1, a.h2, a.h3) < (b.h0, b.h1, b.h2, b.h3) where bit_count(xor(a.h0, b.h0))::int + bit_count(xor(a.h1, b.h1))::int + bit_count(xor(a.h2, b.h2))::int + bit_count(xor(a.h3, b.h3))::int <= 10"""),
@@ -511,18 +522,9 @@ select a.vec_id, round(list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u,
     select label, n, lpad(node::varchar, 12, '0') node, row_number() over (partition by label order by node) i from grp join (select label, count(distinct node) n from grp group by label having count(distinct node) > 1 order by label limit 50) using (label)
 ) where i <= 12 group by all""", _G, rec=True),
     "spl1_greedy_split": _q("select cls, f, n, split from fold where i > 0", _FOLD.format(groups="select f, min(cls) cls, count(*) n from r where f is not null and cls is not null group by f", start="select null::varchar cls, null::varchar ps where false"), rec=True),
-    "spl2_pinned_split": _q(
-        "select p.row_id, coalesce(pin, ps, fold.split) as split, pin is not null and pin <> ps as excluded from p left join fold on fold.f = p.f and ps is null",
-        """, pin0 as (
-    select * replace (source || '/' || cls as cls), case when batch_no = 1 and split in ('train', 'valid', 'test') then split end pin from r where f is not null and cls is not null
-), pg as (
-    select f, arg_max(pin, case pin when 'train' then 1 when 'valid' then 2 else 3 end) ps from pin0 where pin is not null group by f
-), p as (
-    select pin0.*, pg.ps from pin0 left join pg using (f)
-)""",
-        _FOLD.format(groups="select f, arg_min(cls, row_id) cls, count(*) n from p where ps is null group by f", start="select cls, coalesce(pin, ps) ps from p where ps is not null"),
-        rec=True,
-    ),
+    "spl2_pinned_split": _q(_PINNED, _PINS.format(rows="r where f is not null and cls is not null"), _PIN_FOLD, rec=True),
+    "spl1_greedy_split_full": _q("select gr.row_id, gr.f::bigint as label, fold.cls, fold.split from gr join fold on fold.f = gr.f and fold.i > 0", _GR, _FOLD.format(groups="select f, arg_min(cls, row_id) cls, count(*) n from gr group by f", start="select null::varchar cls, null::varchar ps where false"), rec=True),
+    "spl2_pinned_split_full": _q(_PINNED, _GR, _PINS.format(rows="gr"), _PIN_FOLD, rec=True),
     "win12_largest_remainder": _q("select cls, n, quota from lq", f""", c as (select cls, count(*) n from r where cls is not null group by cls), x as (select *, n * {TOTAL}.0::double / sum(n) over () x from c),
 y as (select *, floor(x)::bigint fl, row_number() over (order by round(x - floor(x), 9) desc, cls) rk from x), lq as (select cls, n, fl + (rk <= {TOTAL} - sum(fl) over ())::int as quota from y)"""),
     "smp2_stratified": _q(f"select row_id, r.split, r.cls from (select *, row_number() over (partition by split, cls order by {_H.format('row_id')}, row_id) i from r where cls is not null) r left join lq on lq.split = r.split and lq.cls = r.cls where lq.quota is null or i <= lq.quota", f""", c as (
