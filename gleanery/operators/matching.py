@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,14 @@ def image_verdicts(predictions: DataFrame, targets: DataFrame, image: str = "ima
     t = targets.withColumn("conf", F.lit(0.0)).select(*cols, F.lit(0).alias("side"))
     rows = p.unionByName(t).repartition(image).sortWithinPartitions(image, "side", "ord")
 
+    kind = dict(targets.dtypes)[image]
+    schema = f"{image} {kind}, n_gt long, n_pred long, tp long, fp long, fn long, tp_any_class long, fully_correct boolean, f1 double"
+    return rows.mapInPandas(by_image(image, _verdicts), schema)
+
+
+def by_image(image: str, work: Callable[[pd.DataFrame, str], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``work`` over whole images of sorted rows; the last image of a batch waits for the next one."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for part in parts:
@@ -61,13 +69,38 @@ def image_verdicts(predictions: DataFrame, targets: DataFrame, image: str = "ima
             last = part[image].iloc[-1] if len(part) else None
             open_from = int(np.searchsorted((part[image] == last).to_numpy(), True)) if len(part) else 0
             rest = part.iloc[open_from:]
-            yield _verdicts(part.iloc[:open_from], image)
+            yield work(part.iloc[:open_from], image)
         if rest is not None and len(rest):
-            yield _verdicts(rest, image)
+            yield work(rest, image)
 
-    kind = dict(targets.dtypes)[image]
-    schema = f"{image} {kind}, n_gt long, n_pred long, tp long, fp long, fn long, tp_any_class long, fully_correct boolean, f1 double"
-    return rows.mapInPandas(run, schema)
+    return run
+
+
+def non_maximum(predictions: DataFrame, least: float = 0.25, iou: float = 0.7, most: int = 300, classes: list | None = None, agnostic: bool = False, image: str = "image") -> DataFrame:
+    """``(image, ord)`` of the predictions that stay: of those of the listed classes with at least ``least`` confidence, by falling
+    confidence (ties by ord), each that overlaps none kept before by more than ``iou`` (of its own class, unless ``agnostic``), at
+    most ``most`` an image. Predictions without an image are left out."""
+    p = predictions.where(F.col(image).isNotNull() & (F.col("conf") >= least))
+    p = p.where(F.col("cls").isin(*classes)) if classes is not None else p
+    rows = p.select(image, "ord", "cls", (-F.col("conf")).alias("back"), *BOX).repartition(image).sortWithinPartitions(image, "back", "ord")
+
+    def work(rows: pd.DataFrame, image: str) -> pd.DataFrame:
+        kept: list[int] = []
+        names, cls, box = rows[image].to_numpy(), rows["cls"].to_numpy(), rows[BOX].to_numpy(float)
+        cuts = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]]) if len(names) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            over = overlaps(box[a:b], box[a:b]) > iou
+            over &= agnostic | (cls[a:b, None] == cls[None, a:b])
+            free, n = np.ones(b - a, bool), 0
+            for i in range(b - a):
+                if free[i] and n < most:
+                    kept.append(a + i)
+                    n += 1
+                    free &= ~over[i]
+        return rows.iloc[kept][[image, "ord"]]
+
+    kinds = dict(predictions.dtypes)
+    return rows.mapInPandas(by_image(image, work), f"{image} {kinds[image]}, ord {kinds['ord']}")
 
 
 def _verdicts(rows: pd.DataFrame, image: str) -> pd.DataFrame:
@@ -99,3 +132,18 @@ def by_objects(verdicts: DataFrame) -> DataFrame:
     """Fully correct images per number of objects: 1, 2, 3 or more."""
     bucket = F.when(F.col("n_gt") == 1, "1").when(F.col("n_gt") == 2, "2").when(F.col("n_gt") >= 3, ">=3")
     return verdicts.where("n_gt >= 1").groupBy(bucket.alias("objects")).agg(F.count("*").alias("images"), F.sum(F.col("fully_correct").cast("int")).alias("fully_correct"))
+
+
+def agreement(verdicts: DataFrame, models: list[str], image: str = "image", model: str = "model") -> DataFrame:
+    """One row: images, and on how many of them all models, at least two, and none are fully correct."""
+    right = verdicts.groupBy(image).agg(F.sum(F.col("fully_correct").cast("int")).alias("k"))
+    return right.agg(
+        F.count("*").alias("images"), F.count_if(F.col("k") == len(models)).alias("all_models"), F.count_if(F.col("k") >= 2).alias("at_least_two"), F.count_if(F.col("k") == 0).alias("none")
+    )
+
+
+def by_objects_and_model(verdicts: DataFrame, models: list[str], model: str = "model") -> DataFrame:
+    """Fully correct images per number of objects, one column a model, beside the images of the first one."""
+    bucket = F.when(F.col("n_gt") == 1, "1").when(F.col("n_gt") == 2, "2").when(F.col("n_gt") >= 3, ">=3")
+    of = lambda m: F.count_if((F.col(model) == m) & F.col("fully_correct")).alias(f"correct_{m}")
+    return verdicts.where("n_gt >= 1").groupBy(bucket.alias("objects")).agg(F.count_if(F.col(model) == models[0]).alias("images"), *[of(m) for m in models])

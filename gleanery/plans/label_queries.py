@@ -145,6 +145,18 @@ def fil6_min_boxes(spark, d):
     return _boxes(spark, d).groupBy("source", "uid").agg(F.count("*").alias("boxes")).where("boxes >= 5")
 
 
+def fil6_single_objects(spark, d):
+    """Images with exactly one box, and its class."""
+    per = _boxes(spark, d).groupBy("source", "uid").agg(F.count("*").alias("n"), F.min("cls").alias("cls"))
+    return per.where("n = 1").select("source", "uid", "cls")
+
+
+def hlp19_summary(spark, d):
+    """A line of text on each source: images, boxes, and boxes per image."""
+    b = _boxes(spark, d).groupBy("source").agg(F.count("*").alias("boxes"), F.countDistinct("uid").alias("images"))
+    return b.select("source", F.format_string("%s: %d images, %d boxes (%.2f per image)", "source", "images", "boxes", F.col("boxes") / F.col("images") + 1e-9).alias("line"))
+
+
 def join1_images_with_boxes(spark, d):
     n = _boxes(spark, d).groupBy("source", "uid").agg(F.count("*").alias("n"))
     return _images(spark, d).join(n, ["source", "uid"], "left").select("source", "uid", F.coalesce("n", F.lit(0)).alias("boxes"))
@@ -357,6 +369,8 @@ from i left join (select source, uid, count(*) n from label_lines where length(t
 left join (select source, uid, count(*) n from b where cls < 3 group by all) k using (source, uid) group by 1"""
     ),
     "fil6_min_boxes": _q("select source, uid, count(*) as boxes from b group by source, uid having count(*) >= 5"),
+    "fil6_single_objects": _q("select source, uid, min(cls) as cls from b group by all having count(*) = 1"),
+    "hlp19_summary": _q("select source, format('{}: {} images, {} boxes ({:.2f} per image)', source, count(distinct uid), count(*), count(*) / count(distinct uid) + 1e-9) as line from b group by source"),
     "join1_images_with_boxes": _q("select source, uid, coalesce(n, 0) as boxes from i left join (select source, uid, count(*) n from b group by all) using (source, uid)"),
     "join2_category": _q("select coalesce(['BIO', 'CARDBOARD', 'GLASS', 'METAL', 'PAPER', 'PLASTIC'][cls + 1], 'unknown_category_id') as category, count(*) as n from b group by 1"),
     "join3_missing_labels": _q(

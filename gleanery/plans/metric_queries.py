@@ -220,6 +220,33 @@ def agg11_by_objects(spark, d):
     return matching.by_objects(matching.image_verdicts(p, t))
 
 
+def _model_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of three models: all predictions, and those above two confidences."""
+    p, t = _boxes(spark, d)
+    named = F.concat("model", F.lit(":"), "image").alias("image")
+    models = F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model")
+    least = F.when(F.col("model") == "A", 0.0).when(F.col("model") == "B", 0.3).otherwise(0.6)
+    ps = p.select("*", models).where(F.col("conf") >= least).select(named, *[c for c in p.columns if c != "image"])
+    ts = t.select("*", models).select(named, *[c for c in t.columns if c != "image"])
+    v = matching.image_verdicts(ps, ts)
+    return v.withColumn("model", F.substring("image", 1, 1)).withColumn("image", F.expr("substring(image, 3)"))
+
+
+def fil4_non_maximum(spark, d):
+    """Boxes and their shifted copies, thinned to those that overlap no better one of their class by more than 0.3."""
+    p, t = _boxes(spark, d)
+    both = p.unionByName(t.select("image", (F.col("ord") + 1000).alias("ord"), "cls", F.lit(0.5).alias("conf"), *matching.BOX))
+    return matching.non_maximum(both, 0.1, 0.3, classes=[0, 1, 2, 3, 4, 5])
+
+
+def agg10_agreement(spark, d):
+    return matching.agreement(_model_verdicts(spark, d), list(MODELS))
+
+
+def agg11_by_model(spark, d):
+    return matching.by_objects_and_model(_model_verdicts(spark, d), list(MODELS))
+
+
 def fil5_confidence(spark, d):
     return _events(spark, d).where("conf >= 100").select("id", "cls", "conf")
 
@@ -327,16 +354,20 @@ _MEANS = """select replicate, model, avg(ap) filter (where j = 0) map50, avg(ap)
     select nl.replicate, mm.model, nl.cls, jj j, coalesce(ap, 0) ap from nl cross join unnest(['A', 'B', 'C']) mm(model) cross join unnest(range(10)) x(jj)
     left join area a on a.replicate = nl.replicate and a.model = mm.model and a.cls = nl.cls and a.j = jj where n > 0) group by all"""
 _S = f", s as (select replicate, model, map50_95 v from ({_MEANS}))"
-def _verdict_sql(body: str) -> str:
-    """Greedy matching as a fold over each image's predictions: the list of targets taken so far, with and without classes."""
+def _verdict_sql(body: str, models: bool = False, nms: bool = False) -> str:
+    """Greedy matching as a fold over each image's predictions: the list of targets taken so far, with and without classes. With
+    ``models`` an image stands once for each, with the predictions above its confidence."""
     from gleanery.plans.label_queries import _LINES
 
+    each = "unnest(['A', 'B', 'C']) mm(m)" if models else "(select '' m)"
+    least = "case m when 'A' then 0.0::double when 'B' then 0.3::double else 0.6::double end" if models else "0"
+    name = "m || ':' || concat_ws('/', source, uid)" if models else "concat_ws('/', source, uid)"
     return f"""with recursive {_LINES.strip()}, tb as (
-    select concat_ws('/', source, uid) image, line_no ord, cls, cx - w / 2 x0, cy - h / 2 y0, cx + w / 2 x1, cy + h / 2 y1, cx, cy, w, h from b
+    select {name} image, concat_ws('/', source, uid) plain, m, line_no ord, cls, cx - w / 2 x0, cy - h / 2 y0, cx + w / 2 x1, cy + h / 2 y1, cx, cy, w, h from b, {each}
 ), ph as (
-    select *, ('0x' || substr(md5(image || ':' || ord), 1, 4))::int hh from tb
+    select *, ('0x' || substr(md5(plain || ':' || ord), 1, 4))::int hh from tb
 ), pb as (
-    select image, ord, case when hh % 7 = 0 then (cls + 1) % 7 else cls end cls, hh / 65536.0::double conf, x0 + w * (hh % 11) / 20.0::double x0, y0, x1 + w * (hh % 11) / 20.0::double x1, y1 from ph where hh % 5 <> 0
+    select image, ord, case when hh % 7 = 0 then (cls + 1) % 7 else cls end cls, hh / 65536.0::double conf, x0 + w * (hh % 11) / 20.0::double x0, y0, x1 + w * (hh % 11) / 20.0::double x1, y1 from ph where hh % 5 <> 0 and hh / 65536.0::double >= {least}
 ), po as (
     select *, row_number() over (partition by image order by conf desc, ord) i from pb
 ), ov as (
@@ -356,10 +387,28 @@ def _verdict_sql(body: str) -> str:
 ), v as (
     select image, n_gt, coalesce(n_pred, 0) n_pred, tp, coalesce(n_pred, 0) - tp fp, n_gt - tp fn, tp_any tp_any_class, tp = n_gt and coalesce(n_pred, 0) = tp fully_correct, 2 * tp / (n_gt + coalesce(n_pred, 0)) f1
     from last join (select image, count(*) n_gt from tb group by image) using (image) left join (select image, count(*) n_pred from pb group by image) using (image)
-)
+){_NMS if nms else ""}
 {body}"""
 
 
+_NMS = """, nb as (
+    select image, ord, cls, conf, x0, y0, x1, y1 from pb union all select image, ord + 1000, cls, 0.5, x0, y0, x1, y1 from tb
+), nq as (
+    select *, row_number() over (partition by image order by conf desc, ord) i from nb where conf >= 0.1 and cls < 6
+), nl as (
+    select q.image, q.i, q.ord, coalesce(list(e.ord) filter (where e.ord is not null), []) before from nq q left join nq e on e.image = q.image and e.i < q.i and e.cls = q.cls
+        and greatest(least(q.x1, e.x1) - greatest(q.x0, e.x0), 0) * greatest(least(q.y1, e.y1) - greatest(q.y0, e.y0), 0)
+        > 0.3 * ((q.x1 - q.x0) * (q.y1 - q.y0) + (e.x1 - e.x0) * (e.y1 - e.y0) - greatest(least(q.x1, e.x1) - greatest(q.x0, e.x0), 0) * greatest(least(q.y1, e.y1) - greatest(q.y0, e.y0), 0))
+    group by all
+), nfold(image, i, kept) as (
+    select distinct image, 0::bigint, []::bigint[] from nq
+    union all
+    select f.image, l.i, case when len(list_intersect(l.before, f.kept)) = 0 then list_append(f.kept, l.ord) else f.kept end from nfold f join nl l on l.image = f.image and l.i = f.i + 1
+), nm as (
+    select image, arg_max(kept, i) kept from nfold group by image
+)"""
+
+
 SQL = {
     "win1_cumulative": _q("select cls, j, id, sum(hit) over w as tpc, sum(1 - hit) over w as fpc from hits window w as (partition by cls, j order by conf desc, id rows unbounded preceding)"),
     "win2_envelope": _q("select cls, j, id, round(r, 9) as recall, round(max(p) over (partition by cls, j order by conf desc, id rows between current row and unbounded following), 9) as envelope from (select cls, j, id, conf, tpc / (n + 1e-16) r, tpc / alln p from cum)", _AP.split(", pts as")[0]),
@@ -384,6 +433,9 @@ SQL = {
     "det1_verdicts": _verdict_sql("select image, n_gt, n_pred, tp, fp, fn, tp_any_class, fully_correct, round(f1, 6) as f1 from v"),
     "agg10_verdict_totals": _verdict_sql("select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, round(avg(f1), 6) as mean_f1, round(avg(fully_correct::int), 6) as fully_correct_share, count(*) as images from v"),
     "agg11_by_objects": _verdict_sql("select case when n_gt = 1 then '1' when n_gt = 2 then '2' else '>=3' end as objects, count(*) as images, sum(fully_correct::int)::bigint as fully_correct from v group by 1"),
+    "fil4_non_maximum": _verdict_sql("select image, unnest(kept)::int as ord from nm", nms=True),
+    "agg10_agreement": _verdict_sql("select count(*) as images, count(*) filter (where k = 3) as all_models, count(*) filter (where k >= 2) as at_least_two, count(*) filter (where k = 0) as none from (select substr(image, 3) i, sum(fully_correct::int) k from v group by 1)", True),
+    "agg11_by_model": _verdict_sql("select case when n_gt = 1 then '1' when n_gt = 2 then '2' else '>=3' end as objects, count(*) filter (where image[1] = 'A') as images, " + ", ".join(f"count(*) filter (where image[1] = '{m}' and fully_correct) as correct_{m}" for m in MODELS) + " from v group by 1", True),
     "agg17_confusion": _q("select cls, truth, n, round(n / (sum(n) over (partition by truth) + 1e-9), 6) as share from (select cls, ['click', 'error', 'purchase', 'signup', 'view'][k % 5 + 1] truth, count(*) n from e group by all)"),
     "agg17_confusion_pivot": _q("select cls, " + ", ".join(f"nullif(count(*) filter (where k % 5 = {i}), 0) as {c}" for i, c in enumerate(("click", "error", "purchase", "signup", "view"))) + " from e group by cls"),
     "agg19_latency": _q("select cls, round(median(conf), 6) as median_ms, round(1000 / median(conf), 6) as fps from e group by cls"),

@@ -20,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_CLEANED: set[str] = set()
+
+
 def build_session(app: str = "gleanery", **conf: str) -> SparkSession:
     """A session with DEFAULTS and ``conf`` (dots written as double underscores)."""
     builder = SparkSession.builder.appName(app)
@@ -29,9 +32,12 @@ def build_session(app: str = "gleanery", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets one of its own; a
+    cluster is refused, since executors would write where the driver cannot read."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -63,8 +69,18 @@ def clean(spark: SparkSession) -> None:
     remove(spark, _run_dir(spark))
 
 
+def _clean_at_exit(spark: SparkSession) -> None:
+    try:
+        clean(spark)
+    except Exception:  # the session has ended before
+        pass
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, for what one run keeps."""
+    """A path of its own in the shared folder, for what one run keeps; it is deleted when the application ends."""
+    if spark.sparkContext.applicationId not in _CLEANED:
+        _CLEANED.add(spark.sparkContext.applicationId)
+        atexit.register(_clean_at_exit, spark)
     return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

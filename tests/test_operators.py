@@ -248,3 +248,12 @@ def test_latin_hypercube_has_one_point_per_stratum(spark):
 def test_session_seconds(spark):
     df = spark.createDataFrame([(1, 50.0), (2, 100.0), (3, 150.0), (4, 40.0), (5, 90.0)], "e int, t double").withColumn("r", F.lit(1))
     assert search_log.session_seconds(df, ["r"], "e", "t").first().seconds == 240.0
+
+
+def test_non_maximum(spark):
+    rows = [("i", 1, 0, 0.9, 0.0, 0.0, 1.0, 1.0), ("i", 2, 0, 0.8, 0.05, 0.0, 1.0, 1.0), ("i", 3, 1, 0.7, 0.0, 0.0, 1.0, 1.0), ("i", 4, 0, 0.1, 5.0, 5.0, 6.0, 6.0), ("j", 1, 0, 0.5, 0.0, 0.0, 1.0, 1.0), (None, 9, 0, 0.9, 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "image string, ord int, cls int, conf double, x0 double, y0 double, x1 double, y1 double")
+    kept = lambda **k: {tuple(r) for r in matching.non_maximum(df, **k).collect()}
+    assert kept() == {("i", 1), ("i", 3), ("j", 1)} and kept(agnostic=True) == {("i", 1), ("j", 1)}
+    assert kept(iou=0.99) == {("i", 1), ("i", 2), ("i", 3), ("j", 1)} and kept(iou=0.99, most=2) == {("i", 1), ("i", 2), ("j", 1)}
+    assert kept(classes=[1]) == {("i", 3)} and kept(least=0.05, classes=[0]) == {("i", 1), ("i", 4), ("j", 1)} and matching.non_maximum(df.limit(0)).count() == 0
