@@ -181,3 +181,15 @@ def test_history_keeps_its_shards(spark):
     assert found == {x for x in _brute(rows + new, prints, lambda a, b: None not in (a[4], b[4]) and max(a[4], b[4]) == 7 > min(a[4], b[4]))}
     with pytest.raises(ValueError):
         h.add(spark.createDataFrame(new, SPLIT), p, 7)
+
+
+def test_recall_of_the_searches(spark, folder):
+    """The measurement that the README cites, on the smallest tables."""
+    import gleanery.llm.recall as R
+
+    R.EVERY, old = 2, R.EVERY
+    try:
+        n = R.measure(spark, folder)
+    finally:
+        R.EVERY = old
+    assert n["classes"] > n["asked"] > 50 and n["shards"] == n["true"] > 0 and n["suffixes"] >= 0.98 * n["true"]
