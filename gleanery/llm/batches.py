@@ -42,6 +42,8 @@ BEAM = 56
 BEST = 2
 LINKS = 8
 _PART = 8_000
+#: Pictures that one step of a search meets; queries whose rings have long runs of equal keys are taken in smaller parts.
+_MET = 8_000_000
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ class Graph:
 
     def _part(self, query: Coded, keys: np.ndarray, base: int, beam: int, best: int) -> tuple[np.ndarray, np.ndarray]:
         n, m = len(self.data.hash), keys.shape[1]
-        met = []
+        runs, total = [], 0
         for r in range(len(self.keys)):
             by = np.argsort(keys[r], kind="stable")  # sorted queries are looked up several times as fast
             left = np.empty(m, np.int64)
@@ -110,7 +112,14 @@ class Graph:
             blank = ~query.has[base : base + m] if r >= PIECES else np.zeros(m, bool)
             lo, hi = np.maximum(left - 1, 0), np.minimum(right + 1, n)
             hi = np.where(blank, lo + 1, hi)
-            size = hi - lo
+            runs.append((lo, hi - lo))
+            total += int((hi - lo).sum())
+        if total > _MET and m > 1:
+            half = m // 2
+            one, two = self._part(query, keys[:, :half], base, beam, best), self._part(query, keys[:, half:], base + half, beam, best)
+            return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+        met = []
+        for r, (lo, size) in enumerate(runs):
             q = np.repeat(np.arange(m), size)
             at = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
             met.append(q * n + self.order[r][at])
