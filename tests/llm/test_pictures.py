@@ -200,3 +200,10 @@ def test_recall_of_the_searches(spark, folder):
     finally:
         R.EVERY = old
     assert n["classes"] > n["asked"] > 50 and n["shards"] == n["true"] > 0 and n["suffixes"] >= 0.98 * n["true"]
+
+
+def test_history_shards_are_no_larger_than_measured():
+    """Shards of 200,000 lost pairs that shards of 100,000 find."""
+    from gleanery.llm.batches import SHARD_ROWS
+
+    assert SHARD_ROWS <= 100_000
