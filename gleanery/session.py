@@ -88,12 +88,13 @@ def stage(df: DataFrame, name: str = "stage", free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
     The returned frame has the attribute ``staged_path``; ``unstage`` deletes it when it is no longer needed. With ``free`` the
-    step's shuffle files are deleted at once, which takes half a second: loops over small tables go without.
+    step's shuffle files are deleted at once, which takes half a second: loops over small tables go without, and so does a local
+    session, which has no executors' disks to spare.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if free:
+    if free and not spark.sparkContext.master.startswith("local"):
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
