@@ -29,8 +29,8 @@ PIECES = NEAR + 1
 #: Bits of the hash, spread over all of it, that travel with every suffix, and how many of them may differ in a candidate: a pair
 #: at FAR bits exceeds that with a probability of 1e-8, a pair within 24 bits never does.
 SKETCH, SKETCH_MOST = 61, 24
-#: The same for suffixes that stand next to each other with one symbol less in common.
-NEXT_MOST = 18
+#: How many places apart suffixes with one symbol less in common are compared, and how many bits may differ then.
+NEXT, NEXT_MOST = 6, 18
 #: Rows of a block of equal prefixes that one task compares; larger blocks are cut in a grid of cells of that size.
 BLOCK = 8_192
 SIDE = 8
@@ -255,7 +255,7 @@ def _neighbours(crossing: bool, block: int):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spans), pa.array(np.full(len(a), hot))], schema=schema)
 
     def work(k: np.ndarray, c: np.ndarray, x: np.ndarray, upto: int):
-        """Blocks that end before ``upto``, and the two next rows of each row before it."""
+        """Blocks that end before ``upto``, and the next rows of each row before it."""
         cut = np.concatenate([[True], k[1:upto] != k[: upto - 1]])
         first = np.maximum.accumulate(np.where(cut, np.arange(upto), 0))
         big = np.bincount(first, minlength=upto)[first] > block
@@ -264,7 +264,7 @@ def _neighbours(crossing: bool, block: int):
         rows = np.flatnonzero(~big)
         start = np.searchsorted(rows, first[rows])
         met = [(rows[i], rows[j], 3) for i, j in _meeting(k[rows], x[rows], start, crossing)]
-        for d in (1, 2):
+        for d in range(1, NEXT + 1):
             i = np.arange(min(upto, len(k) - d))
             i = i[(k[i] >> 7 == k[i + d] >> 7) & (k[i] != k[i + d]) & (k[i] >> 24 >= PIECES)]
             i = i[np.bitwise_count((x[i] ^ x[i + d]) >> 2) <= NEXT_MOST]
@@ -329,8 +329,8 @@ def meeting(classes: DataFrame, sides: Column | None = None, block: int = BLOCK)
     """``(a, b, spans)``: pairs of classes whose strings share a prefix somewhere, with the symbols that the shared spans cover.
 
     A suffix array in partitions: the suffixes of all texts, hashed by position and the start of their prefix, and sorted within
-    the partition. One pass over each finds the runs of suffixes with a common prefix, and those next to each other that share
-    one symbol less. Runs longer than ``block`` are set aside and compared in a grid: each of its g salts meets each, so that
+    the partition. One pass over each finds the runs of suffixes with a common prefix, and those within ``NEXT`` places of each
+    other that share one symbol less. Runs longer than ``block`` are set aside and compared in a grid: each of its g salts meets each, so that
     no pair is lost and no task gets more than two salts. With ``sides`` (bits 1 and 2) only pairs of a on 2 and b on 1.
     """
     crossing = sides is not None
