@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators import allocate
+from gleanery.operators import allocate, curves
 from gleanery.operators.ranged import PART, maximum_from_here, ranged, running_sums
+from gleanery.session import stage
 
 #: Ten overlap thresholds and the guard of the recall (fixed values).
 THRESHOLDS = tuple(round(0.5 + 0.05 * j, 2) for j in range(10))
 EPS = 1e-16
-#: Most predictions or targets that one worker of the vectorised bootstrap holds.
+#: Most images whose weights one worker of the vectorised bootstrap holds.
 MOST_HELD = 5_000_000
 
 
@@ -123,51 +120,6 @@ def verdict(row_a: Column, row_b: Column, diff: Column, low: Column, high: Colum
     )
 
 
-class _Sorted:
-    """One model's predictions sorted once: per class, image numbers and hits by confidence."""
-
-    def __init__(self, p: pd.DataFrame, t: pd.DataFrame, images: int) -> None:
-        self.parts = []
-        self.images = images
-        for c in sorted(t["cls"].unique()):
-            own = p[p["cls"] == c].sort_values(["conf", "id"], ascending=[False, True], kind="stable")
-            hits = np.stack(own["tp"].to_list()).astype(np.int64) if len(own) else np.zeros((0, len(THRESHOLDS)), np.int64)
-            per = np.bincount(t.loc[t["cls"] == c, "img"].to_numpy(), minlength=images)
-            self.parts.append((own["img"].to_numpy(np.int64), hits, per))
-
-    def score(self, w: np.ndarray) -> tuple[float, float]:
-        """map50 and map50_95 for the images' weights."""
-        grid = np.arange(101) * 0.01
-        aps = []
-        for img, hits, per in self.parts:
-            n = float(per @ w)
-            if not n:
-                continue
-            wi = w[img]
-            live = wi > 0
-            wl, h = wi[live], hits[live]
-            ap = np.zeros(len(THRESHOLDS))
-            if len(wl):
-                seen = np.cumsum(wl)
-                for j in range(len(THRESHOLDS)):
-                    at = np.flatnonzero(h[:, j])
-                    if not len(at):
-                        continue
-                    tpc = np.cumsum(wl[at])
-                    # before each hit (after the misses between), its first copy, its last copy
-                    t = np.stack([tpc - wl[at], tpc - wl[at] + 1, tpc], 1).ravel()
-                    a = np.stack([seen[at] - wl[at], seen[at] - wl[at] + 1, seen[at]], 1).ravel()
-                    r, p = t / (n + EPS), t / np.maximum(a, 1)
-                    p = np.maximum.accumulate(p[::-1])[::-1]
-                    y = np.interp(grid, np.concatenate([[0.0], r, [r[-1], 1.0]]), np.concatenate([[max(1.0, p[0])], p, [0.0, 0.0]]))
-                    ap[j] = ((y[1:] + y[:-1]) / 2).sum() * 0.01
-            aps.append(ap)
-        if not aps:
-            return 0.0, 0.0
-        a = np.stack(aps)
-        return float(a[:, 0].mean()), float(a.mean())
-
-
 def resampled(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """``(replicate, model, map50, map50_95)`` by weighted curves: every draw is a table, and nothing is held anywhere."""
     nodes = predictions.select("image").union(targets.select("image")).distinct()
@@ -178,48 +130,29 @@ def resampled(predictions: DataFrame, targets: DataFrame, replicates: int, seed:
 
 
 def whole_score(predictions: DataFrame, targets: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
-    """``(model, map50, map50_95)`` of all rows as they are, by the vectorised form (by weighted curves beyond ``most_held`` rows)."""
-    if max(predictions.count(), targets.count()) > most_held:
+    """``(model, map50, map50_95)`` of all rows as they are, by the vectorised form (by weighted curves beyond ``most_held`` images)."""
+    known, n = curves.image_numbers(predictions, targets)
+    if n > most_held:
         labels = targets.groupBy("cls").agg(F.count("*").alias("n"))
         return mean_ap(average_precision(predictions, labels, ["model"]), ["model"])
-    return _vectorised(predictions, targets, 1, None).drop("replicate")
+    return _vectorised(predictions, targets, known, n, 1, None).drop("replicate")
 
 
-def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0, most_held: int = MOST_HELD) -> DataFrame:
-    """``(replicate, model, map50, map50_95)``: all models over the same draws of images.
+def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0, most_held: int = MOST_HELD, means: tuple[str, ...] = ("map50", "map50_95")) -> DataFrame:
+    """``(replicate, model, map50, map50_95)``: all models over the same draws of images; ``means`` names those that are wanted.
 
-    predictions: model, image, id, cls, conf, tp ARRAY<INT>; targets: image, cls. Where predictions and targets have at most
-    ``most_held`` rows, they are sorted once per worker and reused by all its replicates, which are spread; beyond that the same
-    values come from weighted curves (``resampled``).
+    predictions: model, image, id, cls, conf, tp ARRAY<INT>; targets: image, cls. Rows are sorted once and streamed by every worker,
+    which holds the weights of its replicates; beyond ``most_held`` images the same values come from weighted curves (``resampled``).
     """
-    if max(predictions.count(), targets.count()) > most_held:
-        return resampled(predictions, targets, replicates, seed)
-    return _vectorised(predictions, targets, replicates, seed)
-
-
-def _vectorised(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int | None) -> DataFrame:
-    """The replicates over tables that are held whole; without a seed every image has the weight 1."""
-    spark = predictions.sparkSession
-    # no more images than rows
-    images = [r[0] for r in predictions.select("image").union(targets.select("image")).distinct().orderBy("image").collect()]
-    number = {v: i for i, v in enumerate(images)}
-    p = predictions.select("model", "image", "id", "cls", "conf", "tp").toPandas()
-    t = targets.select("image", "cls").toPandas()
-    p["img"], t["img"] = p["image"].map(number), t["image"].map(number)
-    held = spark.sparkContext.broadcast((p.drop(columns="image"), t[["cls", "img"]], len(images)))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        preds, tgt, n = held.value
-        models = {m: _Sorted(g, tgt, n) for m, g in preds.groupby("model")}
-        for part in parts:
-            out = []
-            for b in part["id"]:
-                draws = range(n) if seed is None else [int(hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)]
-                w = np.bincount(draws, minlength=n)
-                out += [(b, m, *s.score(w)) for m, s in models.items()]
-            yield pd.DataFrame(out, columns=["replicate", "model", "map50", "map50_95"])
-
-    slices = max(1, min(replicates, spark.sparkContext.defaultParallelism))
-    return spark.range(0, replicates, 1, slices).mapInPandas(run, "replicate long, model string, map50 double, map50_95 double")
+    known, n = curves.image_numbers(predictions, targets)
+    if n > most_held:
+        return resampled(predictions, targets, replicates, seed).select("replicate", "model", *means)
+    return stage(_vectorised(predictions, targets, known, n, replicates, seed, means), "samples")  # which are few, and read more than once
+
+
+def _vectorised(predictions: DataFrame, targets: DataFrame, known: DataFrame, n: int, replicates: int, seed: int | None, means: tuple[str, ...] = ("map50", "map50_95")) -> DataFrame:
+    """The replicates over streamed rows; without a seed every image has the weight 1. Only thresholds that ``means`` need are read."""
+    steps = list(range(len(THRESHOLDS))) if "map50_95" in means else [0]
+    areas = curves.curve_areas(predictions, targets, known, n, replicates, seed, steps)
+    each = {"map50": F.get("areas", F.lit(0)), "map50_95": F.aggregate("areas", F.lit(0.0), lambda x, y: x + y) / len(steps)}
+    return areas.groupBy("replicate", "model").agg(*[F.coalesce(F.avg(each[m]), F.lit(0.0)).alias(m) for m in means])
