@@ -9,6 +9,7 @@ import pytest
 
 from gleanery.operators import curves
 from gleanery.plans import average_precision as AP
+from gleanery.plans.registry import QUERIES
 
 
 def _rows(spark, n=700, images=37):
@@ -92,3 +93,13 @@ def test_sums_of_weights_that_fill_their_type():
     c.add(img, np.ones(600, int), w, 255)
     c.add(img[:7], np.zeros(7, int), w, 255)
     assert c.seen.tolist() == [300 * 505 + 4 * 250 + 3 * 255, 304] and c.hits.tolist() == [[300 * 505, 300]]
+
+
+def test_bootstrap_query_reads_only_its_mean(spark, folder, watched, monkeypatch):
+    asked, areas = [], curves.curve_areas
+    monkeypatch.setattr(curves, "curve_areas", lambda *a: asked.append(a[-1]) or areas(*a))
+    rows = QUERIES["bst1_bootstrap_1000"](spark, folder).collect()
+    assert len(rows) == 3 and max(watched) <= 5 and asked == [[0]]
+    _, _, pred, targets = _rows(spark, 200)
+    both, one = (AP.bootstrap(pred, targets, 3, 1, means=m).orderBy("replicate", "model").collect() for m in (("map50", "map50_95"), ("map50",)))
+    assert [(r.replicate, r.model, r.map50) for r in both] == [tuple(r) for r in one]
