@@ -13,11 +13,15 @@ from pyspark.sql.window import WindowSpec
 from gleanery.session import stage
 
 PART = "part"
+#: Most totals of parts and keys that are broadcast; more are joined.
+BROADCAST = 100_000
 
 
-def ranged(df: DataFrame, keys: list[str], order: list, name: str = "ranged") -> DataFrame:
-    """The rows with the number of their ``part``; parts follow the order of every key. Staged, since a part's number must stay."""
-    return stage(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()), name, False)
+def ranged(df: DataFrame, keys: list[str], order: list, name: str = "ranged", large: bool = False) -> DataFrame:
+    """The rows with the number of their ``part``; parts follow the order of every key. Staged, since a part's number must stay.
+    With ``large`` they are staged in order, which packs better here and in later shuffles, and this shuffle's files are deleted."""
+    parts = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
+    return stage(parts.sortWithinPartitions(*keys, *order) if large else parts, name, large)
 
 
 def _beside(df: DataFrame, keys: list[str], totals: dict[str, Column], behind: bool) -> tuple[DataFrame, WindowSpec]:
@@ -37,7 +41,9 @@ def _joined(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
 def running_sums(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
     """Rows of ``ranged`` with running sums, this row included, in the order of each key."""
     per, before = _beside(df, keys, {n: F.sum(c) for n, c in sums.items()}, False)
+    per = stage(per, "totals", False)
     offsets = per.select(PART, *keys, *[F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums])
+    offsets = F.broadcast(offsets) if per.count() <= BROADCAST else offsets  # else all rows would be shuffled once more
     own = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.select("*", *[F.sum(c).over(own).alias(n) for n, c in sums.items()])
     out = _joined(out, offsets, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import allocate, curves
-from gleanery.operators.ranged import PART, maximum_from_here, ranged, running_sums
+from gleanery.operators.ranged import BROADCAST, ranged, running_sums
 from gleanery.session import stage
 
 #: Ten overlap thresholds and the guard of the recall (fixed values).
@@ -44,43 +44,40 @@ def average_precision(
     """``(by..., cls, j, ap)`` of every class with labels; a class without predictions has 0, one without labels none.
 
     ``tp`` holds one flag per threshold. The curve runs from (0, 1) over the points to (last recall, 0) and (1, 0); its precision
-    is made falling by a running maximum from the right, read at 101 recalls k * 0.01 by linear interpolation (each grid point
-    is found by expanding the segments that hold it, so there is no range join), and integrated by trapezoids.
+    is made falling by a running maximum from the right, read at 101 recalls k * 0.01 and integrated by trapezoids. A hit drawn w
+    times has two points, of its first and of its last copy; the last is never worse, nor is the one before a hit ever better. So
+    precision at a recall is the largest of all hits' last copies beyond it, and each hit only counts for the last recall it passes.
 
     Predictions are spread by ranges of confidence, so that the number of tasks grows with the rows and not with the classes.
-    All thresholds are summed in one pass; from there on only hits go further, since a segment of the curve ends in a hit. A hit
-    drawn w times has two points, of its first and of its last copy.
+    All thresholds are summed in one pass; from there on at most 101 rows of each curve go further.
     """
     by = by or []
     keys, order = [*by, cls], [F.desc(conf), F.asc(node)]
     known = [*[c for c in by if c in labels.columns], cls]
     steps = range(len(THRESHOLDS))
     w = (F.col(weight) if weight else F.lit(1)).cast("long")
-    rows = ranged(predictions.select(*keys, conf, node, F.col(tp).alias("_tp"), w.alias("_w")), keys, order, "curves")
-    hit = lambda j: F.coalesce(F.get("_tp", F.lit(j)), F.lit(0))
+    labels = stage(labels.where("n > 0").select(*known, "n"), "labels", False)
+    bits = sum((F.when(F.get(tp, F.lit(j)) == 1, 1 << j).otherwise(0) for j in steps), F.lit(0))
+    rows = ranged(predictions.select(*keys, conf, node, bits.alias("_bits"), w.alias("_w")), keys, order, "curves", True)
+    hit = lambda j: F.shiftright("_bits", j).bitwiseAND(1)
     run = running_sums(rows, keys, order, {"_all": F.col("_w"), **{f"_t{j}": hit(j) * F.col("_w") for j in steps}})
     flags = F.array(*[F.when(hit(j) == 1, F.struct(F.lit(j).alias("j"), F.col(f"_t{j}").alias("t"))) for j in steps])
-    hits = run.select(PART, *keys, conf, node, "_all", "_w", F.inline(F.array_compact(flags))).join(labels.where("n > 0").select(*known, "n"), known)
-    # a point, and the one before it on the curve
-    at = lambda c, t, a, t0, a0: F.struct(F.lit(c).alias("c"), t.alias("t"), a.alias("a"), t0.alias("t0"), a0.alias("a0"))
-    t, a, m = F.col("t"), F.col("_all"), F.col("_w")
-    first = at(0, t - m + 1, a - m + 1, t - m, a - m)
-    points = F.when(m > 1, F.array(first, at(1, t, a, t - m + 1, a - m + 1))).otherwise(F.array(first))
+    hits = run.where("_bits > 0 and _w > 0").join(F.broadcast(labels) if labels.count() <= BROADCAST else labels, known)
     keys = [*keys, "j"]
-    pts = hits.select(PART, *keys, conf, node, "n", F.inline(points)).withColumn("p", F.col("t") / F.col("a"))
-    env = maximum_from_here(pts, keys, [F.asc(conf), F.desc(node), F.desc("c")], "p", "y1")
-    total = F.col("n") + EPS
-    y0 = F.when(F.col("a0") == 0, F.greatest(F.lit(1.0), "y1")).otherwise(F.greatest(F.col("t0") / F.col("a0"), F.col("y1")))
-    seg = env.select(*keys, (F.col("t0") / total).alias("x0"), y0.alias("y0"), (F.col("t") / total).alias("x1"), "y1").where("x1 > x0")
-    low, high = F.ceil(F.col("x0") / 0.01 - 1e-9).cast("int"), F.least(F.floor(F.col("x1") / 0.01 + 1e-9), F.lit(100)).cast("int")
-    grid = seg.where(low <= high).select(*keys, "x0", "y0", "x1", "y1", F.explode(F.sequence(low, high)).alias("k"))
-    x = F.col("k") * F.lit(0.01)
-    grid = grid.where((x >= F.col("x0")) & (x < F.col("x1")))
-    y = F.col("y0") + (x - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    # trapezoids: the ends count half; recall 1 is on the last point, where precision is 0
-    area = grid.groupBy(*keys).agg((F.sum(y * F.when(F.col("k").isin(0, 100), 0.5).otherwise(1.0)) * 0.01).alias("ap"))
-    # a curve's value at its last recall belongs to the segment after it, from (last, 0): nothing to add
-    base = labels.where("n > 0").select(*known)
+    hits = hits.select(*known, *[c for c in by if c not in known], "_all", "n", F.inline(F.array_compact(flags)))
+    # the last recall k * 0.01 below t / n
+    x = F.col("t") / (F.col("n") + EPS)
+    about = F.floor(x / 0.01).cast("int")
+    below = lambda k: k.cast("double") * F.lit(0.01) < F.col("x")
+    hits = hits.select(*keys, x.alias("x"), about.alias("about"), (F.col("t") / F.col("_all")).alias("p"))
+    k = F.when(below(F.col("about") + 1), F.col("about") + 1).when(below(F.col("about")), F.col("about")).otherwise(F.col("about") - 1)
+    best = hits.groupBy(*keys, F.least(k, F.lit(100)).alias("k")).agg(F.max("p").alias("p"))
+    falling = Window.partitionBy(*keys).orderBy(F.desc("k"))
+    steps_down = best.select(*keys, "k", F.max("p").over(falling).alias("y"), F.lead("k", 1, -1).over(falling).alias("k0"))
+    # trapezoids: the ends count half
+    times = F.col("k") - F.col("k0") - F.when(F.col("k0") < 0, 0.5).otherwise(0.0) - F.when(F.col("k") == 100, 0.5).otherwise(0.0)
+    area = steps_down.groupBy(*keys).agg((F.sum(F.col("y") * times) * 0.01).alias("ap"))
+    base = labels.select(*known)
     if more := [c for c in by if c not in labels.columns]:
         base = base.join(predictions.select(*more).distinct(), how="cross")  # class names x models
     full = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS) - 1))).alias("j"))

@@ -103,3 +103,17 @@ def test_bootstrap_query_reads_only_its_mean(spark, folder, watched, monkeypatch
     _, _, pred, targets = _rows(spark, 200)
     both, one = (AP.bootstrap(pred, targets, 3, 1, means=m).orderBy("replicate", "model").collect() for m in (("map50", "map50_95"), ("map50",)))
     assert [(r.replicate, r.model, r.map50) for r in both] == [tuple(r) for r in one]
+
+
+def test_consistency_keeps_rows_off_the_driver(spark, folder, watched):
+    rows = QUERIES["det4_consistency"](spark, folder).collect()
+    assert len(rows) == 3 and all(r.consistent for r in rows) and max(watched) <= 5
+
+
+def test_both_forms_of_the_mean_are_the_plain_one(spark, watched):
+    p, t, pred, targets = _rows(spark)
+    want = _plain(p, t, dict.fromkeys(range(100), 1))
+    labels = targets.groupBy("cls").count().withColumnRenamed("count", "n")
+    for got in (AP.whole_score(pred, targets), AP.whole_score(pred, targets, 10), AP.mean_ap(AP.average_precision(pred, labels, ["model"]), ["model"])):
+        got = {r.model: (r.map50, r.map50_95) for r in got.collect()}
+        assert set(got) == set(want) and all(math.isclose(x, y, abs_tol=1e-12) for m in want for x, y in zip(got[m], want[m]))
