@@ -112,7 +112,7 @@ class Curve:
         self.best = np.zeros((len(steps), len(GRID) + 1, len(n)))
 
     def add(self, img: np.ndarray, bits: np.ndarray, weights: np.ndarray, most: int) -> None:
-        """The next rows in order, ROWS at most; bit j of ``bits`` is a hit at threshold j."""
+        """The next rows in order; bit j of ``bits`` is a hit at threshold j."""
         kind = np.uint16 if len(img) * most < 1 << 16 else np.uint32 if len(img) * most < 1 << 32 else np.uint64
         place = lambda rows, blocks: rows % STRETCH * blocks + rows // STRETCH
         seen, wide = summed(weights, img, kind)
@@ -161,15 +161,17 @@ def image_numbers(predictions: DataFrame, targets: DataFrame) -> tuple[DataFrame
     return known, known.count()
 
 
-def curve_areas(predictions: DataFrame, targets: DataFrame, known: DataFrame, n: int, replicates: int, seed: int | None, steps: list[int]) -> DataFrame:
+def curve_areas(predictions: DataFrame, targets: DataFrame, known: DataFrame | None, n: int, replicates: int, seed: int | None, steps: list[int], at_once: int | None = None) -> DataFrame:
     """``(replicate, model, cls, areas)``: the area at each threshold of ``steps`` of every class with targets, null where a replicate
-    drew none of them. Without a seed every image counts once.
+    drew none of them. Without ``known`` every image counts once (no seed, n of 1): they share one weight, and none is numbered.
+    Targets without a class are a class that no prediction has; rows without an image are left out.
 
     Rows are staged in order, without what they were ordered by; each task makes the weights of its replicates and streams them.
-    Fewer replicates than tasks share the curves.
+    Fewer replicates than tasks share the curves. ``at_once`` rows are summed together (ROWS).
     """
+    at_once = at_once or ROWS
     spark = predictions.sparkSession
-    classes = [r[0] for r in small(targets.select("cls").where("cls is not null").distinct().orderBy("cls"), CURVES, "the list of classes")]
+    classes = [r[0] for r in small(targets.select("cls").distinct().orderBy("cls"), CURVES, "the list of classes")]
     models = [r[0] for r in small(predictions.select("model").where("model is not null").distinct().orderBy("model"), CURVES, "the list of models")]
     kinds, kind = dict(predictions.dtypes), dict(targets.dtypes)["cls"]
     schema = f"replicate long, model {kinds['model']}, cls {kind}, areas array<double>"
@@ -177,15 +179,19 @@ def curve_areas(predictions: DataFrame, targets: DataFrame, known: DataFrame, n:
         return spark.createDataFrame([], schema)
     c = F.broadcast(spark.createDataFrame(list(zip(classes, range(len(classes)))), f"cls {kind}, _c int"))
     m = F.broadcast(spark.createDataFrame(list(zip(models, range(len(models)))), f"model {kinds['model']}, _m int"))
-    img = known.select("image", F.col("img").cast("int").alias("img"))
-    img = F.broadcast(img) if n <= BROADCAST else img
+    if known is None:
+        placed = lambda df: df.where("image is not null").withColumn("img", F.lit(0))
+    else:
+        img = known.select("image", F.col("img").cast("int").alias("img"))
+        img = F.broadcast(img) if n <= BROADCAST else img
+        placed = lambda df: df.join(img, "image")
 
     bits = sum((F.when(F.get("tp", F.lit(j)) == 1, 1 << j).otherwise(0) for j in steps), F.lit(0))
-    rows = predictions.join(m, "model").join(c, "cls").join(img, "image")
+    rows = placed(predictions.join(m, "model").join(c, "cls"))
     rows = rows.select((F.col("_m") * len(classes) + F.col("_c")).alias("curve"), "conf", "id", "img", bits.cast("int").alias("bits"))
     order = [F.asc("curve"), F.desc("conf"), F.asc("id")]
     rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("curve", "img", "bits"), "rows")
-    per = stage(targets.join(c, "cls").join(img, "image").groupBy("_c", "img").agg(F.count("*").alias("n")), "targets")
+    per = stage(placed(targets.join(c, targets["cls"].eqNullSafe(c["cls"]))).groupBy("_c", "img").agg(F.count("*").alias("n")), "targets")
     row_files, target_files = sorted(rows.inputFiles()), sorted(per.inputFiles())
 
     tasks = spark.sparkContext.defaultParallelism
@@ -219,8 +225,8 @@ def curve_areas(predictions: DataFrame, targets: DataFrame, known: DataFrame, n:
                         out[now] = curve.areas()
                     now = int(which[x])
                     curve = Curve(labels[now % len(classes)], steps)
-                for k in range(x, y, ROWS):
-                    curve.add(at[k : min(y, k + ROWS)], flags[k : min(y, k + ROWS)], weights, most)
+                for k in range(x, y, at_once):
+                    curve.add(at[k : min(y, k + at_once)], flags[k : min(y, k + at_once)], weights, most)
         if curve is not None:
             out[now] = curve.areas()
         none = np.zeros((len(steps), len(own)))

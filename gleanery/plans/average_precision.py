@@ -12,6 +12,7 @@ from gleanery.session import stage
 #: Ten overlap thresholds and the guard of the recall (fixed values).
 THRESHOLDS = tuple(round(0.5 + 0.05 * j, 2) for j in range(10))
 EPS = 1e-16
+EVERY = list(range(len(THRESHOLDS)))
 #: Most images whose weights one worker of the vectorised bootstrap holds.
 MOST_HELD = 5_000_000
 
@@ -126,13 +127,10 @@ def resampled(predictions: DataFrame, targets: DataFrame, replicates: int, seed:
     return mean_ap(ap, ["replicate", "model"])
 
 
-def whole_score(predictions: DataFrame, targets: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
-    """``(model, map50, map50_95)`` of all rows as they are, by the vectorised form (by weighted curves beyond ``most_held`` images)."""
-    known, n = curves.image_numbers(predictions, targets)
-    if n > most_held:
-        labels = targets.groupBy("cls").agg(F.count("*").alias("n"))
-        return mean_ap(average_precision(predictions, labels, ["model"]), ["model"])
-    return _vectorised(predictions, targets, known, n, 1, None).drop("replicate")
+def whole_score(predictions: DataFrame, targets: DataFrame, at_once: int = 16 * curves.ROWS) -> DataFrame:
+    """``(model, map50, map50_95)`` of all rows with an image as they are, by the vectorised form at any size: every row weighs the
+    same, so that no image is numbered and no weight held; ``at_once`` rows are summed together."""
+    return _means(curves.curve_areas(predictions, targets, None, 1, 1, None, EVERY, at_once)).drop("replicate")
 
 
 def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed: int = 0, most_held: int = MOST_HELD, means: tuple[str, ...] = ("map50", "map50_95")) -> DataFrame:
@@ -144,12 +142,11 @@ def bootstrap(predictions: DataFrame, targets: DataFrame, replicates: int, seed:
     known, n = curves.image_numbers(predictions, targets)
     if n > most_held:
         return resampled(predictions, targets, replicates, seed).select("replicate", "model", *means)
-    return stage(_vectorised(predictions, targets, known, n, replicates, seed, means), "samples")  # which are few, and read more than once
+    areas = curves.curve_areas(predictions, targets, known, n, replicates, seed, EVERY if "map50_95" in means else EVERY[:1])
+    return stage(_means(areas, means), "samples")  # which are few, and read more than once
 
 
-def _vectorised(predictions: DataFrame, targets: DataFrame, known: DataFrame, n: int, replicates: int, seed: int | None, means: tuple[str, ...] = ("map50", "map50_95")) -> DataFrame:
-    """The replicates over streamed rows; without a seed every image has the weight 1. Only thresholds that ``means`` need are read."""
-    steps = list(range(len(THRESHOLDS))) if "map50_95" in means else [0]
-    areas = curves.curve_areas(predictions, targets, known, n, replicates, seed, steps)
-    each = {"map50": F.get("areas", F.lit(0)), "map50_95": F.aggregate("areas", F.lit(0.0), lambda x, y: x + y) / len(steps)}
+def _means(areas: DataFrame, means: tuple[str, ...] = ("map50", "map50_95")) -> DataFrame:
+    """``(replicate, model, means...)`` over the classes that a replicate has labels of; 0 without any."""
+    each = {"map50": F.get("areas", F.lit(0)), "map50_95": F.aggregate("areas", F.lit(0.0), lambda x, y: x + y) / F.size("areas")}
     return areas.groupBy("replicate", "model").agg(*[F.coalesce(F.avg(each[m]), F.lit(0.0)).alias(m) for m in means])

@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import curves
 from gleanery.plans import average_precision as AP
-from gleanery.plans.registry import QUERIES
+from gleanery.plans.registry import QUERIES, SQL
+from tests.compare import same
 
 
 def _rows(spark, n=700, images=37):
@@ -117,3 +120,40 @@ def test_both_forms_of_the_mean_are_the_plain_one(spark, watched):
     for got in (AP.whole_score(pred, targets), AP.whole_score(pred, targets, 10), AP.mean_ap(AP.average_precision(pred, labels, ["model"]), ["model"])):
         got = {r.model: (r.map50, r.map50_95) for r in got.collect()}
         assert set(got) == set(want) and all(math.isclose(x, y, abs_tol=1e-12) for m in want for x, y in zip(got[m], want[m]))
+
+
+def _refused(*_, **__):
+    raise AssertionError("not made here")
+
+
+def test_whole_score_is_the_vectorised_form_at_any_size(spark, monkeypatch):
+    """However few images a worker may hold, none is numbered, and the form it is compared with makes none of its values."""
+    for owner, name in ((AP, "average_precision"), (AP, "resampled"), (curves, "image_numbers")):
+        monkeypatch.setattr(owner, name, _refused)
+    p, t, pred, targets = _rows(spark)
+    want = _plain(p, t, dict.fromkeys(range(100), 1))
+    for size in ((), (7,), (10,), (100_000,)):
+        got = {r.model: (r.map50, r.map50_95) for r in AP.whole_score(pred, targets, *size).collect()}
+        assert set(got) == set(want) and all(math.isclose(x, y, abs_tol=1e-12) for m in want for x, y in zip(got[m], want[m]))
+
+
+def test_consistency_sees_a_fault_of_the_curves(spark, folder, monkeypatch):
+    right = AP.average_precision
+    monkeypatch.setattr(curves, "image_numbers", _refused)
+    assert all(r.consistent for r in QUERIES["det4_consistency"](spark, folder).collect())
+    monkeypatch.setattr(AP, "average_precision", lambda *a, **k: right(*a, **k).withColumn("ap", F.col("ap") + 2e-4))
+    rows = QUERIES["det4_consistency"](spark, folder).collect()
+    assert len(rows) == 3 and not any(r.consistent for r in rows)
+
+
+@pytest.mark.parametrize("column", ["user_id", "event_type", "value", "props"])
+def test_consistency_of_rows_without_a_value(spark, folder, tmp_path, column):
+    """Rows without an image are left out, those without a class are a class of its own, as in the SQL."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    e = e.withColumn(column, F.when(F.col("event_id") % 7 != 1, F.col(column)))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    df = QUERIES["det4_consistency"](spark, str(tmp_path))
+    assert all(r.consistent for r in df.collect())
+    same(df, con, SQL["det4_consistency"])
